@@ -1,11 +1,646 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library and the SQL each is compared with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import extract, strings, text
+from ..operators import chunks, dedup, index, labels, lexicon, lines, matching, measures, spans, vectors
+from ..sources import readers
+from ..streaming import incremental
 
-def oracle_sql() -> dict:
-    return {}
+STOPWORDS = ["the", "of", "and", "to", "in", "a", "for", "is", "on", "by", "or", "at", "with", "as", "de", "la", "le", "el", "der", "die"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Tokens of a text in DuckDB.
+TOK = r"list_filter(list_transform(regexp_extract_all(text, '[^\s\p{Z}\x{200B}\x{FEFF}\x{180E}]+'), lambda t: translate(lower(regexp_replace(t, '^[[:punct:]\p{P}]+|[[:punct:]\p{P}]+$', '', 'g')), 'ς', 'σ')), lambda t: t <> '')"
+TOKENS = f"tok as (select doc_id, unnest({TOK}) as term, generate_subscripts({TOK}, 1) - 1 as pos from documents)"
+POSTINGS = TOKENS + ", post as (select term, doc_id, count(*) as tf from tok group by all), lens as (select doc_id, sum(tf) as dl from post group by all), dfs as (select term, count(*) as df from post group by all), whole as (select count(*) as n, avg(dl) as avgdl from lens)"
+ASKED = f"asked as (select query_id, term, count(*) as qtf from (select query_id, unnest({TOK.replace('text,', 'query_text,')}) as term from queries) group by all)"
+LINES = r"lin as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as line_no from (select doc_id, case when l[-1] = '' then l[:-2] else l end as l from (select doc_id, regexp_split_to_array(text, '\r\n|\r|\n') as l from documents where text is not null)))"
+BAGS = r"list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))"
+
+
+def _t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "documents").select("doc_id", "text")
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its name, with its SQL."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- sources
+
+
+@query(
+    "select doc_id, text, cast(null as varchar) as external_id, cardinality(map_from_entries(list_filter([{'k': 'source', 'v': source}, {'k': 'lang', 'v': lang}], lambda p: p.v is not null))) as n_meta from documents"
+)
+def records_source(s: SparkSession, d: str) -> DataFrame:
+    x = readers.from_records(_t(s, d, "documents").select("doc_id", "text", "source", "lang"), id_field="doc_id")
+    return x.select("doc_id", "text", "external_id", F.size("metadata").cast("long").alias("n_meta"))
+
+
+@query("select doc_id, case when starts_with(hex(encode(text)), '25504446') then 'application/pdf' when starts_with(hex(encode(text)), '3C3F786D6C') then 'text/xml' else 'text/plain' end as mime from documents")
+def content_type(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", readers.sniff(F.col("text").cast("binary")).alias("mime"))
+
+
+# --- tokens and characters
+
+
+@query(f"with {TOKENS} select doc_id, cast(pos as integer) as pos, term from tok")
+def tokenize_words(s: SparkSession, d: str) -> DataFrame:
+    return index.token_rows(_docs(s, d))
+
+
+@query(
+    r"""with m as (select doc_id, unnest(x) as piece, generate_subscripts(x, 1) - 1 as pos from (select doc_id, regexp_extract_all(text, '[\s\p{Z}\x{200B}\x{FEFF}\x{180E}]*[^\s\p{Z}\x{200B}\x{FEFF}\x{180E}]+') as x from documents)),
+e as (select *, sum(length(piece)) over (partition by doc_id order by pos) as e, regexp_replace(piece, '^[\s\p{Z}\x{200B}\x{FEFF}\x{180E}]+', '') as raw from m)
+select doc_id, cast(pos as integer) as pos, cast(e - length(raw) as bigint) as start, cast(e as bigint) as "end", raw from e"""
+)
+def token_spans(s: SparkSession, d: str) -> DataFrame:
+    return spans.token_spans(_docs(s, d))
+
+
+@query(f"with {TOKENS} select term, count(*) as n from tok group by term order by n desc, term limit 50")
+def token_frequency_topk(s: SparkSession, d: str) -> DataFrame:
+    return index.token_rows(_docs(s, d)).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+@query(f"with {TOKENS} select doc_id, count(*) as n from tok where term not in ({', '.join(repr(w) for w in STOPWORDS)}) group by doc_id")
+def stopword_antijoin(s: SparkSession, d: str) -> DataFrame:
+    stops = s.createDataFrame([(w,) for w in STOPWORDS], "term string")
+    return index.token_rows(_docs(s, d)).join(F.broadcast(stops), "term", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"with {TOKENS}, vocab as (select distinct lower(name) as w from entity_matches) select doc_id, count(*) as n from tok where term in (select unnest(string_split(w, ' ')) from vocab) group by doc_id")
+def vocab_semijoin(s: SparkSession, d: str) -> DataFrame:
+    vocab = _t(s, d, "entity_matches").select(F.explode(F.split(F.lower("name"), " ")).alias("term")).distinct()
+    return index.token_rows(_docs(s, d)).join(vocab, "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"with {TOKENS} select term, cast(row_number() over (order by min(doc_id * 1000000 + pos)) - 1 as bigint) as term_id from tok group by term qualify term_id < 500")
+def indexed_vocabulary(s: SparkSession, d: str) -> DataFrame:
+    first = index.token_rows(_docs(s, d)).groupBy("term").agg(F.min(F.col("doc_id") * 1000000 + F.col("pos")).alias("at"))
+    top = first.orderBy("at").limit(500)  # the first 500 ids of the vocabulary
+    from pyspark.sql import Window
+
+    return top.select("term", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("term_id"))
+
+
+@query(
+    r"""with """ + TOKENS + r""" select term, regexp_full_match(term, '\p{L}+') as is_letter_word, regexp_full_match(term, '\p{N}+(?:[.,]\p{N}+)*') as is_numeric_word,
+regexp_matches(term, '^[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+$') as is_hyphenated, regexp_matches(term, '\p{L}') and regexp_matches(term, '\p{N}') as is_mixed, length(term) as n_chars from tok group by term"""
+)
+def token_flags(s: SparkSession, d: str) -> DataFrame:
+    t = index.token_rows(_docs(s, d)).select("term").distinct()
+    return t.select(
+        "term", F.col("term").rlike(r"^\p{L}+$").alias("is_letter_word"), F.col("term").rlike(r"^\p{N}+(?:[.,]\p{N}+)*$").alias("is_numeric_word"),
+        F.col("term").rlike(r"^[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+$").alias("is_hyphenated"), (F.col("term").rlike(r"\p{L}") & F.col("term").rlike(r"\p{N}")).alias("is_mixed"), F.length("term").cast("long").alias("n_chars"),
+    )
+
+
+@query(
+    r"""select doc_id, length(text) as total, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) as alpha, length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) as upper,
+length(text) - length(regexp_replace(text, '\p{Ll}', '', 'g')) as lower, length(text) - length(regexp_replace(text, '\p{N}', '', 'g')) as digit,
+length(text) - length(regexp_replace(text, '[\s\p{Z}\x{200B}\x{FEFF}\x{180E}]', '', 'g')) as whitespace, length(text) - length(regexp_replace(text, '[[:punct:]\p{P}]', '', 'g')) as punct,
+length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) as non_ascii, length(text) - length(regexp_replace(text, '\n', '', 'g')) + 1 as lines from documents where text is not null"""
+)
+def char_class_counts(s: SparkSession, d: str) -> DataFrame:
+    x = measures.character_counts(_docs(s, d))
+    return x.select("doc_id", *(F.col(c).cast("long").alias(c) for c in x.columns[1:]))
+
+
+@query(
+    "with c as (select doc_id, unnest(string_split(text, '')) as ch from documents), f as (select doc_id, ch, count(*) as f from c where ch <> '' group by all) select doc_id, round(log2(sum(f)) - sum(f * log2(f)) / sum(f), 5) as entropy from f group by doc_id"
+)
+def char_entropy(s: SparkSession, d: str) -> DataFrame:
+    c = _docs(s, d).select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("f"))
+    n = F.sum("f")
+    return c.groupBy("doc_id").agg(F.round(F.log2(n) - F.sum(F.col("f") * F.log2("f")) / n, 5).alias("entropy"))
+
+
+@query(
+    "select doc_id, lower(regexp_replace(regexp_replace(replace(translate(text, '‘’‚‛“”„‟‐‑‒–—―−', repeat(chr(39), 4) || repeat(chr(34), 4) || '-------'), '…', '...'), "
+    + r"'[\x{00AD}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}•]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) as text from documents where lang <> 'und'"
+)
+def normalize_text(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "documents").where("lang <> 'und'").select("doc_id", text.normalise(F.col("text")).alias("text"))
+
+
+@query()
+def casefold(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", strings.casefold("text").alias("text"))
+
+
+# --- index and retrieval
+
+_BM25 = f"""with {POSTINGS}, {ASKED}, scored as (
+  select query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+  from post join asked using (term) join dfs using (term) join lens using (doc_id), whole group by all),
+bm as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored where score > 0)"""
+_TFIDF = """ts as (select query_id, doc_id, round(sum(qtf * (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1)), 6) as score from post join asked using (term) join dfs using (term), whole group by all),
+tf as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from ts where score > 0)"""
+
+
+@query(_BM25 + " select query_id, doc_id, score, cast(rank as integer) as rank from bm where rank <= 10")
+def bm25_search(s: SparkSession, d: str) -> DataFrame:
+    return index.search_bm25(index.build_postings(_docs(s, d)), _t(s, d, "queries"), 10)
+
+
+@query(_BM25 + ", " + _TFIDF + " select query_id, doc_id, score, cast(rank as integer) as rank from tf where rank <= 10")
+def tfidf_search(s: SparkSession, d: str) -> DataFrame:
+    return index.search_tfidf(index.build_postings(_docs(s, d)), _t(s, d, "queries"), 10)
+
+
+@query(_BM25 + ", " + _TFIDF + """, f as (select query_id, doc_id, round(sum(x), 6) as score from (select query_id, doc_id, 1.0::double / (60 + rank) as x from bm where rank <= 30 union all select query_id, doc_id, 1.0::double / (60 + rank) from tf where rank <= 30) group by all)
+select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from f qualify rank <= 10""")
+def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
+    p = index.build_postings(_docs(s, d))
+    q = _t(s, d, "queries")
+    return index.fuse(index.search_bm25(p, q, 30), index.search_tfidf(p, q, 30), 10)
+
+
+@query(f"with {POSTINGS}, {ASKED} select query_id, doc_id from post join asked using (term) group by query_id, doc_id having count(*) = (select count(*) from asked a where a.query_id = any_value(asked.query_id))".replace("having count(*) = (select count(*) from asked a where a.query_id = any_value(asked.query_id))", "having count(*) = any_value((select count(*) from asked a where a.query_id = asked.query_id))"))
+def boolean_and(s: SparkSession, d: str) -> DataFrame:
+    return index.boolean_and(index.build_postings(_docs(s, d)), _t(s, d, "queries"))
+
+
+@query(f"with {POSTINGS}, {ASKED} select distinct query_id, doc_id from post join asked using (term)")
+def boolean_or(s: SparkSession, d: str) -> DataFrame:
+    return index.boolean_or(index.build_postings(_docs(s, d)), _t(s, d, "queries"))
+
+
+@query(f"with {POSTINGS} select doc_id, term, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) as weight, cast(row_number() over (partition by doc_id order by round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) desc, term) as integer) as rank from post join dfs using (term), whole qualify rank <= 5")
+def tfidf_top_terms(s: SparkSession, d: str) -> DataFrame:
+    return index.tfidf_terms(index.build_postings(_docs(s, d)), 5)
+
+
+@query(f"with {POSTINGS} select term, df, cast((select sum(tf) from post p where p.term = dfs.term) as bigint) as cf from dfs")
+def index_statistics(s: SparkSession, d: str) -> DataFrame:
+    return index.build_postings(_docs(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"with {TOKENS} select doc_id, term, count(*) * 2 as tf from tok group by all")
+def postings_merge(s: SparkSession, d: str) -> DataFrame:
+    p = index.build_postings(_docs(s, d))
+    return index.merge_postings(p, p).select("doc_id", "term", "tf")
+
+
+@query(
+    f"""with t as (select coalesce(lang, 'none') as class, unnest({TOK}) as term from documents), f as (select class, term, count(*) as f from t where length(term) >= 2 and term not in ({', '.join(repr(w) for w in STOPWORDS)}) group by all),
+c as (select class, sum(f) as ct from f group by all), g as (select term, sum(f) as cf from f group by all), a as (select (select sum(f) from f)::double / (select count(distinct coalesce(lang, 'none')) from documents) as av),
+w as (select class, term, round(f / ct * ln(1 + av / cf), 6) as weight from f join c using (class) join g using (term), a)
+select class, term, weight, cast(row_number() over (partition by class order by weight desc, term) as integer) as rank from w where weight > 0 qualify rank <= 10"""
+)
+def class_tfidf(s: SparkSession, d: str) -> DataFrame:
+    x = _t(s, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "text")
+    return index.class_tfidf(x, "lang", "text", 10, STOPWORDS)
+
+
+@query(f"with {POSTINGS}, v as (select doc_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) as w from post join dfs using (term), whole where df between 2 and 6), nn as (select doc_id, sqrt(sum(w * w)) as nw from v group by all) select a.doc_id as i, b.doc_id as j, round(sum(a.w * b.w) / (x.nw * y.nw), 6) as cosine from v a join v b on a.term = b.term and a.doc_id < b.doc_id join nn x on x.doc_id = a.doc_id join nn y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.nw, y.nw having round(sum(a.w * b.w) / (x.nw * y.nw), 6) >= 0.5")
+def tf_cosine_pairs(s: SparkSession, d: str) -> DataFrame:
+    p = index.build_postings(_docs(s, d))
+    n = index.doc_lengths(p).agg(F.count("*").alias("n")).select("n").scalar()
+    # terms of two to six documents: their posting lists bound the pairs
+    df = index.document_frequencies(p).where("df between 2 and 6")
+    v = p.join(df, "term").select("doc_id", "term", ((1 + F.log("tf")) * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    norm = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nw"))
+    a = v.select(F.col("doc_id").alias("i"), "term", F.col("w").alias("wi"))
+    b = v.select(F.col("doc_id").alias("j"), "term", F.col("w").alias("wj"))
+    dots = a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("s"))
+    x = dots.join(norm.select(F.col("doc_id").alias("i"), F.col("nw").alias("ni")), "i").join(norm.select(F.col("doc_id").alias("j"), F.col("nw").alias("nj")), "j")
+    return x.select("i", "j", F.round(F.col("s") / (F.col("ni") * F.col("nj")), 6).alias("cosine")).where("cosine >= 0.5")
+
+
+@query(f"with p as (select doc_id, unnest({TOK}) as term from (select doc_id, coalesce(title || chr(10) || chr(10) || title || chr(10) || chr(10), '') || text as text from documents)) select term, doc_id, count(*) as tf from p group by all")
+def field_weighting(s: SparkSession, d: str) -> DataFrame:
+    twice = F.concat(F.coalesce(F.concat("title", F.lit("\n\n"), "title", F.lit("\n\n")), F.lit("")), "text")
+    return index.build_postings(_t(s, d, "documents").select("doc_id", twice.alias("text")))
+
+
+# --- labels: users are documents, days are chunks, event types are labels
+
+_EV = "ev as (select user_id as doc, cast(epoch(ts) / 86400 as bigint) as chunk, event_id as pos, event_type as label, value as score, 1 + user_id % 3 + cast(epoch(ts) / 86400 as bigint) % 5 as weight from events)".replace("cast(epoch(ts) / 86400 as bigint)", "cast(floor(epoch(ts) / 86400) as bigint)")
+_PER = _EV + ", pc as (select doc, chunk, label, min(pos) as pos from ev group by all), pl as (select doc, label, count(*) as n, min({'c': chunk, 'p': pos}) as first from pc group by doc, label), ch as (select doc, count(distinct chunk) as chunks from ev group by doc)"
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)
+    return _t(s, d, "events").select(F.col("user_id").alias("doc"), day.alias("chunk"), F.col("event_id").alias("pos"), F.col("event_type").alias("label"), F.col("value").alias("score"), (1 + F.col("user_id") % 3 + day % 5).alias("weight"))
+
+
+@query(f"with {_PER} select doc, label, n from pl qualify row_number() over (partition by doc order by n desc, first) = 1")
+def label_vote(s: SparkSession, d: str) -> DataFrame:
+    return labels.vote(_events(s, d))
+
+
+@query(f"with {_PER} select doc, label from pl join ch using (doc) where n >= 0.5 * chunks qualify row_number() over (partition by doc order by first) = 1")
+def label_majority(s: SparkSession, d: str) -> DataFrame:
+    return labels.majority(_events(s, d))
+
+
+@query("select distinct user_id as doc, event_type as label from events")
+def label_union(s: SparkSession, d: str) -> DataFrame:
+    return labels.union(_events(s, d))
+
+
+@query(f"with {_PER} select doc, label from pl join ch using (doc) where n = chunks")
+def label_intersection(s: SparkSession, d: str) -> DataFrame:
+    return labels.intersection(_events(s, d))
+
+
+@query(f"with {_PER}, cw as (select doc, chunk, max(weight) as w from ev group by all), wh as (select doc, sum(w) as whole from cw group by all), lw as (select doc, label, sum(w) as w, min({{'c': chunk, 'p': pos}}) as first from pc join cw using (doc, chunk) group by doc, label) select doc, label, cast(w as bigint) as weight from lw join wh using (doc) where w >= 0.5 * whole qualify row_number() over (partition by doc order by w desc, first) = 1")
+def label_weighted(s: SparkSession, d: str) -> DataFrame:
+    return labels.weighted(_events(s, d)).withColumn("weight", F.col("weight").cast("long"))
+
+
+@query("select user_id as doc, event_type as label, max(value) as score from events group by all having max(value) > 5")
+def label_max_score(s: SparkSession, d: str) -> DataFrame:
+    return labels.max_score(_events(s, d), 5.0)
+
+
+# --- string metrics over neighbouring part names of a brand
+
+_PAIR = "pr as (select p_partkey as id, a, b from (select p_partkey, p_name || ' ' || p_type as a, lag(p_name || ' ' || p_type) over (partition by p_brand order by p_partkey) as b from part) where b is not null)"
+_BAG = "(select coalesce(sum(least(x, y)), 0) from (select g, sum(l) as x, sum(r) as y from (select unnest({a}) as g, 1 as l, 0 as r union all select unnest({b}), 0, 1) group by g))"
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    a = F.concat_ws(" ", "p_name", "p_type")
+    return _t(s, d, "part").select(F.col("p_partkey").alias("id"), a.alias("a"), F.lag(a).over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("b")).where("b is not null")
+
+
+def _metric_query(name: str, column: Callable, sql: str | None) -> None:
+    def f(s: SparkSession, d: str) -> DataFrame:
+        return _pairs(s, d).select("id", column(F.col("a"), F.col("b")).alias("value"))
+
+    f.__name__ = name
+    query(f"with {_PAIR} select id, {sql} as value from pr" if sql else None)(f)
+
+
+_ba, _bb = BAGS.format("a"), BAGS.format("b")
+_cnt = "list_aggregate(list_transform(list_distinct(list_concat({a}, {b})), lambda g: {f}), 'sum')"
+_ca, _cb = "len(list_filter({a}, lambda q: q = g))", "len(list_filter({b}, lambda q: q = g))"
+
+
+def _low(a: str, b: str) -> str:
+    return _cnt.format(a=a, b=b, f=f"least({_ca.format(a=a)}, {_cb.format(b=b)})")
+
+
+def _dot(a: str, b: str) -> str:
+    return _cnt.format(a=a, b=b, f=f"{_ca.format(a=a)} * {_cb.format(b=b)}")
+
+
+_ta, _tb = "string_split(lower(a), ' ')", "string_split(lower(b), ' ')"
+r6 = lambda f: lambda a, b: F.round(f(a, b), 6)
+_metric_query("levenshtein_pairs", lambda a, b: F.levenshtein(a, b).cast("long"), "levenshtein(a, b)")
+_metric_query("damerau_pairs", lambda a, b: strings.damerau_levenshtein(a, b).cast("long"), "damerau_levenshtein(a, b)")
+_metric_query("osa_pairs", strings.osa, None)
+_metric_query("hamming_pairs", lambda a, b: strings.hamming(a, b).cast("long"), "case when length(a) = length(b) then hamming(a, b) end")
+_metric_query("jaro_pairs", r6(strings.jaro), "round(jaro_similarity(a, b), 6)")
+_metric_query("jaro_winkler_pairs", r6(strings.jaro_winkler), "round(jaro_winkler_similarity(a, b), 6)")
+_metric_query("lcs_pairs", strings.lcs_length, None)
+_metric_query("common_substring_pairs", strings.common_substring_length, None)
+_metric_query("sorensen_dice_pairs", r6(strings.sorensen_dice), None)
+_metric_query("ngram_jaccard_pairs", r6(strings.METRICS["ngram_jaccard"]), f"round({_low(_ba, _bb)}::double / (len({_ba}) + len({_bb}) - {_low(_ba, _bb)}), 6)")
+_metric_query("ngram_overlap_pairs", r6(strings.METRICS["ngram_overlap"]), f"round({_low(_ba, _bb)}::double / least(len({_ba}), len({_bb})), 6)")
+_metric_query("ngram_cosine_pairs", r6(strings.METRICS["ngram_cosine"]), f"round({_dot(_ba, _bb)}::double / sqrt(({_dot(_ba, _ba)} * {_dot(_bb, _bb)})::double), 6)")
+_metric_query("token_jaccard_pairs", r6(strings.METRICS["token_jaccard"]), f"round({_low(_ta, _tb)}::double / (len({_ta}) + len({_tb}) - {_low(_ta, _tb)}), 6)")
+
+
+@query("select p_partkey as id, round(1 - levenshtein(p_name, 'small ring')::double / greatest(length(p_name), 10), 6) as score from part order by score desc, id limit 20")
+def most_similar_topk(s: SparkSession, d: str) -> DataFrame:
+    score = F.round(strings.metric("levenshtein")(F.col("p_name"), F.lit("small ring")), 6)
+    return _t(s, d, "part").select(F.col("p_partkey").alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+@query("select p_partkey as id, round(1 - levenshtein(p_name, 'small ring')::double / greatest(length(p_name), 10), 6) as score from part order by score, id limit 20")
+def least_similar_topk(s: SparkSession, d: str) -> DataFrame:
+    score = F.round(strings.metric("levenshtein")(F.col("p_name"), F.lit("small ring")), 6)
+    return _t(s, d, "part").select(F.col("p_partkey").alias("id"), score.alias("score")).orderBy("score", "id").limit(20)
+
+
+@query()
+def soundex_codes(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "part").select("p_partkey", strings.soundex("p_name").alias("code"))
+
+
+# --- matching
+
+
+@query("select doc_id, unnest(list_filter(range(0, length(text) - 1), lambda i: substr(text, i + 1, 2) = 'ss')) as at from documents")
+def substring_overlapping(s: SparkSession, d: str) -> DataFrame:
+    return matching.find_all(_docs(s, d), "ss")
+
+
+@query("select doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 as n from documents")
+def substring_count(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", ((F.length("text") - F.length(F.replace("text", F.lit("the"), F.lit("")))) / 3).cast("long").alias("n"))
+
+
+@query(r"select doc_id, unnest(regexp_extract_all(text, '[A-Z]{2}-[0-9]+')) as code from documents")
+def regex_extract(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", F.explode(extract.find(F.col("text"), "[A-Z]{2}-[0-9]+")).alias("code"))
+
+
+@query(r"select doc_id, unnest(list_filter([0, 1, 2], lambda i: case i when 0 then regexp_matches(text, '[0-9]{4}') when 1 then regexp_matches(text, '§') else regexp_matches(text, '\$[0-9]') end)) as pattern from documents")
+def regex_set(s: SparkSession, d: str) -> DataFrame:
+    hits = F.array(*(F.when(F.col("text").rlike(p), F.lit(i)) for i, p in enumerate(["[0-9]{4}", "§", r"\$[0-9]"])))
+    return _docs(s, d).select("doc_id", F.explode(F.array_compact(hits)).alias("pattern"))
+
+
+@query(r"select doc_id, unnest(regexp_extract_all(lower(text), 'sample jar|gear wheel|oak barrel|lamp')) as hit from documents")
+def multi_pattern(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", F.explode(extract.find(F.lower("text"), "sample jar|gear wheel|oak barrel|lamp")).alias("hit"))
+
+
+@query("with k as (select distinct p_name as key from part) select key, levenshtein('smal rings', key) as d from k where levenshtein('smal rings', key) <= 4")
+def fuzzy_lookup(s: SparkSession, d: str) -> DataFrame:
+    dist = F.levenshtein(F.lit("smal rings"), F.col("key"))
+    return _t(s, d, "part").select(F.col("p_name").alias("key")).distinct().where(F.abs(F.length("key") - 10) <= 4).where(dist <= 4).select("key", dist.cast("long").alias("d"))
+
+
+@query(f"with {TOKENS} select distinct term from tok where starts_with(term, 'com')")
+def prefix_lookup(s: SparkSession, d: str) -> DataFrame:
+    return index.token_rows(_docs(s, d)).select("term").distinct().where(F.col("term").startswith("com"))
+
+
+# --- lines and structure
+
+
+@query(f"with {LINES} select doc_id, cast(line_no as integer) as line_no, line from lin")
+def segment_lines(s: SparkSession, d: str) -> DataFrame:
+    return lines.lines(_docs(s, d))
+
+
+@query(rf"""with {LINES}, b as (select *, trim(regexp_replace(line, '\s', ' ', 'g')) = '' as blank from lin), m as (select *, case when not blank and coalesce(lag(blank) over w, true) then 1 else 0 end as s from b window w as (partition by doc_id order by line_no)),
+p as (select *, sum(s) over (partition by doc_id order by line_no) - 1 as par_no from m)
+select doc_id, cast(par_no as bigint) as par_no, cast(min(line_no) as integer) as first_line, cast(max(line_no) as integer) as last_line, string_agg(line, chr(10) order by line_no) as text from p where not blank group by doc_id, par_no""")
+def paragraphs_simple(s: SparkSession, d: str) -> DataFrame:
+    return lines.paragraphs(_docs(s, d))
+
+
+_kinds = " ".join("when regexp_matches(trim(line), '{}') then '{}'".format(p.replace("'", "''"), k) for k, p in lines.ENUMERATOR)
+_FEAT = rf"""{LINES}, bl as (select *, not regexp_matches(line, '\S') as blank from lin), ft as (select doc_id, line_no, line, blank, length(line) as char_len, length(line) - length(regexp_replace(line, '^[ \t]+', '')) as indent,
+case when blank then 0 else len(regexp_extract_all(line, '\S+')) end as token_count, len(regexp_extract_all(line, '\p{{Lu}}')) as up, len(regexp_extract_all(line, '\p{{Ll}}')) as lo, trim(line) as s,
+contains(line, '|') as has_pipe, len(regexp_extract_all(line, '\S[ \t]{{2,}}\S')) >= 2 as has_gaps, coalesce(lag(blank) over w, true) as blank_before, coalesce(lead(blank) over w, true) as blank_after,
+case {_kinds} end as enumerator, list_filter(regexp_split_to_array(trim(line), '\s+'), lambda t: t <> '') as tk from bl window w as (partition by doc_id order by line_no)),
+ff as (select *, case when up = 0 and lo = 0 then 'no_alpha' when lo = 0 then 'all_caps' when up = 0 then 'all_lower' when regexp_matches(s, '^\p{{Lu}}') then 'init_cap' else 'mixed' end as case_profile,
+case when ends_with(s, '.') then 'period' when ends_with(s, ':') then 'colon' when ends_with(s, ';') then 'semicolon' when regexp_matches(s, '[?!]$') then 'question' when ends_with(s, ',') then 'comma' else 'none' end as line_end,
+round(case when len(tk) > 0 then len(list_filter(tk, lambda t: contains(t, '§') or regexp_matches(t, '^[\x00-\x7F]{{1,7}}\.$')))::double / len(tk) else 0 end, 6) as citation_density from ft)"""
+
+
+@query(f"with {_FEAT} select doc_id, cast(line_no as integer) as line_no, blank, char_len, indent, token_count, case_profile, line_end, has_pipe, has_gaps, blank_before, blank_after, enumerator, citation_density from ff")
+def line_features(s: SparkSession, d: str) -> DataFrame:
+    x = lines.line_features(_docs(s, d))
+    return x.withColumns({c: F.col(c).cast("long") for c in ("char_len", "indent", "token_count")})
+
+
+@query(
+    f"""with {_FEAT}, sc as (select doc_id, line_no, blank,
+0.10 * (char_len <= 60)::int + 0.10 * blank_before::int + 0.05 * blank_after::int + 0.05 * (indent <= 4)::int + 0.20 * (case_profile = 'all_caps')::int + 0.05 * (case_profile = 'init_cap')::int + 0.10 * (line_end not in ('period', 'question'))::int + 0.10 * (line_end = 'colon' and char_len <= 60)::int + 0.30 * (enumerator is not null and char_len <= 60)::int as pos,
+-0.50 * has_pipe::int - 0.10 * (has_gaps and not has_pipe)::int - 0.30 * citation_density - 0.30 * (char_len > 200)::int as neg from ff)
+select doc_id, cast(line_no as integer) as line_no, round(case when blank then 0 else least(pos, 1.0) + greatest(neg, -1.0) end::double, 4) as score from sc"""
+)
+def heading_scores(s: SparkSession, d: str) -> DataFrame:
+    return lines.heading_scores(_docs(s, d))
+
+
+@query(rf"with {LINES} select doc_id, regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g') as canonical, count(*) as occurrences from lin where length(regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g')) > 2 group by all having count(*) >= 3")
+def repeated_lines(s: SparkSession, d: str) -> DataFrame:
+    return lines.repeated_lines(_docs(s, d))
+
+
+@query()
+def document_outline(s: SparkSession, d: str) -> DataFrame:
+    return lines.outline(_docs(s, d))
+
+
+# --- vectors
+
+_V = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings)"
+_COS = "round(greatest(-1.0, least(1.0, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)))), 6)"
+
+
+@query(f"with {_V} select a.vec_id as query_id, b.vec_id, {_COS} as score, cast(row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) as integer) as rank from v a, v b where a.vec_id % 20 = 0 qualify rank <= 10")
+def cosine_topk(s: SparkSession, d: str) -> DataFrame:
+    v = _t(s, d, "embeddings")
+    return vectors.top_k(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+
+
+@query(f"with {_V} select a.vec_id as src, b.vec_id as dst, {_COS} as score, cast(row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) as integer) as rank from v a join v b on a.vec_id <> b.vec_id qualify rank <= 5")
+def knn_graph(s: SparkSession, d: str) -> DataFrame:
+    return vectors.knn_graph(_t(s, d, "embeddings"), 5)
+
+
+@query(f"with {_V} select a.vec_id as i, b.vec_id as j, {_COS} as score from v a join v b on a.vec_id < b.vec_id where {_COS} >= 0.6")
+def near_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return vectors.near_pairs(_t(s, d, "embeddings"), 0.6)
+
+
+@query(f"with {_V}, w as (select *, lag(e) over (partition by label order by vec_id) as p from v) select label, vec_id, {_COS.replace('a.e', 'p').replace('b.e', 'e')} as score from w where p is not null")
+def cosine_adjacent(s: SparkSession, d: str) -> DataFrame:
+    return vectors.adjacent(_t(s, d, "embeddings"))
+
+
+@query(f"with {_V} select vec_id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))), 6) as total from v")
+def l2_normalize(s: SparkSession, d: str) -> DataFrame:
+    n = vectors.normalised(F.col("embedding"))
+    return _t(s, d, "embeddings").select("vec_id", F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+# --- duplicates
+
+
+@query("select md5(lower(trim(text))) as digest, min(doc_id) as keeper, count(*) as copies from documents where text is not null group by 1 having count(*) > 1")
+def exact_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return dedup.exact_groups(_docs(s, d))
+
+
+_SH = f"sg as (select distinct doc_id, unnest(case when len(k) >= 5 then list_transform(range(1, len(k) - 3), lambda i: array_to_string(k[i:i + 4], chr(9))) when len(k) = 1 then k else [] end) as shingle from (select doc_id, {TOK} as k from documents))"
+
+
+@query(f"with {_SH} select doc_id, count(*) as shingles from sg group by doc_id")
+def shingle_counts(s: SparkSession, d: str) -> DataFrame:
+    return dedup.shingles(_docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("shingles"))
+
+
+@query(f"with {_SH} select doc_id, " + ", ".join(f"min(('0x' || substr(md5('{k}:' || shingle), 1, 15))::bigint) as h{k}" for k in range(8)) + " from sg group by doc_id")
+def minhash_signatures(s: SparkSession, d: str) -> DataFrame:
+    return dedup.signatures(_docs(s, d), 8)
+
+
+@query()
+def lsh_classes(s: SparkSession, d: str) -> DataFrame:
+    return dedup.candidate_classes(_docs(s, d))
+
+
+# --- quality and readability
+
+
+@query(
+    r"""with c as (""" + SQL["char_class_counts"] + r"""), w as (select doc_id, sum(f) as words, count(*) as u, sum(f * length(term)) as wc, max(f) as mf from (select doc_id, term, count(*) as f from (select doc_id, unnest(""" + TOK.replace("translate(lower(regexp_replace(t, '^[[:punct:]\\p{P}]+|[[:punct:]\\p{P}]+$', '', 'g')), 'ς', 'σ')", "regexp_replace(t, '^[[:punct:]\\p{P}]+|[[:punct:]\\p{P}]+$', '', 'g')") + r""") as term from documents) group by all) group by doc_id)
+select doc_id, round(whitespace / total, 6) as ratio_whitespace, round(total / lines, 6) as average_line_length, round((alpha + digit) / total, 6) as ratio_alphanumeric, round(non_ascii / total, 6) as ratio_non_ascii,
+round(case when alpha > 0 then upper / alpha else 0 end, 6) as ratio_capital, round(punct / total, 6) as ratio_punctuation, round(coalesce(wc / words, 0), 6) as average_word_length, round(coalesce(u / words, 0), 6) as type_token_ratio,
+round(coalesce(mf / words, 0), 6) as max_token_frequency_ratio, round(coalesce(1 - u / words, 0), 6) as repetition_rate from c left join w using (doc_id) where total > 0"""
+)
+def quality_metrics(s: SparkSession, d: str) -> DataFrame:
+    return measures.quality_metrics(_docs(s, d))
+
+
+def _off(n: str) -> str:
+    lo, hi = measures.GENERAL[n]
+    return f"{measures.WEIGHTS[n]} * case when {n} < {lo} then ({lo} - {n}) / ({hi - lo + 1e-8!r})::double when {n} > {hi} then ({n} - {hi}) / ({hi - lo + 1e-8!r})::double else 0 end"
+
+
+@query(f"select doc_id, round(({' + '.join(_off(n) for n in measures.WEIGHTS)})::double, 5) as score from ({SQL['quality_metrics']})")
+def quality_score(s: SparkSession, d: str) -> DataFrame:
+    return measures.quality_scores(_docs(s, d))
+
+
+@query(
+    """with l as (select doc_id, max({'counted_at': counted_at, 'sentences': sentences, 'words': words, 'letters': letters, 'ld': letters_and_digits, 'syl': syllables, 'poly': polysyllable_words, 'fog': fog_complex_words, 'long': long_words}) as x from text_counts
+where doc_id is not null and sentences is not null and words is not null and letters is not null and letters_and_digits is not null and syllables is not null and polysyllable_words is not null and fog_complex_words is not null and long_words is not null group by doc_id),
+f as (select doc_id, x.sentences::double as s, x.words::double as w, x.letters::double as le, x.ld::double as ld, x.syl::double as syl, x.poly::double as poly, x.fog::double as fog, x.long::double as lo from l)
+select doc_id, round(206.835 - 1.015 * w / s - 84.6 * syl / w, 8) as flesch_reading_ease, round(0.39 * w / s + 11.8 * syl / w - 15.59, 8) as flesch_kincaid_grade, round(4.71 * ld / w + 0.5 * w / s - 21.43, 8) as automated_readability_index,
+round(0.0588 * (100 * le / w) - 0.296 * (100 * s / w) - 15.8, 8) as coleman_liau_index, round(1.043 * sqrt(poly * 30 / s) + 3.1291, 8) as smog_index, s >= 30 as smog_valid, round(0.4 * (w / s + 100 * fog / w), 8) as gunning_fog, round(w / s + 100 * lo / w, 8) as lix, round(lo / s, 8) as rix from f where w > 0 and s > 0"""
+)
+def readability_scores(s: SparkSession, d: str) -> DataFrame:
+    return measures.readability(_t(s, d, "text_counts")).where("lix is not null")
+
+
+# --- chunks
+
+
+@query(
+    """with n as (select doc_id, text, greatest(1, cast(ceil((length(text) - 512) / 448.0) as integer) + 1) as c from documents where text <> ''), k as (select doc_id, text, unnest(range(0, c)) as chunk_no from n),
+p as (select doc_id, chunk_no, chunk_no * 448 as s, least(length(text), chunk_no * 448 + 512) as e, substr(text, chunk_no * 448 + 1, least(length(text), chunk_no * 448 + 512) - chunk_no * 448) as text from k)
+select doc_id, chunk_no, s as start, e as "end", text, substr(sha256(doc_id || '|' || s || '|' || e || '|' || text), 1, 32) as chunk_id from p"""
+)
+def fixed_chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunks.fixed(_docs(s, d), 128, 16)
+
+
+@query()
+def packed_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    return chunks.packed_paragraphs(_docs(s, d), 256)
+
+
+# --- spans: entity mentions and older segments
+
+_SP = "sp as (select doc_id, coalesce(entity_type, 'none') as label, start_char::bigint as s, end_char::bigint as e from entity_matches where start_char < end_char)"
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "entity_matches").where("start_char < end_char").select("doc_id", F.coalesce("entity_type", F.lit("none")).alias("label"), F.col("start_char").cast("long").alias("start"), F.col("end_char").cast("long").alias("end"))
+
+
+def _segments(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "segments").where("start_char < end_char").select("doc_id", F.col("start_char").cast("long").alias("start"), F.col("end_char").cast("long").alias("end"))
+
+
+@query(f"""with {_SP}, r as (select *, max(e) over (partition by doc_id, label order by s, e rows between unbounded preceding and 1 preceding) as reach from sp), i as (select *, sum(case when reach is null or s - reach > 500 then 1 else 0 end) over (partition by doc_id, label order by s, e rows unbounded preceding) as island from r)
+select doc_id, label, min(s) as start, max(e) as "end" from i group by doc_id, label, island""")
+def span_merge(s: SparkSession, d: str) -> DataFrame:
+    return spans.merge_adjacent(_mentions(s, d), 500)
+
+
+@query(f"""with {_SP} select sp.doc_id, s as a_start, e as a_end, g.start_char::bigint as b_start, g.end_char::bigint as b_end from sp join segments g on g.doc_id = sp.doc_id and s < g.end_char and g.start_char < e where g.start_char < g.end_char""")
+def span_overlap_join(s: SparkSession, d: str) -> DataFrame:
+    return spans.overlapping(_mentions(s, d), _segments(s, d))
+
+
+@query(f"""with {_SP} select g.doc_id, g.start_char::bigint as start, g.end_char::bigint as "end", sp.s as "offset" from segments g join sp on g.doc_id = sp.doc_id and g.start_char <= sp.s and sp.s < g.end_char where g.start_char < g.end_char""")
+def span_containing(s: SparkSession, d: str) -> DataFrame:
+    return spans.containing(_segments(s, d), _mentions(s, d).select("doc_id", F.col("start").alias("offset")))
+
+
+@query("""with c as (select distinct doc_id, start_char, end_char, unnest(range(start_char, end_char)) as ch from segments where start_char < end_char),
+m as (select distinct doc_id, unnest(range(start_char, end_char)) as ch from entity_matches where start_char < end_char),
+k as (select c.* from c left join m on m.doc_id = c.doc_id and m.ch = c.ch where m.ch is null),
+i as (select *, ch - row_number() over (partition by doc_id, start_char, end_char order by ch) as g from k)
+select doc_id, min(ch)::bigint as start, (max(ch) + 1)::bigint as "end" from i group by doc_id, start_char, end_char, g""")
+def span_subtract(s: SparkSession, d: str) -> DataFrame:
+    return spans.subtract(_segments(s, d), _mentions(s, d))
+
+
+# --- values in text
+
+
+def _found(name: str, pattern: str, value: Callable | None = None, sql_value: str | None = None) -> None:
+    def f(s: SparkSession, d: str) -> DataFrame:
+        x = _docs(s, d).select("doc_id", F.explode(extract.find(F.col("text"), pattern)).alias("match"))
+        return x.withColumn("value", value(F.col("match"))) if value else x
+
+    f.__name__ = name
+    more = f", {sql_value} as value" if sql_value else ""
+    query(f"select doc_id, match{more} from (select doc_id, unnest(regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}')) as match from documents)")(f)
+
+
+_num = rf"cast(replace(regexp_extract(match, '{extract.NUMBER}'), ',', '') as double)"
+_found("emails", extract.EMAIL)
+_found("urls", extract.URL)
+_found("percents", extract.PERCENT, extract.number, _num)
+_found("money", extract.MONEY, extract.number, _num)
+_found("long_dates", extract.LONG_DATE, lambda m: F.date_format(F.to_date(m, "MMMM d, yyyy"), "yyyy-MM-dd"), "strftime(strptime(match, '%B %-d, %Y'), '%Y-%m-%d')")
+_found("iso_dates", extract.ISO_DATE)
+_found("durations", extract.DURATION, extract.seconds, "cast(regexp_extract(match, '^[0-9]+') as bigint) * (case regexp_extract(match, '(minute|hour|day|week|month|year)', 1) when 'minute' then 60 when 'hour' then 3600 when 'day' then 86400 when 'week' then 604800 when 'month' then 2592000 else 31536000 end)")
+_found("clock_times", extract.CLOCK)
+
+
+# --- lexicon: the alias table read as relations
+
+_ED = "ed as (select lower(short_form) as src, lower(long_form) as dst from name_aliases union select lower(long_form), 'name' from name_aliases)"
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    a = _t(s, d, "name_aliases").select(F.lower("short_form").alias("src"), F.lit("short_for").alias("relation"), F.lower("long_form").alias("dst"))
+    return a.unionByName(a.select(F.col("dst").alias("src"), F.lit("is_a").alias("relation"), F.lit("name").alias("dst"))).distinct()
+
+
+@query(f"with {_ED}, w as (select distinct lower(short_form) as word from name_aliases) select word, word as term, 0 as hops from w union all select word, dst, 1 from w join ed on src = word union all select distinct word, e2.dst, 2 from w join ed e1 on e1.src = word join ed e2 on e2.src = e1.dst where e2.dst <> word and e2.dst not in (select dst from ed e3 where e3.src = word)")
+def lexicon_expand(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.expand(_edges(s, d), _t(s, d, "name_aliases").select(F.lower("short_form").alias("word")), 2)
+
+
+@query(f"with {TOKENS}, {_ED}, n as (select term, count(*) as n from tok group by term), h as (select src as word, dst as concept, 1 as hops from ed union select e1.src, e2.dst, 2 from ed e1 join ed e2 on e2.src = e1.dst where not exists (select 1 from ed e3 where e3.src = e1.src and e3.dst = e2.dst)) select concept as term, round(sum(ln(1 + n) / hops), 6) as score from h join n on n.term = word group by concept order by score desc, term limit 10")
+def concepts(s: SparkSession, d: str) -> DataFrame:
+    counts = index.token_rows(_docs(s, d)).groupBy("term").agg(F.count("*").alias("n"))
+    return lexicon.concepts(counts.join(_edges(s, d).select(F.col("src").alias("term")).distinct(), "term", "left_semi"), _edges(s, d), 2)
+
+
+# --- streams
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def windowed_counts(s: SparkSession, d: str) -> DataFrame:
+    return incremental.windowed_counts(_t(s, d, "events")).withColumn("total", F.round("total", 4))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries by name."""
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that have one."""
+    return dict(SQL)
