@@ -16,17 +16,17 @@ The chance to miss a pair is that of meeting in no band: with 320 bins and 64 ba
 Defined results
 ---------------
 * null, blank or shorter-than-substring texts: equal ones are copies of one another, else they resemble nothing;
-* null ids: dropped; repeated ids: every row counts once per id (the smallest text);
+* null ids: dropped; repeated ids: one of their rows counts (that of the least text hash);
 * an empty table yields empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +50,18 @@ def gram_hashes(text: str, n: int = GRAM) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     if len(c) < n:
         return np.empty(0, np.uint64)
-    h = np.zeros(len(c) - n + 1, np.uint64)
-    for k in range(n):
-        h *= _P
-        h += c[k : len(c) - n + 1 + k]
+    # doubling: the hash of 2k characters from two of k, then the odd one
+    h, k = c, 1
+    power = int(_P)
+    for bit in bin(n)[3:]:
+        h = h[:-k] * np.uint64(power) + h[k:]
+        power = power * power % 2**64
+        k *= 2
+        if bit == "1":
+            h = h[:-1] * _P + c[k:]
+            power = power * int(_P) % 2**64
+            k += 1
+    h = h.copy() if h is c else h
     h ^= h >> np.uint64(29)
     h *= _MUL
     h ^= h >> np.uint64(32)
@@ -80,10 +88,10 @@ def sketch(h: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def bits_of(s: np.ndarray) -> bytes:
-    """The sketch's one-bit hashes, packed."""
+def bits_of(s: np.ndarray) -> np.ndarray:
+    """The sketch's one-bit hashes, packed into signed 64-bit words."""
     x = (s ^ (s >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.packbits(((x >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).tobytes()
+    return np.packbits(((x >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def bands_of(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -96,13 +104,13 @@ def bands_of(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return k.view(np.int64)
 
 
-def planes(bits: list[bytes], bins: int = BINS) -> np.ndarray:
-    """Vertical bit planes: row p holds bit p of all sketches, 64 to a word."""
-    m = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)[:, :bins]
-    pad = (-len(bits)) % 64
+def planes(words: np.ndarray) -> np.ndarray:
+    """Vertical bit planes of sketches [n, words]: row p holds bit p of all sketches, 64 to a word."""
+    m = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
+    pad = (-len(m)) % 64
     if pad:
-        m = np.vstack([m, np.zeros((pad, bins), np.uint8)])
-    return np.packbits(m.T.copy(), axis=1, bitorder="little").view(np.uint64)
+        m = np.vstack([m, np.zeros((pad, m.shape[1]), np.uint8)])
+    return np.packbits(np.ascontiguousarray(m.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def _add(counter: list[np.ndarray], x: np.ndarray, weight: int) -> None:
@@ -165,35 +173,29 @@ def within_radius(diff: np.ndarray, radius: int, step: int = 32) -> np.ndarray:
     return out
 
 
-def pairs_within(left: list[bytes], right: list[bytes], pick: list[tuple[int, int]] | None, radius: int) -> list[tuple[int, int]]:
-    """Index pairs within the radius: all of left x right, or of the listed pairs only (lanes then are pairs)."""
-    if pick is not None:
-        found = []
-        lb = np.frombuffer(b"".join(left), np.uint8).reshape(len(left), -1)
-        rb = np.frombuffer(b"".join(right), np.uint8).reshape(len(right), -1)
-        for k in range(0, len(pick), 16384):
-            part = np.array(pick[k : k + 16384])
-            x = lb[part[:, 0]] ^ rb[part[:, 1]]
-            ok = within_radius(planes([r.tobytes() for r in x]) if len(x) < 64 else _planes_of(x), radius)
-            lanes = np.unpackbits(ok.view(np.uint8), bitorder="little")[: len(part)]
-            found += [tuple(p) for p in part[lanes == 1].tolist()]
-        return found
-    pr = planes(right)
+def _lanes(ok: np.ndarray, n: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(ok.view(np.uint8), bitorder="little")[:n])
+
+
+def listed_within(words: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, lanes: int = 16384) -> np.ndarray:
+    """Which of the listed pairs of rows lie within the radius; 64 pairs share a word."""
     found = []
-    for i, b in enumerate(left):
-        mine = np.unpackbits(np.frombuffer(b, np.uint8))[: len(pr)].astype(bool)
-        ok = within_radius(np.where(mine[:, None], ~pr, pr), radius)
-        lanes = np.flatnonzero(np.unpackbits(ok.view(np.uint8), bitorder="little")[: len(right)])
-        found += [(i, int(j)) for j in lanes]
-    return found
+    for k in range(0, len(a), lanes):
+        x = words[a[k : k + lanes]] ^ words[b[k : k + lanes]]
+        found.append(_lanes(within_radius(planes(x), radius), len(x)) + k)
+    return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def _planes_of(x: np.ndarray) -> np.ndarray:
-    m = np.unpackbits(x, axis=1)[:, :BINS]
-    pad = (-len(m)) % 64
-    if pad:
-        m = np.vstack([m, np.zeros((pad, m.shape[1]), np.uint8)])
-    return np.packbits(np.ascontiguousarray(m.T), axis=1, bitorder="little").view(np.uint64)
+def block_within(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of left x right within the radius; each text of the left is compared with the whole right block."""
+    pr = planes(right)
+    xs, ys = [], []
+    for i in range(len(left)):
+        mine = np.unpackbits(left[i : i + 1].view(np.uint8)).astype(bool)
+        hit = _lanes(within_radius(np.where(mine[:, None], ~pr, pr), radius), len(right))
+        xs.append(np.full(len(hit), i))
+        ys.append(hit)
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
@@ -203,8 +205,15 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return both / every if every else 0.0
 
 
+WORDS = BINS // 64
+SMALL = 48
+#: Ids sent to all workers at once at most; more go through a shuffled join.
+SEND = 200_000
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(copy_of, doc_id, bits, bands, packed): one row for each id; copy_of is the hash of the normalised text."""
+    """(doc_id, c1, c2, w0.., bands): one row for each row; c1 and c2 are the hash of the normalised text, w and bands
+    are null for texts without a substring of GRAM characters."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -213,108 +222,121 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = []
             for d, t in zip(b["doc_id"], b["text"]):
                 u = normalise(t or "")
-                rows.append((d, hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=16).digest(), zlib.compress(u.encode("utf-8", "surrogatepass"), 1)))
-            yield pd.DataFrame(rows, columns=["doc_id", "copy_of", "packed"])
+                c = np.frombuffer(hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64)
+                h = gram_hashes(u)
+                if len(h):
+                    s = sketch(h)
+                    rows.append((d, c[0], c[1], *bits_of(s), bands_of(s)))
+                else:
+                    rows.append((d, c[0], c[1], *[None] * WORDS, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "c1", "c2", *(f"w{k}" for k in range(WORDS)), "bands"])
+            for k in range(WORDS):
+                out[f"w{k}"] = out[f"w{k}"].astype("Int64")
+            yield out
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return src.mapInPandas(run, "doc_id long, copy_of binary, packed binary")
+    return src.mapInPandas(run, "doc_id long, c1 long, c2 long, " + ", ".join(f"w{k} long" for k in range(WORDS)) + ", bands array<long>")
+
+
+def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join on doc_id; the ids are sent to the workers where they are few, counted first."""
+    return df.join(F.broadcast(ids) if ids.count() <= SEND else ids, "doc_id", how)
 
 
 def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
-                     tile: int = 2048, slack: float = 4.0) -> tuple[DataFrame, DataFrame]:
+                     tile: int = 2048, slack: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership (doc_id, representative) of exact copies, links (rep_a, rep_b, alike) between
     representatives that are alike by ``threshold`` or more."""
     rows = cut_lineage(_sketches(docs, id_col, text_col))
-    reps = rows.groupBy("copy_of").agg(F.min("doc_id").alias("representative"))
-    member = rows.select("doc_id", "copy_of").join(reps, "copy_of").groupBy("doc_id").agg(F.min("representative").alias("representative"))
-    own = rows.join(member.where("doc_id = representative").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("packed").alias("packed"))
-
-    def sketch_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            out = []
-            for d, p in zip(b["doc_id"], b["packed"]):
-                h = gram_hashes(zlib.decompress(p).decode("utf-8", "surrogatepass"))
-                if len(h):
-                    s = sketch(h)
-                    out.append((d, bits_of(s), bands_of(s).tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "bits", "bands"])
-
-    sk = cut_lineage(own.mapInPandas(sketch_rows, "doc_id long, bits binary, bands array<long>"))
-    entries = sk.select("doc_id", F.explode("bands").alias("band"))
-    # the size of each block, counted before anything is gathered; blocks of one text go
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("c"))  # a repeated id counts once
+    groups = one.groupBy("c").agg(F.min("doc_id").alias("representative"))
+    member = cut_lineage(one.join(groups, "c").select("doc_id", "representative", "c"))
+    others = member.where("doc_id <> representative").select("doc_id")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    sk = _only(rows.where("bands is not null"), others, "left_anti")
+    if not repeated.isEmpty():
+        sk = sk.join(member.select("doc_id", "c"), "doc_id").where("c1 = c.c1 and c2 = c.c2").dropDuplicates(["doc_id"])
+    words = [f"w{k}" for k in range(WORDS)]
+    # one exchange on the band serves the counting of its block and the join with the count
+    entries = sk.select("doc_id", F.explode("bands").alias("band")).repartition("band")
     sizes = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = entries.join(sizes, "band")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    met = met.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    # small blocks: one row a block; large ones: one row for each pair of tiles
+    met = entries.join(sizes, "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+    met = met.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    # a block of at most ``tile`` texts is one row; a larger one is a row for each pair of tiles
     spread = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "band", "doc_id", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")
     )
+    grouped = (
+        spread.join(sk.select("doc_id", *words), "doc_id").groupBy("band", "i", "j")
+        .agg(F.collect_list(F.struct("t", "doc_id", *words)).alias("docs")).where("size(docs) > 1").select("i", "j", "docs")
+    )
     radius = int((1 - threshold) / 2 * BINS + slack * (BINS * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
 
-    withbits = spread.join(sk.select("doc_id", "bits"), "doc_id")
-    grouped = withbits.groupBy("band", "i", "j").agg(F.collect_list(F.struct("t", "doc_id", "bits")).alias("docs")).where("size(docs) > 1")
-
-    def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            left: list[bytes] = []
-            ids: list[int] = []
-            where: dict[int, int] = {}
-            pick: set[tuple[int, int]] = set()
-            out: set[tuple[int, int]] = set()
-
-            def place(x: dict) -> int:
-                k = where.get(x["doc_id"])
-                if k is None:
-                    k = where[x["doc_id"]] = len(ids)
-                    ids.append(x["doc_id"])
-                    left.append(x["bits"])
-                return k
-
-            for i, j, ds in zip(b["i"], b["j"], b["docs"]):
-                if len(ds) <= 48:
-                    ks = [(place(x), x["t"]) for x in ds]
-                    for n, (x, tx) in enumerate(ks):
-                        pick.update((x, y) if x < y else (y, x) for y, ty in ks[n + 1 :] if i == j or tx != ty)
-                    if len(pick) >= 200_000:
-                        out.update((ids[x], ids[y]) for x, y in pairs_within(left, left, list(pick), radius))
-                        pick.clear()
-                    continue
-                one = [x for x in ds if x["t"] == i]
-                two = one if i == j else [x for x in ds if x["t"] == j]
-                for x, y in pairs_within([q["bits"] for q in one], [q["bits"] for q in two], None, radius):
-                    if one[x]["doc_id"] != two[y]["doc_id"]:
-                        out.add((one[x]["doc_id"], two[y]["doc_id"]))
-            if pick:
-                out.update((ids[x], ids[y]) for x, y in pairs_within(left, left, list(pick), radius))
-            yield pd.DataFrame([(min(x, y), max(x, y)) for x, y in out], columns=["a", "b"])
-
-    near = cut_lineage(grouped.select("i", "j", "docs").mapInPandas(compare, "a long, b long").distinct())
-    texts = own.withColumnRenamed("doc_id", "d")
-    half = near.join(texts, F.col("a") == F.col("d")).select("a", "b", F.col("packed").alias("pa"))
-    both = half.join(texts, F.col("b") == F.col("d")).select("a", "b", "pa", F.col("packed").alias("pb"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs_ = b.column("docs")
+            flat = docs_.flatten()
+            ids = flat.field("doc_id").to_numpy()
+            t = flat.field("t").to_numpy()
+            w = np.stack([flat.field(c).to_numpy() for c in words], axis=1)
+            ends = np.cumsum(docs_.value_lengths().to_numpy())
+            starts = ends - docs_.value_lengths().to_numpy()
+            size = ends - starts
+            same = b.column("i").to_numpy() == b.column("j").to_numpy()
+            known, local = np.unique(ids, return_inverse=True)
+            codes = []
+            for n in np.unique(size[same & (size <= SMALL)]):
+                s = starts[same & (size == n)]
+                x, y = np.triu_indices(n, 1)
+                p, q = local[(s[:, None] + x).ravel()], local[(s[:, None] + y).ravel()]
+                codes.append(np.unique(np.minimum(p, q) * len(known) + np.maximum(p, q)))
+            sketches = np.empty((len(known), WORDS), np.int64)
+            sketches[local] = w
+            pick = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+            p, q = pick // max(1, len(known)), pick % max(1, len(known))
+            ok = listed_within(sketches, p, q, radius)
+            a, c = [known[p[ok]]], [known[q[ok]]]
+            for k in np.flatnonzero(~(same & (size <= SMALL))):
+                span = slice(starts[k], ends[k])
+                left = np.flatnonzero(t[span] == b.column("i")[k].as_py()) + starts[k]
+                right = left if same[k] else np.flatnonzero(t[span] == b.column("j")[k].as_py()) + starts[k]
+                if len(left) and len(right):
+                    x, y = block_within(w[left], w[right], radius)
+                    a.append(ids[left[x]])
+                    c.append(ids[right[y]])
+            a_, c_ = np.concatenate(a), np.concatenate(c)
+            keep = a_ != c_
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, c_)[keep]), pa.array(np.maximum(a_, c_)[keep])], names=["a", "b"])
+
+    near = cut_lineage(grouped.mapInArrow(compare, "a long, b long").distinct())
+    needed = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = _only(text, needed, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "d")
+    half = near.join(texts, F.col("a") == F.col("d")).select("a", "b", F.col("text").alias("ta"))
+    both = half.join(texts, F.col("b") == F.col("d")).select("a", "b", "ta", F.col("text").alias("tb"))
 
     def exact(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            memo: dict[bytes, np.ndarray] = {}
+            memo: dict[str, np.ndarray] = {}
 
-            def grams(p: bytes) -> np.ndarray:
-                if p not in memo:
+            def grams(t: str) -> np.ndarray:
+                if t not in memo:
                     if len(memo) > 2000:
                         memo.clear()
-                    memo[p] = np.unique(gram_hashes(zlib.decompress(p).decode("utf-8", "surrogatepass")))
-                return memo[p]
+                    memo[t] = np.unique(gram_hashes(normalise(t)))
+                return memo[t]
 
-            out = [(x, y, resemblance(grams(p), grams(q))) for x, y, p, q in zip(b["a"], b["b"], b["pa"], b["pb"])]
+            out = [(x, y, resemblance(grams(p), grams(q))) for x, y, p, q in zip(b["a"], b["b"], b["ta"], b["tb"])]
             yield pd.DataFrame([r for r in out if r[2] >= threshold], columns=["rep_a", "rep_b", "alike"])
 
-    return member, cut_lineage(both.mapInPandas(exact, "rep_a long, rep_b long, alike double"))
+    return member.select("doc_id", "representative"), cut_lineage(both.mapInPandas(exact, "rep_a long, rep_b long, alike double"))
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of documents alike by ``threshold`` or more, copies included."""
     member, links = copies_and_links(docs, id_col, text_col, threshold)
-    member = cut_lineage(member)
     a = member.select(F.col("doc_id").alias("x"), F.col("representative").alias("rep_a"))
     b = member.select(F.col("doc_id").alias("y"), F.col("representative").alias("rep_b"))
     across = links.join(a, "rep_a").join(b, "rep_b").select("x", "y")
