@@ -312,7 +312,7 @@ def sentences(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
     def needs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             rows = sorted({w for t in b["text"] for w in open_words(t)})
-            yield pd.DataFrame({"key": rows})
+            yield pd.DataFrame({"key": pd.Series(rows, dtype=object)})
 
     keys = mine.select("text").mapInPandas(needs, "key string").distinct()
     # the fixed bound on a word's length bounds the keys; they meet the counts in a shuffled join, not on the driver
