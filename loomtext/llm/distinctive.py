@@ -47,7 +47,8 @@ def term_weights(postings: DataFrame, probes: DataFrame, k1: float = K1, b: floa
     asked = probes.where("doc_id is not null").select("doc_id").distinct()
     mine = cur.join(asked, "doc_id")
     mine = mine.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
-    df = cur.groupBy("term").agg(F.count("*").alias("df"))
+    # counted by tf, so that the branch reads the same columns as the others and shares their exchange
+    df = cur.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
     n = whole.select("n").scalar()
     avgdl = whole.select("avgdl").scalar()
     tf = F.col("tf").cast("double")
