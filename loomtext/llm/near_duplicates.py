@@ -105,12 +105,25 @@ def bands_of(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def planes(words: np.ndarray) -> np.ndarray:
-    """Vertical bit planes of sketches [n, words]: row p holds bit p of all sketches, 64 to a word."""
-    m = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
-    pad = (-len(m)) % 64
-    if pad:
-        m = np.vstack([m, np.zeros((pad, m.shape[1]), np.uint8)])
-    return np.packbits(np.ascontiguousarray(m.T), axis=1, bitorder="little").view(np.uint64)
+    """Vertical bit planes of sketches [n, words]: row p holds bit p of all sketches, 64 to a word.
+
+    Each 64 x 64 square of bits is transposed by six rounds of masked swaps."""
+    n, k = words.shape
+    groups = -(-n // 64)
+    x = np.zeros((groups * 64, k), np.uint64)
+    x[:n] = words.view(np.uint64) if words.dtype != np.uint64 else words
+    x = np.ascontiguousarray(x.reshape(groups, 64, k).transpose(2, 1, 0))  # [word, text in group, group]
+    j = 32
+    mask = 0x00000000FFFFFFFF
+    while j:
+        v = x.reshape(k, 32 // j, 2, j, groups)
+        upper, lower = v[:, :, 0], v[:, :, 1]
+        t = ((upper >> np.uint64(j)) ^ lower) & np.uint64(mask)
+        lower ^= t
+        upper ^= t << np.uint64(j)
+        j >>= 1
+        mask = (mask ^ (mask << j)) & 0xFFFFFFFFFFFFFFFF if j else mask
+    return x.reshape(k * 64, groups)
 
 
 def _add(counter: list[np.ndarray], x: np.ndarray, weight: int) -> None:
@@ -177,7 +190,7 @@ def _lanes(ok: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(ok.view(np.uint8), bitorder="little")[:n])
 
 
-def listed_within(words: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, lanes: int = 16384) -> np.ndarray:
+def listed_within(words: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, lanes: int = 65536) -> np.ndarray:
     """Which of the listed pairs of rows lie within the radius; 64 pairs share a word."""
     found = []
     for k in range(0, len(a), lanes):
@@ -186,15 +199,17 @@ def listed_within(words: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int,
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def block_within(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of left x right within the radius; each text of the left is compared with the whole right block."""
-    pr = planes(right)
+def block_within(left: np.ndarray, right: np.ndarray, radius: int, at_once: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of left x right within the radius, ``at_once`` pairs at a time."""
+    both = np.vstack([left, right])
+    step = max(1, at_once // max(1, len(right)))
     xs, ys = [], []
-    for i in range(len(left)):
-        mine = np.unpackbits(left[i : i + 1].view(np.uint8)).astype(bool)
-        hit = _lanes(within_radius(np.where(mine[:, None], ~pr, pr), radius), len(right))
-        xs.append(np.full(len(hit), i))
-        ys.append(hit)
+    for k in range(0, len(left), step):
+        x = np.repeat(np.arange(k, min(k + step, len(left))), len(right))
+        y = np.tile(np.arange(len(right)), len(x) // max(1, len(right)))
+        ok = listed_within(both, x, y + len(left), radius)
+        xs.append(x[ok])
+        ys.append(y[ok])
     return np.concatenate(xs), np.concatenate(ys)
 
 
@@ -206,7 +221,6 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 WORDS = BINS // 64
-SMALL = 48
 #: Ids sent to all workers at once at most; more go through a shuffled join.
 SEND = 200_000
 
@@ -286,27 +300,29 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             size = ends - starts
             same = b.column("i").to_numpy() == b.column("j").to_numpy()
             known, local = np.unique(ids, return_inverse=True)
-            codes = []
-            for n in np.unique(size[same & (size <= SMALL)]):
-                s = starts[same & (size == n)]
-                x, y = np.triu_indices(n, 1)
-                p, q = local[(s[:, None] + x).ravel()], local[(s[:, None] + y).ravel()]
-                codes.append(np.unique(np.minimum(p, q) * len(known) + np.maximum(p, q)))
             sketches = np.empty((len(known), WORDS), np.int64)
             sketches[local] = w
-            pick = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
-            p, q = pick // max(1, len(known)), pick % max(1, len(known))
-            ok = listed_within(sketches, p, q, radius)
-            a, c = [known[p[ok]]], [known[q[ok]]]
-            for k in np.flatnonzero(~(same & (size <= SMALL))):
+            a, c = [], []
+            for n in np.unique(size[same]):
+                x, y = np.triu_indices(n, 1)
+                of_size = starts[same & (size == n)]
+                step = max(1, 1_000_000 // max(1, len(x)))
+                for k in range(0, len(of_size), step):  # blocks of one size together, about a million lanes at a time
+                    s = of_size[k : k + step]
+                    p, q = local[(s[:, None] + x).ravel()], local[(s[:, None] + y).ravel()]
+                    ok = listed_within(sketches, p, q, radius)
+                    code = np.unique(np.minimum(p[ok], q[ok]) * len(known) + np.maximum(p[ok], q[ok]))
+                    a.append(known[code // len(known)])
+                    c.append(known[code % len(known)])
+            for k in np.flatnonzero(~same):
                 span = slice(starts[k], ends[k])
                 left = np.flatnonzero(t[span] == b.column("i")[k].as_py()) + starts[k]
-                right = left if same[k] else np.flatnonzero(t[span] == b.column("j")[k].as_py()) + starts[k]
+                right = np.flatnonzero(t[span] == b.column("j")[k].as_py()) + starts[k]
                 if len(left) and len(right):
                     x, y = block_within(w[left], w[right], radius)
                     a.append(ids[left[x]])
                     c.append(ids[right[y]])
-            a_, c_ = np.concatenate(a), np.concatenate(c)
+            a_, c_ = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, c))
             keep = a_ != c_
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, c_)[keep]), pa.array(np.maximum(a_, c_)[keep])], names=["a", "b"])
 
