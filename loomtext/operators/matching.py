@@ -16,7 +16,8 @@ def find_all(docs: DataFrame, needle: str) -> DataFrame:
     if not needle:
         return docs.select("doc_id", F.lit(0).cast("long").alias("at")).limit(0)
     w = Window.partitionBy("doc_id", "r").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    x = docs.where(F.col("text").contains(needle)).select("doc_id", "text", F.monotonically_increasing_id().alias("r"))
-    x = x.select("doc_id", "r", F.posexplode(F.split("text", "(?=" + re.escape(needle) + ")", -1)).alias("pos", "piece"))
+    x = docs.where(F.col("text").contains(needle)).select("doc_id", "text", F.col("text").startswith(needle).alias("first"), F.monotonically_increasing_id().alias("r"))
+    x = x.select("doc_id", "r", "first", F.posexplode(F.split("text", "(?=" + re.escape(needle) + ")", -1)).alias("pos", "piece"))
     x = x.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)).cast("long"))
-    return x.where(F.col("piece").startswith(needle)).select("doc_id", "at")
+    # every later piece begins at an occurrence; an overlapping one may cut it short
+    return x.where("pos > 0 or first").select("doc_id", "at")
