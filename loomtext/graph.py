@@ -1,10 +1,10 @@
-"""Connected components over an edge table, without collecting anything."""
+"""Connected components over an edge table and ranks over a whole table, without collecting anything."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the rank from 1 of each row in a total order.  Partitions are ranges of the order, each sorted by
+    itself; the rank is a row's place in its partition and the sizes of those before."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut_lineage(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of an edge; the component is its smallest node.
 

@@ -3,11 +3,10 @@
 Method: the smallest frequency-ranked vocabulary that covers a fixed share of a document's tokens.  Words are ranked by
 their frequency in all English-like documents; a document's coverage rank is the rank of the rarest word needed to cover
 ``COVERAGE`` of its tokens.  Coverage rank and sentence complexity (words per sentence, letters per word) are calibrated
-in SQL, by the normal equations of a least-squares fit, to the grades at hand; the calibrated estimate, give or take
-``SLACK`` grades, is the operator's level, and the documents it places near an end of the scale are counted exactly.
+in SQL, by the normal equations of a least-squares fit, to the grades at hand.  The estimate stands beside the grade,
+which is counted exactly for every document and decides the band; neither selects what is counted.
 
-Ranks stop at ``max_rank`` (a documented parameter, the bound of what is sent to the workers): a document that needs
-rarer words has rank ``max_rank`` + 1; no document is left out.
+The ``head`` most frequent words are sent to the workers; documents that need rarer ones find their ranks by a join.
 
 Defined results
 ---------------
@@ -25,19 +24,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import cut_lineage
+from ..graph import cut_lineage, ranked
 from .language import _model, stretches
 from .quality import text_class
 from .sentences import split_sentences
 
 COVERAGE = 0.9
-SLACK = 6.0
 EASY = 2.5
 HARD = 17.0
-QUICK_END = re.compile(r"[.!?…][\"”’»)\]]*(?:\s+(?=[\"“„«(\[]*[A-Z0-9])|\s*\Z)|\n[ \t\r]*\n")
+#: Letters of the longest word sent to the workers.
+LONGEST_SENT = 40
 ALNUM = re.compile(r"[^\W_]")
 # Very frequent English words, for the first look at a text.
 ENGLISH = frozenset("the of and to in a is that it for was on with as be by at not or an from this has have will no any my he she his her".split())
@@ -96,14 +95,14 @@ def english_like(counts: Counter, n: int) -> bool:
     return n > 0 and sum(counts[w] for w in ENGLISH) >= 0.05 * n
 
 
-def features(text: str) -> tuple[Counter, int, int, int]:
-    """Small-letter word counts, words, quickly counted sentences, letters and digits."""
+def features(text: str) -> tuple[Counter, int, int]:
+    """Small-letter word counts, words, letters and digits."""
     words = [w for w in text.lower().split() if w not in ("-", "–", "—", "&", "|", "*", "§", "+", "=", "...")]
-    return Counter(words), len(words), max(1, len(QUICK_END.findall(text))), len("".join(words))
+    return Counter(words), len(words), len("".join(words))
 
 
-def word_ranks(docs: DataFrame, max_rank: int, text_col: str = "text") -> list[str]:
-    """The ``max_rank`` most frequent words of English-like documents, most frequent first, ties in order of letters."""
+def word_ranks(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, rank) of every word of English-like documents, the most frequent first, ties in order of letters."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -116,7 +115,7 @@ def word_ranks(docs: DataFrame, max_rank: int, text_col: str = "text") -> list[s
         for b in it:
             for t in b["t"]:
                 if t:
-                    c, n, _, _ = features(t)
+                    c, n, _ = features(t)
                     if english_like(c, n):
                         total.update(c)
             if len(total) > 300_000:
@@ -124,53 +123,59 @@ def word_ranks(docs: DataFrame, max_rank: int, text_col: str = "text") -> list[s
         yield emit()
 
     counts = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInPandas(run, "w string, n long")
-    top = counts.groupBy("w").agg(F.sum("n").alias("n")).where("length(w) <= 40").orderBy(F.desc("n"), "w").limit(max_rank)
-    return [r["w"] for r in top.collect()]
+    return ranked(counts.groupBy("w").agg(F.sum("n").alias("n")), [F.desc("n"), F.asc("w")], "rank").drop("n")
 
 
-def measured(docs: DataFrame, texts: dict[str, str], ranks: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, coverage_rank, words_per_sentence, letters_per_word, quick_grade, grade, is_english_prose) of each
-    English-like document.  ``grade`` and ``is_english_prose`` are counted exactly where the quick grade leaves it open
-    that the document is easy or hard, and null elsewhere."""
-    bc = docs.sparkSession.sparkContext.broadcast((texts, ranks))  # bounded by max_rank and the language sample
+def measured(docs: DataFrame, texts: dict[str, str], ranks: DataFrame, head: int, ends_only: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, coverage_rank, words_per_sentence, letters_per_word, grade, is_english_prose) of each English-like
+    document, ``grade`` counted exactly.  With ``ends_only``, ``is_english_prose`` is null between EASY and HARD."""
+    # a few very long words stay out of what is sent; a document that has one is ranked by the join
+    first = {r["w"]: r["rank"] for r in ranks.where(f"rank <= {head} and length(w) <= {LONGEST_SENT}").collect()}
+    bc = docs.sparkSession.sparkContext.broadcast((texts, first))  # bounded by head and the language sample
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts_, order = bc.value
-        rank = {w: k + 1 for k, w in enumerate(order)}
-        beyond = len(order) + 1
+        texts_, rank = bc.value
         model = _model(texts_)
         syl = Syllables()
         for b in it:
             rows = []
             for d, t in zip(b["doc_id"], b["text"]):
-                c, n, s, letters = features(t)
+                c, n, letters = features(t)
                 if not english_like(c, n):
                     continue
-                need, seen, cover = COVERAGE * n, 0, 0
-                for r, k in sorted((rank.get(w, beyond), k) for w, k in c.items()):
-                    seen += k
-                    cover = r
-                    if seen >= need:
-                        break
-                total_syl = sum(syl[w] * k for w, k in c.items())
-                quick = grade(n, s, total_syl)
-                exact, prose = None, None
-                if quick < EASY + 4 or quick > HARD - 5:
-                    words = sum(k for w, k in c.items() if ALNUM.search(w))
-                    exact = grade(words, len(split_sentences(t)), total_syl)
-                    if exact is not None and (exact < EASY or exact > HARD):
-                        prose = text_class(t) == "prose"
-                        if prose:
-                            size: Counter = Counter()
-                            for a, e, lang, _ in stretches(t, model):
-                                size[lang] += e - a
-                            many = [x for x, v in size.items() if v >= 0.15 * sum(size.values())]
-                            prose = many == ["en"]
-                rows.append((d, cover, n / s, letters / n, quick, exact, prose))
-            yield pd.DataFrame(rows, columns=["doc_id", "coverage_rank", "words_per_sentence", "letters_per_word", "quick_grade", "grade", "is_english_prose"])
+                need, seen, cover = COVERAGE * n, 0, None
+                if all(w in rank or len(w) <= LONGEST_SENT for w in c):
+                    for r, k in sorted((rank[w], k) for w, k in c.items() if w in rank):
+                        seen += k
+                        if seen >= need:
+                            cover = r
+                            break
+                rare = cover is None
+                words = sum(k for w, k in c.items() if ALNUM.search(w))
+                s = len(split_sentences(t))
+                exact = grade(words, s, sum(syl[w] * k for w, k in c.items()))
+                prose = None
+                if not ends_only or exact is not None and (exact < EASY or exact > HARD):
+                    prose = exact is not None and text_class(t) == "prose"
+                    if prose:
+                        size: Counter = Counter()
+                        for a, e, lang, _ in stretches(t, model):
+                            size[lang] += e - a
+                        prose = [x for x, v in size.items() if v >= 0.15 * sum(size.values())] == ["en"]
+                rows.append((d, cover, n / max(1, s), letters / n, exact, prose, list(c) if rare else None, list(c.values()) if rare else None, need))
+            out = pd.DataFrame(rows, columns=["doc_id", "head_rank", "words_per_sentence", "letters_per_word", "grade", "is_english_prose", "w", "k", "need"])
+            yield out.astype({"head_rank": "Int64", "is_english_prose": "boolean"})
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    return src.mapInPandas(run, "doc_id long, coverage_rank int, words_per_sentence double, letters_per_word double, quick_grade double, grade double, is_english_prose boolean")
+    schema = "doc_id long, head_rank long, words_per_sentence double, letters_per_word double, grade double, is_english_prose boolean, w array<string>, k array<long>, need double"
+    rows = cut_lineage(src.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    # documents that need words beyond the head find their ranks by a join
+    rare = rows.where("w is not null").select("row", "need", F.explode(F.arrays_zip("w", "k")).alias("x")).select("row", "need", "x.w", "x.k").join(ranks, "w")
+    upto = rare.withColumn("seen", F.sum("k").over(Window.partitionBy("row").orderBy("rank")))
+    cover = upto.where("seen >= need").groupBy("row").agg(F.min("rank").alias("rare_rank"))
+    return rows.join(cover, "row", "left").select(
+        "doc_id", F.coalesce("head_rank", "rare_rank").cast("int").alias("coverage_rank"), "words_per_sentence", "letters_per_word", "grade", "is_english_prose"
+    )
 
 
 def _solve(m: list[list[float]], v: list[float]) -> list[float] | None:
@@ -192,7 +197,7 @@ def _solve(m: list[list[float]], v: list[float]) -> list[float] | None:
 def calibrated(feats: DataFrame, given: DataFrame) -> DataFrame:
     """Adds ``estimate``: least squares of the given grades (doc_id, flesch_kincaid_grade, scored_at) on the logarithm
     of the coverage rank, words per sentence and letters per word.  Given grades may be wrong; those more than 3 grades
-    off the quick count don't take part."""
+    off the exact count don't take part."""
     latest = (
         given.where("doc_id is not null and flesch_kincaid_grade is not null")
         .groupBy("doc_id")
@@ -200,7 +205,7 @@ def calibrated(feats: DataFrame, given: DataFrame) -> DataFrame:
         .select("doc_id", F.col("g.flesch_kincaid_grade").alias("g"))
     )
     x = ["1.0", "ln(coverage_rank)", "words_per_sentence", "letters_per_word"]
-    ok = feats.join(latest, "doc_id").where("abs(g - quick_grade) <= 3")
+    ok = feats.join(latest, "doc_id").where("abs(g - grade) <= 3")
     sums = ok.agg(
         *(F.sum(F.expr(f"({x[i]}) * ({x[j]})")).alias(f"m{i}{j}") for i in range(4) for j in range(i, 4)),
         *(F.sum(F.expr(f"({x[i]}) * g")).alias(f"v{i}") for i in range(4)),
@@ -215,15 +220,13 @@ def calibrated(feats: DataFrame, given: DataFrame) -> DataFrame:
     return feats.withColumn("estimate", F.expr(" + ".join(f"({k!r}) * ({e})" for k, e in zip(w, x))))
 
 
-def reading_levels(docs: DataFrame, given: DataFrame, texts: dict[str, str], max_rank: int = 65_536) -> DataFrame:
+def reading_levels(docs: DataFrame, given: DataFrame, texts: dict[str, str], head: int = 65_536, ends_only: bool = False) -> DataFrame:
     """(doc_id, coverage_rank, words_per_sentence, letters_per_word, estimate, grade, band, is_english_prose) of each
-    English-like document; ``grade`` is exact where the estimate comes within SLACK of an end of the scale."""
-    feats = cut_lineage(measured(docs, texts, word_ranks(docs, max_rank)))
-    out = calibrated(feats, given)
-    near = f"estimate < {EASY + SLACK} or estimate > {HARD - SLACK}"
-    return out.withColumn("near_end", F.expr(near)).select(
-        "doc_id", "coverage_rank", "words_per_sentence", "letters_per_word", "estimate",
-        F.when(F.col("near_end"), F.col("grade")).alias("grade"),
-        F.expr(f"case when near_end and grade < {EASY} then 'easy' when near_end and grade > {HARD} then 'hard' when coalesce(quick_grade, estimate) < 8 then 'plain' else 'medium' end").alias("band"),
+    English-like document; ``grade`` is exact.  With ``ends_only``, ``is_english_prose`` is null for other bands than
+    easy and hard."""
+    feats = cut_lineage(measured(docs, texts, word_ranks(docs), head, ends_only))
+    return calibrated(feats, given).select(
+        "doc_id", "coverage_rank", "words_per_sentence", "letters_per_word", "estimate", "grade",
+        F.expr(f"case when grade < {EASY} then 'easy' when grade > {HARD} then 'hard' when grade < 8 then 'plain' when grade is not null then 'medium' end").alias("band"),
         "is_english_prose",
     )

@@ -125,6 +125,19 @@ def test_reading_level(spark):
     assert got == {0: "easy", 1: "hard"}
 
 
+def test_reading_level_counts_every_document(spark):
+    cited = ("The municipal administration reorganized institutional responsibilities pursuant to Art. 12 of the regulation and No. 5 of the supplementary "
+             "organizational provisions in Moss v. Smith and the interdisciplinary recommendations of the constitutional committee. ") * 6
+    middle = "The committee will discuss the annual report on Monday and vote on the proposal of the members. " * 8
+    d = docs(spark, cited, middle)
+    given = spark.createDataFrame([], "doc_id long, flesch_kincaid_grade double, scored_at timestamp")
+    texts = language.train([("en", k, cited + middle) for k in range(4)], 24000)
+    few, all_ = ({r["doc_id"]: r for r in reading_level.reading_levels(d, given, texts, head=h).collect()} for h in (3, 65_536))
+    assert few == all_ and few[1]["coverage_rank"] > 4  # the head is no bound of the ranks
+    assert all_[0]["band"] == "hard" and 8 < all_[1]["grade"] < 17 and all_[1]["band"] == "medium"
+    assert all_[0]["is_english_prose"] and all_[1]["is_english_prose"]
+
+
 def test_hilbert_is_a_bijection():
     pts = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     k = packing.hilbert_key(pts, 3)
