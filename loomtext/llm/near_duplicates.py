@@ -10,8 +10,9 @@ Exact copies (equal after normalising case and white space) are folded into one
 million times enters the comparison once.  A block larger than ``tile`` texts is cut into tiles, each pair of tiles one
 task, so no group is gathered in one task.  Nothing is capped or sampled.
 
-The chance to miss a pair is that of meeting in no band: with 320 bins and 64 bands of 5 rows 3e-6 at J 0.7, 0.6 % at
-0.6 and 13 % at exactly 0.5.
+A pair is missed where it meets in no band or its sketches differ beyond the radius: with 384 bins, 128 bands of 3 rows
+and 5 deviations, at independent hashes, 4e-8 and 3e-7 at exactly J 0.5 and far less above.  Sketches of texts of fewer than ``FEW`` substrings vary more; pairs
+of such texts go to the exact check without the radius.
 
 Defined results
 ---------------
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from ..graph import connected_components, cut_lineage
 
-BINS = 320
-ROWS = 5
+BINS = 384
+ROWS = 3
+#: Distinct substrings below which a sketch says too little for the radius.
+FEW = 256
 GRAM = 9
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(1099511628211)
@@ -240,16 +243,16 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = gram_hashes(u)
                 if len(h):
                     s = sketch(h)
-                    rows.append((d, c[0], c[1], *bits_of(s), bands_of(s)))
+                    rows.append((d, c[0], c[1], *bits_of(s), len(np.unique(h)), bands_of(s)))
                 else:
-                    rows.append((d, c[0], c[1], *[None] * WORDS, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "c1", "c2", *(f"w{k}" for k in range(WORDS)), "bands"])
+                    rows.append((d, c[0], c[1], *[None] * WORDS, 0, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "c1", "c2", *(f"w{k}" for k in range(WORDS)), "grams", "bands"])
             for k in range(WORDS):
                 out[f"w{k}"] = out[f"w{k}"].astype("Int64")
             yield out
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return src.mapInPandas(run, "doc_id long, c1 long, c2 long, " + ", ".join(f"w{k} long" for k in range(WORDS)) + ", bands array<long>")
+    return src.mapInPandas(run, "doc_id long, c1 long, c2 long, " + ", ".join(f"w{k} long" for k in range(WORDS)) + ", grams int, bands array<long>")
 
 
 def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -258,7 +261,7 @@ def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
-                     tile: int = 2048, slack: float = 3.0) -> tuple[DataFrame, DataFrame]:
+                     tile: int = 2048, slack: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership (doc_id, representative) of exact copies, links (rep_a, rep_b, alike) between
     representatives that are alike by ``threshold`` or more."""
     rows = cut_lineage(_sketches(docs, id_col, text_col))
@@ -281,8 +284,8 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "band", "doc_id", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")
     )
     grouped = (
-        spread.join(sk.select("doc_id", *words), "doc_id").groupBy("band", "i", "j")
-        .agg(F.collect_list(F.struct("t", "doc_id", *words)).alias("docs")).where("size(docs) > 1").select("i", "j", "docs")
+        spread.join(sk.select("doc_id", "grams", *words), "doc_id").groupBy("band", "i", "j")
+        .agg(F.collect_list(F.struct("t", "doc_id", "grams", *words)).alias("docs")).where("size(docs) > 1").select("i", "j", "docs")
     )
     radius = int((1 - threshold) / 2 * BINS + slack * (BINS * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
 
@@ -294,6 +297,7 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             flat = docs_.flatten()
             ids = flat.field("doc_id").to_numpy()
             t = flat.field("t").to_numpy()
+            grams = flat.field("grams").to_numpy()
             w = np.stack([flat.field(c).to_numpy() for c in words], axis=1)
             ends = np.cumsum(docs_.value_lengths().to_numpy())
             starts = ends - docs_.value_lengths().to_numpy()
@@ -302,6 +306,8 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             known, local = np.unique(ids, return_inverse=True)
             sketches = np.empty((len(known), WORDS), np.int64)
             sketches[local] = w
+            count = np.empty(len(known), np.int64)
+            count[local] = grams
             a, c = [], []
             for n in np.unique(size[same]):
                 x, y = np.triu_indices(n, 1)
@@ -310,7 +316,12 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 for k in range(0, len(of_size), step):  # blocks of one size together, about a million lanes at a time
                     s = of_size[k : k + step]
                     p, q = local[(s[:, None] + x).ravel()], local[(s[:, None] + y).ravel()]
-                    ok = listed_within(sketches, p, q, radius)
+                    less, more = np.minimum(count[p], count[q]), np.maximum(count[p], count[q])
+                    fit = less >= threshold * more  # a resemblance is at most the ratio of the sizes
+                    p, q, few = p[fit], q[fit], less[fit] < FEW
+                    ok = np.flatnonzero(few)
+                    far = np.flatnonzero(~few)
+                    ok = np.concatenate([ok, far[listed_within(sketches, p[far], q[far], radius)]])
                     code = np.unique(np.minimum(p[ok], q[ok]) * len(known) + np.maximum(p[ok], q[ok]))
                     a.append(known[code // len(known)])
                     c.append(known[code % len(known)])
@@ -322,6 +333,11 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     x, y = block_within(w[left], w[right], radius)
                     a.append(ids[left[x]])
                     c.append(ids[right[y]])
+                    for k_ in left[grams[left] < FEW / threshold]:  # one text at a time against the tile
+                        r = right[np.minimum(grams[right], grams[k_]) < FEW]
+                        r = r[np.minimum(grams[r], grams[k_]) >= threshold * np.maximum(grams[r], grams[k_])]
+                        a.append(np.full(len(r), ids[k_]))
+                        c.append(ids[r])
             a_, c_ = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, c))
             keep = a_ != c_
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, c_)[keep]), pa.array(np.maximum(a_, c_)[keep])], names=["a", "b"])

@@ -114,6 +114,19 @@ def test_tiles_lose_nothing(spark):
     assert {tuple(r)[:2] for r in a.collect()} == {tuple(r)[:2] for r in b.collect()}
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rnd = random.Random(5)
+    texts = []
+    for k in range(150):  # resemblance just above 0.5: the first half of the texts is shared
+        n = rnd.choice([60, 300, 1500])
+        word = lambda m: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(m)).strip().replace("  ", "x")
+        shared = word(n)
+        texts += [shared + word(int(n * 0.46)), shared + word(int(n * 0.46))]
+    want = near_pairs_brute(texts)
+    assert len(want) >= 100
+    assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(docs(spark, *texts)).collect()} == want
+
+
 def test_reading_level(spark):
     assert [reading_level.syllables(w) for w in "cat table making organization the jumped needed".split()] == [1, 2, 2, 5, 1, 1, 2]
     easy = "The cat sat on the mat. The dog ran to the bus. He has a big red hat. " * 8
