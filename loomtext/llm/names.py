@@ -150,8 +150,13 @@ class Reader:
             else:
                 self.short[key] = long.lower()
         self.first = firsts
-        self.business = set(BUSINESS) | set(self.short.values()) | {w for w in frequent if len(w) > 3 and w not in firsts and w not in self.nick}
+        fixed = set(BUSINESS) | set(self.short.values())
+        self.business = fixed
         self.memo: dict[str, str | None] = {}
+        # an abbreviation or slip of a fixed word stays one, however often it is typed
+        self.learned = {w for w in frequent if len(w) > 3 and w not in firsts and w not in self.nick and self.word(w) is None}
+        self.business = fixed | self.learned
+        self.memo = {}
 
     def word(self, t: str) -> str | None:
         """The business word a token stands for, typed out, abbreviated or with a slip; None for any other token."""
@@ -218,6 +223,7 @@ class Reader:
         tokens = [t.translate(OCR) if re.search(r"\d", t) and re.search(r"[a-z]", t) else t for t in tokens]
         # a space or hyphen slipped into a business word or first name
         words: list[str] = []
+        typed: list[tuple[str, str]] = []
         core: list[str] = []
         hint = ""
         for t in tokens:
@@ -227,8 +233,14 @@ class Reader:
             w = self.word(t)
             if w and not (len(tokens) == 2 and self.first_name(t)):
                 words.append(w)
+                typed.append((t, w))
             else:
                 core.append(t)
+        if not core and not hint and (len(typed) > 1 or typed and legal):
+            # a name of business words alone keeps one as its own: a learned word before a fixed one, else the first
+            k = next((k for k, (_, w) in enumerate(typed) if w in self.learned), 0)
+            core.append(typed[k][1])
+            words.remove(typed[k][1])
         if legal or words:
             flat: list[str] = []
             for t in core:
@@ -317,17 +329,17 @@ def name_records(matches: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def frequent_words(records: DataFrame, share: float = 0.006, least: int = 12) -> set[str]:
-    """Words of at least ``share`` of all records: no more than (words per name / share) of them, whatever the input."""
-    n = records.count()
-    rows = (
-        records.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(name), '[a-z]{4,}', 0)"))).alias("w"))
-        .groupBy("w")
-        .count()
-        .where(F.col("count") >= max(least, share * n))
-        .select("w")
-        .collect()
-    )
-    return {r["w"] for r in rows}
+    """Words that stand behind at least ``share`` of the distinct leading words of company names, and ``least`` of them:
+    no more than (words per name / share) words.  A name's own word or a person's last name, however often it is typed,
+    leads or has no legal form; leading words of one phonetic code count once."""
+    legal = r"(?i)[\s,]+(?:" + "|".join(p for _, p in LEGAL) + r")\s*$"
+    low = F.regexp_replace(F.lower("name"), r"^\s*the\s+", "")
+    words = records.where(F.col("form").isNotNull() | F.col("name").rlike(legal)).select(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)).alias("ws")).where("size(ws) > 1")
+    code = F.regexp_replace(F.regexp_replace(F.element_at("ws", 1), r"(.)\1+", "$1"), "[aeiouyhw]", "")
+    code = F.translate(code, "".join(map(chr, _PHONETIC)), "".join(_PHONETIC.values()))
+    beside = words.select(code.alias("lead"), F.explode(F.array_distinct(F.expr("slice(ws, 2, size(ws))"))).alias("w")).where("length(w) >= 4").distinct()
+    n = beside.select("lead").distinct().count()
+    return {r["w"] for r in beside.groupBy("w").count().where(F.col("count") >= max(least, share * n)).select("w").collect()}
 
 
 SPELLING = "kind string, core string, rest string, hint string, legal string"

@@ -38,6 +38,21 @@ def test_names(spark):
     assert got == {(x, y) for g in (company, person) for x in g for y in g if x < y}
 
 
+def test_names_of_a_hot_party(spark):
+    hot = [(k, ["Blackwater Logistics", "Blackwater Logistic"][k % 2], "Inc") for k in range(40)] + [(100 + k, f"{n} Harker", None) for k, n in enumerate(["John", "Mary", "J."] * 8)]
+    m = spark.createDataFrame([(i, n, e, T0) for i, n, e in hot], "match_id long, name string, entity_type string, extracted_at timestamp")
+    a = spark.createDataFrame([], "cuad_index int, clause_answers map<string,array<string>>")
+    al = spark.createDataFrame([], "short_form string, long_form string")
+    records = names.name_records(m, a)
+    assert not names.frequent_words(records) & {"blackwater", "harker"}
+    party = {r["ref"]: r["party"] for r in names.party_clusters(records, al).collect()}
+    assert len(party) == len(hot) and len({party[f"m{k}"] for k in range(40)}) == 1
+    assert len({party["m100"], party["m101"], party["m0"]}) == 3 and party["m100"] == party["m102"]
+    assert names.Reader({}, {"blackwater"}).read("Blackwater Logistics Inc")[:3] == ("company", "blackwater", "logistics")
+    assert names.Reader({}, set()).read("the Bank") is None
+    assert names.Reader({}, {"marit", "chem"}).read("Nozusagoth Marit. Chem. LLC")[1:3] == ("nozusagoth", "chemicals maritime")
+
+
 def test_pieces(spark):
     long = ("One sentence of some words ends here. " * 60).strip()
     d = docs(spark, long + "\n\nshort", "x" * 3000, "", None)
