@@ -24,8 +24,7 @@ B = 0.75
 def current_postings(postings: DataFrame) -> DataFrame:
     """(doc_id, term, tf), the latest row of each key.
 
-    One shuffle, on doc_id: the later counts by document need no other, and those by term are pre-aggregated.  Time and
-    frequency are packed into one number, so that the aggregation stays in fixed-size buffers."""
+    Time and frequency are packed into one number, so that the aggregation stays in fixed-size buffers."""
     p = postings.where("term is not null and doc_id is not null").select(
         "doc_id",
         "term",
@@ -34,23 +33,25 @@ def current_postings(postings: DataFrame) -> DataFrame:
             + F.coalesce(F.col("term_freq"), F.lit(0)).cast("decimal(10,0)")
         ).cast("decimal(38,0)").alias("k"),
     )
-    latest = p.repartition("doc_id").groupBy("doc_id", "term").agg(F.max("k").alias("k"))
+    latest = p.groupBy("doc_id", "term").agg(F.max("k").alias("k"))
     tf = F.pmod(F.col("k"), F.lit(4294967296).cast("decimal(10,0)")).cast("bigint")
     return latest.select("doc_id", "term", F.when(tf.between(1, 2147483647), tf).otherwise(F.lit(1)).alias("tf"))
 
 
 def term_weights(postings: DataFrame, probes: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, term, tf, df, score, rank) of every term of the probed documents, most characteristic first."""
-    cur = current_postings(postings)
-    lengths = cur.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    """(doc_id, term, tf, df, score, rank) of every term of the probed documents, most characteristic first.
+
+    The whole table is reduced to its latest rows once, straight into counts by term; the number of occurrences is their
+    sum, the number of documents needs one narrow column, and the probed documents are read by themselves."""
+    every = current_postings(postings).groupBy("term").agg(F.count("*").alias("c"), F.sum("tf").alias("t"))
+    # both uses read both columns, so that they share one exchange
+    df = every.select("term", F.when(F.col("t") > 0, F.col("c")).alias("df"))
+    occurrences = every.select(F.when(F.col("c") > 0, F.col("t")).alias("t")).agg(F.sum("t").alias("t")).select("t").scalar()
+    n = postings.where("term is not null and doc_id is not null").select("doc_id").distinct().agg(F.count("*").alias("n")).select("n").scalar()
     asked = probes.where("doc_id is not null").select("doc_id").distinct()
-    mine = cur.join(asked, "doc_id")
+    mine = current_postings(postings.join(asked, "doc_id", "left_semi"))
     mine = mine.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))
-    # counted by tf, so that the branch reads the same columns as the others and shares their exchange
-    df = cur.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
-    n = whole.select("n").scalar()
-    avgdl = whole.select("avgdl").scalar()
+    avgdl = occurrences / n
     tf = F.col("tf").cast("double")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
