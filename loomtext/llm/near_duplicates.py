@@ -10,9 +10,10 @@ Exact copies (equal after normalising case and white space) are folded into one
 million times enters the comparison once.  A block larger than ``tile`` texts is cut into tiles, each pair of tiles one
 task, so no group is gathered in one task.  Nothing is capped or sampled.
 
-A pair is missed where it meets in no band or its sketches differ beyond the radius: with 384 bins, 128 bands of 3 rows
-and 5 deviations, at independent hashes, 4e-8 and 3e-7 at exactly J 0.5 and far less above.  Sketches of texts of fewer than ``FEW`` substrings vary more; pairs
-of such texts go to the exact check without the radius.
+A pair is missed where it meets in no band or its sketches differ beyond the radius: with 288 bins, 72 bands of 4 rows
+and 5 deviations, at independent hashes, 1 % and 3e-7 at exactly J 0.5, 0.1 % at 0.55, 6 in 100,000 at 0.6 and far less
+above.  Sketches of texts of fewer than ``FEW`` substrings vary more; pairs of such texts go to the exact check without
+the radius.
 
 Defined results
 ---------------
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from ..graph import connected_components, cut_lineage
 
-BINS = 384
-ROWS = 3
+BINS = 288
+ROWS = 4
+#: One-bit hashes compared, a whole number of machine words.
+BITS = 256
 #: Distinct substrings below which a sketch says too little for the radius.
 FEW = 256
 GRAM = 9
@@ -94,17 +97,17 @@ def sketch(h: np.ndarray, bins: int = BINS) -> np.ndarray:
 def bits_of(s: np.ndarray) -> np.ndarray:
     """The sketch's one-bit hashes, packed into signed 64-bit words."""
     x = (s ^ (s >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.packbits(((x >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    return np.packbits(((x[:BITS] >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def bands_of(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One signed 64-bit key for each band of ``rows`` neighbouring hashes."""
+    """One signed 32-bit key for each band of ``rows`` neighbouring hashes; the band's number makes it whole."""
     m = s.reshape(-1, rows)
     k = np.arange(1, m.shape[0] + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
     for j in range(rows):
         k = (k ^ (m[:, j] + (k << np.uint64(7)))) * _MUL
         k ^= k >> np.uint64(31)
-    return k.view(np.int64)
+    return (k >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def planes(words: np.ndarray) -> np.ndarray:
@@ -223,7 +226,7 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return both / every if every else 0.0
 
 
-WORDS = BINS // 64
+WORDS = BITS // 64
 #: Ids sent to all workers at once at most; more go through a shuffled join.
 SEND = 200_000
 
@@ -252,7 +255,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield out
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return src.mapInPandas(run, "doc_id long, c1 long, c2 long, " + ", ".join(f"w{k} long" for k in range(WORDS)) + ", grams int, bands array<long>")
+    return src.mapInPandas(run, "doc_id long, c1 long, c2 long, " + ", ".join(f"w{k} long" for k in range(WORDS)) + ", grams int, bands array<int>")
 
 
 def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -262,10 +265,10 @@ def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
                      tile: int = 2048, slack: float = 5.0) -> tuple[DataFrame, DataFrame]:
-    """(membership, links): membership (doc_id, representative) of exact copies, links (rep_a, rep_b, alike) between
-    representatives that are alike by ``threshold`` or more."""
+    """(membership, links): membership (doc_id, representative, grams) of exact copies, links (rep_a, rep_b, alike)
+    between representatives that are alike by ``threshold`` or more."""
     rows = cut_lineage(_sketches(docs, id_col, text_col))
-    one = rows.groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("c"))  # a repeated id counts once
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("c1", "c2", "grams")).alias("c"))  # a repeated id counts once
     groups = one.groupBy("c").agg(F.min("doc_id").alias("representative"))
     member = cut_lineage(one.join(groups, "c").select("doc_id", "representative", "c"))
     others = member.where("doc_id <> representative").select("doc_id")
@@ -275,7 +278,8 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sk = sk.join(member.select("doc_id", "c"), "doc_id").where("c1 = c.c1 and c2 = c.c2").dropDuplicates(["doc_id"])
     words = [f"w{k}" for k in range(WORDS)]
     # one exchange on the band serves the counting of its block and the join with the count
-    entries = sk.select("doc_id", F.explode("bands").alias("band")).repartition("band")
+    keys = sk.select("doc_id", F.posexplode("bands").alias("b", "k"))
+    entries = keys.select("doc_id", (F.shiftleft(F.col("b").cast("long"), 32) + F.col("k")).alias("band")).repartition("band")
     sizes = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = entries.join(sizes, "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
     met = met.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
@@ -287,7 +291,7 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         spread.join(sk.select("doc_id", "grams", *words), "doc_id").groupBy("band", "i", "j")
         .agg(F.collect_list(F.struct("t", "doc_id", "grams", *words)).alias("docs")).where("size(docs) > 1").select("i", "j", "docs")
     )
-    radius = int((1 - threshold) / 2 * BINS + slack * (BINS * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
+    radius = int((1 - threshold) / 2 * BITS + slack * (BITS * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,18 +367,17 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = [(x, y, resemblance(grams(p), grams(q))) for x, y, p, q in zip(b["a"], b["b"], b["ta"], b["tb"])]
             yield pd.DataFrame([r for r in out if r[2] >= threshold], columns=["rep_a", "rep_b", "alike"])
 
-    return member.select("doc_id", "representative"), cut_lineage(both.mapInPandas(exact, "rep_a long, rep_b long, alike double"))
+    return member.select("doc_id", "representative", F.col("c.grams").alias("grams")), cut_lineage(both.mapInPandas(exact, "rep_a long, rep_b long, alike double"))
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of documents alike by ``threshold`` or more, copies included."""
     member, links = copies_and_links(docs, id_col, text_col, threshold)
-    a = member.select(F.col("doc_id").alias("x"), F.col("representative").alias("rep_a"))
+    a = member.select(F.col("doc_id").alias("x"), F.col("representative").alias("rep_a"), "grams")
     b = member.select(F.col("doc_id").alias("y"), F.col("representative").alias("rep_b"))
     across = links.join(a, "rep_a").join(b, "rep_b").select("x", "y")
     # copies of one text are alike by 1 as far as they have any substring at all
-    short = docs.select(F.col(id_col).cast("long").alias("x"), F.length(F.regexp_replace(F.trim(F.lower(F.col(text_col))), r"\s+", " ")).alias("n")).where(f"n < {GRAM} or n is null").select("x")
-    same = a.join(b, F.col("rep_a") == F.col("rep_b")).where("x < y").join(short, "x", "left_anti").select("x", "y")
+    same = a.join(b, F.col("rep_a") == F.col("rep_b")).where("x < y and grams > 0").select("x", "y")
     return across.unionByName(same).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
@@ -385,7 +388,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     comp = connected_components(links, "rep_a", "rep_b")
     degree = links.select(F.explode(F.array("rep_a", "rep_b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     return (
-        member.join(comp, F.col("representative") == F.col("node"), "left").drop("node")
+        member.drop("grams").join(comp, F.col("representative") == F.col("node"), "left").drop("node")
         .join(degree, F.col("representative") == F.col("node"), "left")
         .select("doc_id", F.coalesce("component", "representative").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
