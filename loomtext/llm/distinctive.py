@@ -33,7 +33,8 @@ def current_postings(postings: DataFrame) -> DataFrame:
             + F.coalesce(F.col("term_freq"), F.lit(0)).cast("decimal(10,0)")
         ).cast("decimal(38,0)").alias("k"),
     )
-    latest = p.groupBy("doc_id", "term").agg(F.max("k").alias("k"))
+    # by document: neighbouring rows repeat its id and time, which compresses well, and later windows by document need no other exchange
+    latest = p.repartition("doc_id").groupBy("doc_id", "term").agg(F.max("k").alias("k"))
     tf = F.pmod(F.col("k"), F.lit(4294967296).cast("decimal(10,0)")).cast("bigint")
     return latest.select("doc_id", "term", F.when(tf.between(1, 2147483647), tf).otherwise(F.lit(1)).alias("tf"))
 
@@ -43,10 +44,10 @@ def term_weights(postings: DataFrame, probes: DataFrame, k1: float = K1, b: floa
 
     The whole table is reduced to its latest rows once, straight into counts by term; the number of occurrences is their
     sum, the number of documents needs one narrow column, and the probed documents are read by themselves."""
-    every = current_postings(postings).groupBy("term").agg(F.count("*").alias("c"), F.sum("tf").alias("t"))
-    # both uses read both columns, so that they share one exchange
+    every = current_postings(postings).groupBy("term").agg(F.sum("tf").alias("t"), F.count("*").alias("c"))
+    # both uses read both columns in the same order, so that they share one exchange
     df = every.select("term", F.when(F.col("t") > 0, F.col("c")).alias("df"))
-    occurrences = every.select(F.when(F.col("c") > 0, F.col("t")).alias("t")).agg(F.sum("t").alias("t")).select("t").scalar()
+    occurrences = every.select(F.when((F.col("t") > 0) & (F.col("c") > 0), F.col("t")).alias("t")).agg(F.sum("t").alias("t")).select("t").scalar()
     n = postings.where("term is not null and doc_id is not null").select("doc_id").distinct().agg(F.count("*").alias("n")).select("n").scalar()
     asked = probes.where("doc_id is not null").select("doc_id").distinct()
     mine = current_postings(postings.join(asked, "doc_id", "left_semi"))
