@@ -10,10 +10,10 @@ Exact copies (equal after normalising case and white space) are folded into one
 million times enters the comparison once.  A block larger than ``tile`` texts is cut into tiles, each pair of tiles one
 task, so no group is gathered in one task.  Nothing is capped or sampled.
 
-A pair is missed where it meets in no band or its sketches differ beyond the radius: with 288 bins, 72 bands of 4 rows
-and 5 deviations, at independent hashes, 1 % and 3e-7 at exactly J 0.5, 0.1 % at 0.55, 6 in 100,000 at 0.6 and far less
-above.  Sketches of texts of fewer than ``FEW`` substrings vary more; pairs of such texts go to the exact check without
-the radius.
+A pair is missed where it meets in no band or its sketches differ beyond the radius.  With 64 bands of 4 rows, at
+independent hashes, 1.6 % of pairs at exactly J 0.5 meet in no band, 0.3 % at 0.55, 0.02 % at 0.6, 1 in 100 million at
+0.7; with 384 compared bits and 4 deviations, 3 in 100,000 at exactly 0.5 lie beyond the radius, far fewer above.  Sketches
+of texts of fewer than ``FEW`` substrings vary more; pairs of such texts go to the exact check without the radius.
 
 Defined results
 ---------------
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from ..graph import connected_components, cut_lineage
 
-BINS = 288
+BINS = 384
+#: Bands of ``ROWS`` neighbouring hashes; those behind them serve the comparison only.
+BANDS = 64
 ROWS = 4
-#: One-bit hashes compared, a whole number of machine words.
-BITS = 256
 #: Distinct substrings below which a sketch says too little for the radius.
 FEW = 256
 GRAM = 9
@@ -77,8 +77,7 @@ def gram_hashes(text: str, n: int = GRAM) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """One-permutation MinHash: the least hash of each bin; an empty bin takes over from the next filled one."""
-    h = np.sort(h)
+    """One-permutation MinHash of sorted hashes: the least of each bin; an empty bin takes over from the next filled one."""
     at = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
     first = np.ones(len(h), bool)
     first[1:] = at[1:] != at[:-1]
@@ -97,12 +96,12 @@ def sketch(h: np.ndarray, bins: int = BINS) -> np.ndarray:
 def bits_of(s: np.ndarray) -> np.ndarray:
     """The sketch's one-bit hashes, packed into signed 64-bit words."""
     x = (s ^ (s >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.packbits(((x[:BITS] >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    return np.packbits(((x >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-def bands_of(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands_of(s: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """One signed 32-bit key for each band of ``rows`` neighbouring hashes; the band's number makes it whole."""
-    m = s.reshape(-1, rows)
+    m = s[: rows * bands].reshape(-1, rows)
     k = np.arange(1, m.shape[0] + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
     for j in range(rows):
         k = (k ^ (m[:, j] + (k << np.uint64(7)))) * _MUL
@@ -205,20 +204,35 @@ def listed_within(words: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int,
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def block_within(left: np.ndarray, right: np.ndarray, radius: int, at_once: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of left x right within the radius, ``at_once`` pairs at a time."""
-    both = np.vstack([left, right])
-    step = max(1, at_once // max(1, len(right)))
+def block_within(left: np.ndarray, right: np.ndarray, radius: int, at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of left x right within the radius.  The right side's planes are stored once; each text of the left side
+    turns the planes in which its bit is set, ``at_once`` machine words of differences at a time."""
+    p = planes(right)  # [bins, words]
+    bins, words = p.shape
+    turn = planes_order(left)  # [left, bins], all ones where the bit is set
+    step = max(1, at_once // words)
     xs, ys = [], []
     for k in range(0, len(left), step):
-        x = np.repeat(np.arange(k, min(k + step, len(left))), len(right))
-        y = np.tile(np.arange(len(right)), len(x) // max(1, len(right)))
-        ok = listed_within(both, x, y + len(left), radius)
-        xs.append(x[ok])
-        ys.append(y[ok])
+        rows = turn[k : k + step]
+        diff = (p[:, None, :] ^ rows.T[:, :, None]).reshape(bins, -1)
+        ok = within_radius(diff, radius)
+        hit = np.flatnonzero(np.unpackbits(ok.view(np.uint8), bitorder="little"))
+        i, j = hit // (words * 64), hit % (words * 64)
+        real = j < len(right)
+        xs.append(i[real] + k)
+        ys.append(j[real])
     return np.concatenate(xs), np.concatenate(ys)
 
 
+def planes_order(words: np.ndarray) -> np.ndarray:
+    """The bits of each sketch in the order of its planes, as all-ones or zero words [n, bins]."""
+    n, k = words.shape
+    square = planes(words)  # [bins, groups]
+    lane = np.arange(n)
+    bit = (square[:, lane >> 6] >> (lane & 63).astype(np.uint64)) & np.uint64(1)
+    return (np.uint64(0) - bit).T
+
+
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     """Shared / all of two sorted sets of substring hashes."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -226,9 +240,11 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return both / every if every else 0.0
 
 
-WORDS = BITS // 64
+WORDS = BINS // 64
 #: Ids sent to all workers at once at most; more go through a shuffled join.
 SEND = 200_000
+#: Texts up to which the pairs of a block are listed, 64 of any blocks to a word; larger blocks keep planes of their own.
+LISTED = 24
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -245,8 +261,9 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 c = np.frombuffer(hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64)
                 h = gram_hashes(u)
                 if len(h):
+                    h.sort()
                     s = sketch(h)
-                    rows.append((d, c[0], c[1], *bits_of(s), len(np.unique(h)), bands_of(s)))
+                    rows.append((d, c[0], c[1], *bits_of(s), 1 + int(np.count_nonzero(h[1:] != h[:-1])), bands_of(s)))
                 else:
                     rows.append((d, c[0], c[1], *[None] * WORDS, 0, None))
             out = pd.DataFrame(rows, columns=["doc_id", "c1", "c2", *(f"w{k}" for k in range(WORDS)), "grams", "bands"])
@@ -264,7 +281,7 @@ def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
-                     tile: int = 2048, slack: float = 5.0) -> tuple[DataFrame, DataFrame]:
+                     tile: int = 2048, slack: float = 4.0) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership (doc_id, representative, grams) of exact copies, links (rep_a, rep_b, alike)
     between representatives that are alike by ``threshold`` or more."""
     rows = cut_lineage(_sketches(docs, id_col, text_col))
@@ -291,7 +308,7 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         spread.join(sk.select("doc_id", "grams", *words), "doc_id").groupBy("band", "i", "j")
         .agg(F.collect_list(F.struct("t", "doc_id", "grams", *words)).alias("docs")).where("size(docs) > 1").select("i", "j", "docs")
     )
-    radius = int((1 - threshold) / 2 * BITS + slack * (BITS * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
+    radius = int((1 - threshold) / 2 * BINS + slack * (BINS * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,7 +330,20 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             count = np.empty(len(known), np.int64)
             count[local] = grams
             a, c = [], []
-            for n in np.unique(size[same]):
+            for k in np.flatnonzero(same & (size > LISTED)):
+                own = local[starts[k] : ends[k]]
+                x, y = block_within(sketches[own], sketches[own], radius)
+                p, q = own[x[x < y]], own[y[x < y]]
+                less, more = np.minimum(count[p], count[q]), np.maximum(count[p], count[q])
+                fit = (less >= threshold * more) & (less >= FEW)
+                short = np.flatnonzero(count[own] < FEW / threshold)  # their pairs don't ask for the radius
+                u, v = np.repeat(own[short], len(own)), np.tile(own, len(short))
+                less, more = np.minimum(count[u], count[v]), np.maximum(count[u], count[v])
+                near_ = (less >= threshold * more) & (less < FEW)
+                p, q = np.concatenate([p[fit], u[near_]]), np.concatenate([q[fit], v[near_]])
+                a.append(known[p])
+                c.append(known[q])
+            for n in np.unique(size[same & (size <= LISTED)]):
                 x, y = np.triu_indices(n, 1)
                 of_size = starts[same & (size == n)]
                 step = max(1, 1_000_000 // max(1, len(x)))
