@@ -244,7 +244,7 @@ WORDS = BINS // 64
 #: Ids sent to all workers at once at most; more go through a shuffled join.
 SEND = 200_000
 #: Texts up to which the pairs of a block are listed, 64 of any blocks to a word; larger blocks keep planes of their own.
-LISTED = 24
+LISTED = 256
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -343,22 +343,29 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 p, q = np.concatenate([p[fit], u[near_]]), np.concatenate([q[fit], v[near_]])
                 a.append(known[p])
                 c.append(known[q])
-            for n in np.unique(size[same & (size <= LISTED)]):
-                x, y = np.triu_indices(n, 1)
-                of_size = starts[same & (size == n)]
-                step = max(1, 1_000_000 // max(1, len(x)))
-                for k in range(0, len(of_size), step):  # blocks of one size together, about a million lanes at a time
-                    s = of_size[k : k + step]
-                    p, q = local[(s[:, None] + x).ravel()], local[(s[:, None] + y).ravel()]
-                    less, more = np.minimum(count[p], count[q]), np.maximum(count[p], count[q])
-                    fit = less >= threshold * more  # a resemblance is at most the ratio of the sizes
-                    p, q, few = p[fit], q[fit], less[fit] < FEW
-                    ok = np.flatnonzero(few)
-                    far = np.flatnonzero(~few)
-                    ok = np.concatenate([ok, far[listed_within(sketches, p[far], q[far], radius)]])
-                    code = np.unique(np.minimum(p[ok], q[ok]) * len(known) + np.maximum(p[ok], q[ok]))
-                    a.append(known[code // len(known)])
-                    c.append(known[code % len(known)])
+            # the pairs of all other blocks are listed together, each entry with those behind it, about a million at a time
+            small = np.flatnonzero(same & (size <= LISTED))
+            n = size[small]
+            entry = np.repeat(starts[small] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            behind = np.repeat(ends[small], n) - entry - 1
+            upto = np.cumsum(behind)
+            k = 0
+            while k < len(entry):
+                stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + 1_000_000, side="right")))
+                m = behind[k:stop]
+                x = np.repeat(entry[k:stop], m)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+                p, q = local[x], local[y]
+                less, more = np.minimum(count[p], count[q]), np.maximum(count[p], count[q])
+                fit = less >= threshold * more  # a resemblance is at most the ratio of the sizes
+                code = np.unique(np.minimum(p[fit], q[fit]) * len(known) + np.maximum(p[fit], q[fit]))
+                p, q = code // len(known), code % len(known)
+                few = np.minimum(count[p], count[q]) < FEW
+                far = np.flatnonzero(~few)
+                ok = np.concatenate([np.flatnonzero(few), far[listed_within(sketches, p[far], q[far], radius)]])
+                a.append(known[p[ok]])
+                c.append(known[q[ok]])
+                k = stop
             for k in np.flatnonzero(~same):
                 span = slice(starts[k], ends[k])
                 left = np.flatnonzero(t[span] == b.column("i")[k].as_py()) + starts[k]
@@ -385,17 +392,33 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def exact(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            memo: dict[str, np.ndarray] = {}
+            memo: dict[str, tuple] = {}
 
-            def grams(t: str) -> np.ndarray:
-                if t not in memo:
+            def grams(t: str) -> tuple:
+                x = memo.get(t)
+                if x is None:
                     if len(memo) > 2000:
                         memo.clear()
-                    memo[t] = np.unique(gram_hashes(normalise(t)))
-                return memo[t]
-
-            out = [(x, y, resemblance(grams(p), grams(q))) for x, y, p, q in zip(b["a"], b["b"], b["ta"], b["tb"])]
-            yield pd.DataFrame([r for r in out if r[2] >= threshold], columns=["rep_a", "rep_b", "alike"])
+                    u = normalise(t)
+                    if len(u) < FEW:
+                        x = memo[t] = (frozenset(u[k : k + GRAM] for k in range(len(u) - GRAM + 1)), None)
+                    else:
+                        x = memo[t] = (None, np.unique(gram_hashes(u)))
+                return x
+
+            out = []
+            for x, y, p, q in zip(b["a"], b["b"], b["ta"], b["tb"]):
+                (s, g), (s2, g2) = grams(p), grams(q)
+                if s is not None and s2 is not None:
+                    both = len(s & s2)
+                    alike = both / max(1, len(s) + len(s2) - both)
+                else:
+                    g = np.unique(gram_hashes(normalise(p))) if g is None else g
+                    g2 = np.unique(gram_hashes(normalise(q))) if g2 is None else g2
+                    alike = resemblance(g, g2)
+                if alike >= threshold:
+                    out.append((x, y, alike))
+            yield pd.DataFrame(out, columns=["rep_a", "rep_b", "alike"])
 
     return member.select("doc_id", "representative", F.col("c.grams").alias("grams")), cut_lineage(both.mapInPandas(exact, "rep_a long, rep_b long, alike double"))
 
