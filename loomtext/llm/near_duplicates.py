@@ -13,7 +13,7 @@ task, so no group is gathered in one task.  Nothing is capped or sampled.
 A pair is missed where it meets in no band or its sketches differ beyond the radius.  With 64 bands of 4 rows, at
 independent hashes, 1.6 % of pairs at exactly J 0.5 meet in no band, 0.3 % at 0.55, 0.02 % at 0.6, 1 in 100 million at
 0.7; with 384 compared bits and 4 deviations, 3 in 100,000 at exactly 0.5 lie beyond the radius, far fewer above.  Sketches
-of texts of fewer than ``FEW`` substrings vary more; pairs of such texts go to the exact check without the radius.
+of short texts vary more; their radius is wider by as much (measured on made texts from 12 substrings on).
 
 Defined results
 ---------------
@@ -38,7 +38,9 @@ BINS = 384
 #: Bands of ``ROWS`` neighbouring hashes; those behind them serve the comparison only.
 BANDS = 64
 ROWS = 4
-#: Distinct substrings below which a sketch says too little for the radius.
+#: Distinct substrings from which on each class of pairs has a radius of its own.
+SIZES = (1, 12, 24, 48, 64, 96, 192, 384, 768)
+#: Characters below which two texts are compared as sets.
 FEW = 256
 GRAM = 9
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -308,7 +310,12 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         spread.join(sk.select("doc_id", "grams", *words), "doc_id").groupBy("band", "i", "j")
         .agg(F.collect_list(F.struct("t", "doc_id", "grams", *words)).alias("docs")).where("size(docs) > 1").select("i", "j", "docs")
     )
-    radius = int((1 - threshold) / 2 * BINS + slack * (BINS * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
+
+    def radius(grams: int) -> int:
+        """Most differing bits of a pair at the threshold: the mean and ``slack`` deviations; sketches of short texts
+        repeat hashes and vary more."""
+        each = BINS * (1 - threshold) / 2 * (1 + threshold) / 2
+        return int(BINS * (1 - threshold) / 2 + slack * (each * (1 + 96 / max(1, grams))) ** 0.5)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,19 +337,22 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             count = np.empty(len(known), np.int64)
             count[local] = grams
             a, c = [], []
+
+            def keep(p: np.ndarray, q: np.ndarray) -> None:
+                """Keeps the pairs of local rows that can be alike: by their sizes, then by their sketches."""
+                less, more = np.minimum(count[p], count[q]), np.maximum(count[p], count[q])
+                fit = less >= threshold * more  # a resemblance is at most the ratio of the sizes
+                p, q, kind = p[fit], q[fit], np.searchsorted(SIZES, less[fit], side="right") - 1
+                for n in np.unique(kind):
+                    of = np.flatnonzero(kind == n)
+                    ok = of[listed_within(sketches, p[of], q[of], radius(SIZES[n]))]
+                    a.append(known[p[ok]])
+                    c.append(known[q[ok]])
+
             for k in np.flatnonzero(same & (size > LISTED)):
                 own = local[starts[k] : ends[k]]
-                x, y = block_within(sketches[own], sketches[own], radius)
-                p, q = own[x[x < y]], own[y[x < y]]
-                less, more = np.minimum(count[p], count[q]), np.maximum(count[p], count[q])
-                fit = (less >= threshold * more) & (less >= FEW)
-                short = np.flatnonzero(count[own] < FEW / threshold)  # their pairs don't ask for the radius
-                u, v = np.repeat(own[short], len(own)), np.tile(own, len(short))
-                less, more = np.minimum(count[u], count[v]), np.maximum(count[u], count[v])
-                near_ = (less >= threshold * more) & (less < FEW)
-                p, q = np.concatenate([p[fit], u[near_]]), np.concatenate([q[fit], v[near_]])
-                a.append(known[p])
-                c.append(known[q])
+                x, y = block_within(sketches[own], sketches[own], radius(int(count[own].min())))
+                keep(own[x[x < y]], own[y[x < y]])
             # the pairs of all other blocks are listed together, each entry with those behind it, about a million at a time
             small = np.flatnonzero(same & (size <= LISTED))
             n = size[small]
@@ -356,32 +366,19 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 x = np.repeat(entry[k:stop], m)
                 y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
                 p, q = local[x], local[y]
-                less, more = np.minimum(count[p], count[q]), np.maximum(count[p], count[q])
-                fit = less >= threshold * more  # a resemblance is at most the ratio of the sizes
-                code = np.unique(np.minimum(p[fit], q[fit]) * len(known) + np.maximum(p[fit], q[fit]))
-                p, q = code // len(known), code % len(known)
-                few = np.minimum(count[p], count[q]) < FEW
-                far = np.flatnonzero(~few)
-                ok = np.concatenate([np.flatnonzero(few), far[listed_within(sketches, p[far], q[far], radius)]])
-                a.append(known[p[ok]])
-                c.append(known[q[ok]])
+                code = np.unique(np.minimum(p, q) * len(known) + np.maximum(p, q))
+                keep(code // len(known), code % len(known))
                 k = stop
             for k in np.flatnonzero(~same):
                 span = slice(starts[k], ends[k])
-                left = np.flatnonzero(t[span] == b.column("i")[k].as_py()) + starts[k]
-                right = np.flatnonzero(t[span] == b.column("j")[k].as_py()) + starts[k]
+                left = local[np.flatnonzero(t[span] == b.column("i")[k].as_py()) + starts[k]]
+                right = local[np.flatnonzero(t[span] == b.column("j")[k].as_py()) + starts[k]]
                 if len(left) and len(right):
-                    x, y = block_within(w[left], w[right], radius)
-                    a.append(ids[left[x]])
-                    c.append(ids[right[y]])
-                    for k_ in left[grams[left] < FEW / threshold]:  # one text at a time against the tile
-                        r = right[np.minimum(grams[right], grams[k_]) < FEW]
-                        r = r[np.minimum(grams[r], grams[k_]) >= threshold * np.maximum(grams[r], grams[k_])]
-                        a.append(np.full(len(r), ids[k_]))
-                        c.append(ids[r])
+                    x, y = block_within(sketches[left], sketches[right], radius(int(min(count[left].min(), count[right].min()))))
+                    keep(left[x], right[y])
             a_, c_ = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, c))
-            keep = a_ != c_
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, c_)[keep]), pa.array(np.maximum(a_, c_)[keep])], names=["a", "b"])
+            apart = a_ != c_
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, c_)[apart]), pa.array(np.maximum(a_, c_)[apart])], names=["a", "b"])
 
     near = cut_lineage(grouped.mapInArrow(compare, "a long, b long").distinct())
     needed = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
