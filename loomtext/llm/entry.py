@@ -78,7 +78,7 @@ def p7_found(s: SparkSession, d: str) -> DataFrame:
     docs = _t(s, d, "documents")
     levels = reading_level.reading_levels(docs, _t(s, d, "readability_scores"), language.fit(docs), ends_only=True)
     probes = _t(s, d, "sentence_probes").select("doc_id").distinct()
-    return levels.where("is_english_prose and band in ('easy', 'hard')").join(probes, "doc_id", "left_anti").select("doc_id", "band")
+    return levels.where("selected and is_english_prose and band in ('easy', 'hard')").join(probes, "doc_id", "left_anti").select("doc_id", "band")
 
 
 def p7_levels(s: SparkSession, d: str) -> DataFrame:

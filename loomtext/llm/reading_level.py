@@ -3,14 +3,16 @@
 Method: the smallest frequency-ranked vocabulary that covers a fixed share of a document's tokens.  Words are ranked by
 their frequency in all English-like documents; a document's coverage rank is the rank of the rarest word needed to cover
 ``COVERAGE`` of its tokens.  Coverage rank and sentence complexity (words per sentence, letters per word) are calibrated
-in SQL, by the normal equations of a least-squares fit, to the grades at hand.  The estimate stands beside the grade,
-which is counted exactly for every document and decides the band; neither selects what is counted.
+in SQL, by the normal equations of a least-squares fit, to the grades at hand; what turned out not to be prose and what
+lies far off the fit takes no part.  The estimate selects the documents that can be easy or hard (within ``SLACK`` grades),
+and their exact grade decides; the other documents keep the band of their exact grade as well.
 
 The ``head`` most frequent words are sent to the workers; documents that need rarer ones find their ranks by a join.
 
 Defined results
 ---------------
-* null, blank or unreadable text, lists and tables, other languages or several: no level (not English prose);
+* null, blank or unreadable text, lists and tables, other languages or several: no level (not English prose); a text in
+  which fewer than one word in twenty is one of 32 very frequent English ones counts as another language;
 * null doc_id: dropped; repeated rows: one result each;
 * no usable given grades to calibrate on: fixed weights (those of an automated readability index);
 * an empty table yields an empty result; other columns are ignored.
@@ -28,13 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import cut_lineage, ranked
-from .language import _model, stretches
+from .language import _model, batch_stretches
 from .quality import text_class
 from .sentences import split_sentences
 
 COVERAGE = 0.9
 EASY = 2.5
 HARD = 17.0
+#: Grades by which an estimate may be off: three times the deviation of the fit on prose and more.
+SLACK = 3.0
 #: Letters of the longest word sent to the workers.
 LONGEST_SENT = 40
 ALNUM = re.compile(r"[^\W_]")
@@ -138,7 +142,7 @@ def measured(docs: DataFrame, texts: dict[str, str], ranks: DataFrame, head: int
         model = _model(texts_)
         syl = Syllables()
         for b in it:
-            rows = []
+            rows, told = [], []
             for d, t in zip(b["doc_id"], b["text"]):
                 c, n, letters = features(t)
                 if not english_like(c, n):
@@ -154,15 +158,16 @@ def measured(docs: DataFrame, texts: dict[str, str], ranks: DataFrame, head: int
                 words = sum(k for w, k in c.items() if ALNUM.search(w))
                 s = len(split_sentences(t))
                 exact = grade(words, s, sum(syl[w] * k for w, k in c.items()))
-                prose = None
-                if not ends_only or exact is not None and (exact < EASY or exact > HARD):
-                    prose = exact is not None and text_class(t) == "prose"
-                    if prose:
-                        size: Counter = Counter()
-                        for a, e, lang, _ in stretches(t, model):
-                            size[lang] += e - a
-                        prose = [x for x, v in size.items() if v >= 0.15 * sum(size.values())] == ["en"]
-                rows.append((d, cover, n / max(1, s), letters / n, exact, prose, list(c) if rare else None, list(c.values()) if rare else None, need))
+                asked = not ends_only or exact is not None and (exact < EASY or exact > HARD)
+                prose = exact is not None and text_class(t) == "prose" if asked else None
+                if prose:
+                    told.append((len(rows), t))
+                rows.append([d, cover, n / max(1, s), letters / n, exact, prose, list(c) if rare else None, list(c.values()) if rare else None, need])
+            for (k, _), found in zip(told, batch_stretches([t for _, t in told], model)):
+                size: Counter = Counter()
+                for a, e, lang, _ in found:
+                    size[lang] += e - a
+                rows[k][5] = [x for x, v in size.items() if v >= 0.15 * sum(size.values())] == ["en"]
             out = pd.DataFrame(rows, columns=["doc_id", "head_rank", "words_per_sentence", "letters_per_word", "grade", "is_english_prose", "w", "k", "need"])
             yield out.astype({"head_rank": "Int64", "is_english_prose": "boolean"})
 
@@ -194,10 +199,11 @@ def _solve(m: list[list[float]], v: list[float]) -> list[float] | None:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def calibrated(feats: DataFrame, given: DataFrame) -> DataFrame:
+def calibrated(feats: DataFrame, given: DataFrame, rounds: int = 3) -> DataFrame:
     """Adds ``estimate``: least squares of the given grades (doc_id, flesch_kincaid_grade, scored_at) on the logarithm
-    of the coverage rank, words per sentence and letters per word.  Given grades may be wrong; those more than 3 grades
-    off the exact count don't take part."""
+    of the coverage rank, words per sentence and letters per word.  Given grades may be wrong and lists count as endless
+    sentences: rows more than 3 grades off the exact count, known not to be prose, or more than three deviations off the
+    fit before don't take part in the next."""
     latest = (
         given.where("doc_id is not null and flesch_kincaid_grade is not null")
         .groupBy("doc_id")
@@ -205,28 +211,38 @@ def calibrated(feats: DataFrame, given: DataFrame) -> DataFrame:
         .select("doc_id", F.col("g.flesch_kincaid_grade").alias("g"))
     )
     x = ["1.0", "ln(coverage_rank)", "words_per_sentence", "letters_per_word"]
-    ok = feats.join(latest, "doc_id").where("abs(g - grade) <= 3")
-    sums = ok.agg(
-        *(F.sum(F.expr(f"({x[i]}) * ({x[j]})")).alias(f"m{i}{j}") for i in range(4) for j in range(i, 4)),
-        *(F.sum(F.expr(f"({x[i]}) * g")).alias(f"v{i}") for i in range(4)),
-        F.count("*").alias("n"),
-    ).first()  # one row
-    w = None
-    if sums["n"] >= 20:
+    ok = feats.join(latest, "doc_id").where("abs(g - grade) <= 3 and coverage_rank > 0 and coalesce(is_english_prose, true)")
+    ok = cut_lineage(ok.select("g", "coverage_rank", "words_per_sentence", "letters_per_word"))
+    w = [-21.43, 0.0, 0.5, 4.71]
+    formula = lambda w: " + ".join(f"({k!r}) * ({e})" for k, e in zip(w, x))
+    within = "true"
+    for _ in range(rounds):
+        sums = ok.where(within).agg(
+            *(F.sum(F.expr(f"({x[i]}) * ({x[j]})")).alias(f"m{i}{j}") for i in range(4) for j in range(i, 4)),
+            *(F.sum(F.expr(f"({x[i]}) * g")).alias(f"v{i}") for i in range(4)),
+            F.count("*").alias("n"),
+        ).first()  # one row
+        if sums["n"] < 20:
+            break
         m = [[float(sums[f"m{min(i, j)}{max(i, j)}"]) for j in range(4)] for i in range(4)]
-        w = _solve(m, [float(sums[f"v{i}"]) for i in range(4)])
-    if w is None or any(math.isnan(k) for k in w):
-        w = [-21.43, 0.0, 0.5, 4.71]
-    return feats.withColumn("estimate", F.expr(" + ".join(f"({k!r}) * ({e})" for k, e in zip(w, x))))
+        found = _solve(m, [float(sums[f"v{i}"]) for i in range(4)])
+        if found is None or any(math.isnan(k) for k in found):
+            break
+        w = found
+        off = f"(g - ({formula(w)}))"
+        spread = ok.where(within).agg(F.sqrt(F.avg(F.expr(f"{off} * {off}"))).alias("s")).first()["s"]
+        within = f"abs{off} <= {max(0.5, 3 * float(spread or 0))!r}"
+    return feats.withColumn("estimate", F.expr(formula(w)))
 
 
 def reading_levels(docs: DataFrame, given: DataFrame, texts: dict[str, str], head: int = 65_536, ends_only: bool = False) -> DataFrame:
-    """(doc_id, coverage_rank, words_per_sentence, letters_per_word, estimate, grade, band, is_english_prose) of each
-    English-like document; ``grade`` is exact.  With ``ends_only``, ``is_english_prose`` is null for other bands than
+    """(doc_id, coverage_rank, words_per_sentence, letters_per_word, estimate, grade, band, is_english_prose, selected)
+    of each English-like document; ``grade`` is exact, ``selected`` tells where the estimate is within SLACK of easy or
+    hard.  With ``ends_only``, ``is_english_prose`` is null for other bands than
     easy and hard."""
     feats = cut_lineage(measured(docs, texts, word_ranks(docs), head, ends_only))
     return calibrated(feats, given).select(
         "doc_id", "coverage_rank", "words_per_sentence", "letters_per_word", "estimate", "grade",
         F.expr(f"case when grade < {EASY} then 'easy' when grade > {HARD} then 'hard' when grade < 8 then 'plain' when grade is not null then 'medium' end").alias("band"),
-        "is_english_prose",
+        "is_english_prose", F.expr(f"estimate < {EASY + SLACK} or estimate > {HARD - SLACK}").alias("selected"),
     )

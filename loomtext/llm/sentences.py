@@ -3,8 +3,8 @@
 Method: document-centred disambiguation.  A full stop is first looked at with
 the unambiguous evidence the same document holds about the word before it and
 the word behind it; what the document leaves open is settled by counts over the
-whole corpus; scripts that end sentences with their own marks follow their own
-rule.  Everything is row-local except the corpus counts, which are aggregated
+whole corpus, and what neither shows by short lists of abbreviations; scripts
+that end sentences with their own marks follow their own rule.  Everything is row-local except the corpus counts, which are aggregated
 in Spark and joined back only for the few words a document leaves open.
 
 Defined results
@@ -56,7 +56,9 @@ CJK_GOES_ON = re.compile(r"[とっのがはをにでもやへかよねなら、
 PARAGRAPH_GAP = re.compile(r"\n[ \t 　\f\r]*\n[ \t 　\f\r\n]*")
 MARK = re.compile(r"[.!?…。！？｡]+(?:[   ]?»|[\"”’'\)\]」』）】》“])*")
 BRACKET = re.compile(r"[()\[\]«»„“”\"「」『』（）【】《》]")
-NEXT_WORD = re.compile(r"[^\W_][\w'’\-]*", re.U)
+SPACES = re.compile(r"\s*")
+NEXT_WORD = re.compile(r"[\"'“„«(\[¿¡‘「『\s]*([^\W_][\w'’\-]*)")
+DASHED = re.compile(r"[–—-]\s+[^\W\d_a-zà-ÿа-яё]")
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
@@ -92,27 +94,56 @@ def _quoted(par: str) -> list[tuple[int, int]]:
     return out
 
 
+_EDGE = "\"'“”„«»()[]¿¡‘’「」『』"
+_TAIL = ",;:!?…" + _EDGE
+
+
 def document_evidence(text: str) -> dict[str, tuple[int, int]]:
     """Unambiguous occurrences in one document: '.word' -> (as abbreviation, as ordinary word); 'Word' -> (starts or is
     written small, stands capitalised inside a sentence)."""
     abbr: Counter = Counter()
     plain: Counter = Counter()
-    for m in re.finditer(r"([^\W\d_][\w.]*)\.[ \n ]+(?=[a-zà-ÿа-яё,;:)])|([^\W\d_][\w.]*)\.(?=[,;:])", text):
-        abbr["." + (m.group(1) or m.group(2)).lower()] += 1
-    for w in re.findall(r"[^\W\d_][\w'’\-]*(?![\w.])", text):
-        if w[0].islower():
-            plain["." + w.lower()] += 1
     starts: Counter = Counter()
     inside: Counter = Counter()
-    for m in re.finditer(r"(?:^|\n[ \t\r]*\n\s*|[!?][\"”»)]?\s+)([^\W\d_][\w'’\-]*)", text):
-        starts[m.group(1)] += 1
-    for m in re.finditer(r"[a-zà-ÿа-яё,] ([^\W\d_a-zà-ÿа-яё][\w'’\-]*)", text):
-        inside[m.group(1)] += 1
+    for par in PARAGRAPH_GAP.split(text):
+        dotted = ""  # the word before, where it ends in a full stop
+        place = 2  # 2 where a sentence begins for certain, 1 inside one for certain
+        for tok in par.split():
+            c, e = tok[0], tok[-1]
+            if c.isalpha() and e.isalpha():
+                w = tok
+            else:
+                w = tok.strip(_EDGE).rstrip(_TAIL) if e != "." else tok[:-1].lstrip(_EDGE)
+                if not w or not w[0].isalpha():
+                    if dotted and c in ",;:)":
+                        abbr[dotted] += 1
+                    dotted = ""
+                    place = 1 if e == "," else 0
+                    continue
+            if c.islower() and dotted:
+                abbr[dotted] += 1
+            if e == ".":
+                dotted = w.lower()
+                place = 0
+                continue
+            dotted = ""
+            if w[-1] == ".":
+                if e in ",;:":
+                    abbr[w[:-1].lower()] += 1
+                place = 1 if e == "," else 0
+                continue
+            if w[0].islower():
+                plain[w.lower()] += 1
+            elif place == 2:
+                starts[w] += 1
+            elif place == 1 and c.isalpha():
+                inside[w] += 1
+            place = 1 if e.islower() or e == "," else 2 if e in "!?" or len(tok) > 1 and tok[-2] in "!?" else 0
     ev: dict[str, tuple[int, int]] = {}
     for k in abbr.keys() | plain.keys():
-        ev[k] = (abbr[k], plain[k])
+        ev["." + k] = (abbr[k], plain[k])
     for k in starts.keys() | inside.keys():
-        ev[k] = (starts[k] + plain.get("." + k.lower(), 0), inside[k])
+        ev[k] = (starts[k] + plain[k.lower()], inside[k])
     return ev
 
 
@@ -127,11 +158,13 @@ def _starter(word: str, doc: dict, corpus: dict) -> bool | None:
 
 
 def _abbreviation(w: str, doc: dict, corpus: dict) -> bool:
-    for ev in (doc, corpus):
-        a, p = ev.get("." + w, (0, 0))
-        if a + p >= (1 if ev is doc else 3) and a != p:
-            return a > p if ev is corpus else a >= p and a > 0
-    return False
+    """Whether the document, else the corpus, shows a word as an abbreviation; the longer it is, the more it takes."""
+    more = max(1.0, len(w) / 6)
+    a, p = doc.get("." + w, (0, 0))
+    if a + p and a != p * more:
+        return a >= more and a >= p * more
+    a, p = corpus.get("." + w, (0, 0))
+    return a + p >= 3 and a > p * more * more
 
 
 def split_sentences(text: str | None, corpus: dict[str, tuple[int, int]] | None = None) -> list[tuple[int, int]]:
@@ -163,30 +196,30 @@ def split_sentences(text: str | None, corpus: dict[str, tuple[int, int]] | None
                 k += 1
             if k < len(spans) and spans[k][0] < at < spans[k][1] and spans[k][1] >= end:
                 continue
-            rest = par[end : end + 60]
-            body = rest.lstrip()
-            if not body:
+            gap = SPACES.match(par, end).end()
+            if gap == len(par):
                 continue  # the paragraph's end closes it
+            spaced = gap > end
             mark = m.group()
             wide = mark[0] in "。！？｡"
             closed = mark[-1] in "\"”’'」』»）)】》]“"
-            nxt = body[0]
+            nxt = par[gap]
             if wide:
-                if closed and CJK_GOES_ON.match(body) and not rest[0].isspace():
+                if closed and CJK_GOES_ON.match(par, gap) and not spaced:
                     continue
                 if closed and mark[-1] in "）)】]" and nxt in "，、,":
                     continue
                 if nxt in "，、；：,;:」』）)":
                     continue
                 out.append((ps + begin, ps + end))
-                begin = end + len(par[end:]) - len(par[end:].lstrip())
+                begin = gap
                 continue
-            if not rest[0].isspace() and not CJK.match(rest):
+            if not spaced and not CJK.match(par, gap):
                 continue
-            if nxt in ",;:.)]–—-»%…" and not (nxt in "–—-" and re.match(r"[–—-]\s+[^\W\d_a-zà-ÿа-яё]", body) and "\n" in rest[: len(rest) - len(body)]):
+            if nxt in ",;:.)]–—-»%…" and not (nxt in "–—-" and DASHED.match(par, gap) and "\n" in par[end:gap]):
                 continue
-            word = NEXT_WORD.match(body.lstrip("\"'“„«([¿¡‘「『  "))
-            first = word.group() if word else ""
+            word = NEXT_WORD.match(par, gap)
+            first = word.group(1) if word else ""
             if first and first[0].islower() and nxt not in "¿¡":
                 continue
             if mark[0] in "!?…" or mark.startswith(".."):
@@ -205,7 +238,10 @@ def split_sentences(text: str | None, corpus: dict[str, tuple[int, int]] | None
                     stop = True
                 elif token.isdigit():
                     line = par.rfind("\n", 0, j) + 1
-                    if not par[line:j].strip() and len(token) <= 3 and j > 0 and not re.search(r"[^.!?:\s]\s*$", par[:line]):
+                    last = line
+                    while last and par[last - 1].isspace():
+                        last -= 1
+                    if not par[line:j].strip() and len(token) <= 3 and j > 0 and (not last or par[last - 1] in ".!?:"):
                         stop = False  # an enumerator opens the line
                     elif j == begin and len(token) <= 3:
                         stop = False
@@ -215,7 +251,10 @@ def split_sentences(text: str | None, corpus: dict[str, tuple[int, int]] | None
                     if doc is None:
                         doc = document_evidence(text)
                     bare = low.rsplit("’", 1)[-1].rsplit("'", 1)[-1]
-                    if bare in TITLES:
+                    begins = _starter(first, doc, corpus) if first and first[0].isupper() and first.lower() not in TITLES else None
+                    if begins is not None and len(token) > 1 and _abbreviation(low, doc, corpus):
+                        stop = begins  # what the document, else the corpus, shows of both words; the lists come after
+                    elif bare in TITLES:
                         stop = False
                     elif bare in FORWARD and not (first and _starter(first, doc, corpus) and first[0].isupper() and nxt not in "§№#$€£" and bare not in ("no", "nr", "art", "z", "vs")):
                         stop = False
@@ -231,36 +270,42 @@ def split_sentences(text: str | None, corpus: dict[str, tuple[int, int]] | None
                         stop = bool(s) if first and first[0].isupper() else nxt in "«“\"„¿¡「"
                         if first and first[0].isdigit():
                             stop = False
-                    elif token[0].isalpha() and len(token) <= 6 and _abbreviation(low, doc, corpus):
-                        s = _starter(first, doc, corpus)
-                        stop = bool(s)
+                    elif token[0].isalpha() and _abbreviation(low, doc, corpus):
+                        stop = bool(begins)
                     else:
                         stop = True
             if stop:
                 out.append((ps + begin, ps + end))
-                begin = end + len(rest) - len(body)
+                begin = gap
         tail = par[begin:].rstrip()
         if tail:
             out.append((ps + begin, ps + begin + len(tail)))
     return out
 
 
+def _dotted(text: str) -> Iterator[tuple[str, str]]:
+    """(word, next word) where white space stands between a full stop and the next word."""
+    tokens = text.split()
+    for t, n in zip(tokens, tokens[1:]):
+        if t[-1] == "." or len(t) > 1 and t[-2] == ".":
+            w = t.rstrip("\"”»)")
+            if w and w[-1] == ".":
+                yield w[:-1].lstrip(_EDGE), n
+
+
 def _count_batch(texts: list[str], c: Counter) -> None:
     """Adds a batch's evidence: ('a', w) abbreviation use, ('p', w) plain use, ('s', W) start, ('i', W) inside."""
     whole = "\n\n".join(texts)
     for t, n in Counter(whole.split()).items():
         w = t.strip("\"'“”„«»()[]¿¡,;:!?…")
-        if w and w[-1] != "." and w[0].islower() and len(w) <= 24:
+        if w and w[-1] != "." and w[0].islower():
             c["p", w] += n
-        elif len(w) > 1 and w[-1] == "." and t[-1] in ",;:" and w[0].isalpha() and len(w) <= 12:
+        elif len(w) > 1 and w[-1] == "." and t[-1] in ",;:" and w[0].isalpha():
             c["a", w[:-1].lower()] += n
-    for m in re.finditer(r"\.\s+(?=[a-zà-ÿа-яё])", whole):
-        at = m.start()
-        chunk = whole[max(0, at - 13) : at].split()
-        if chunk and chunk[-1][:1].isalpha() and len(chunk[-1]) <= 12:
-            c["a", chunk[-1].lower()] += 1
-    c.update(("s", w) for w in re.findall(r"(?:\n\n|[!?][\"”»)]?\s)\s*([^\W\d_a-zà-ÿа-яё][\w'’\-]{0,23})", whole))
-    c.update(("i", w) for w in re.findall(r"[a-zà-ÿа-яё,] ([^\W\d_a-zà-ÿа-яё][\w'’\-]{0,23})", whole))
+    for t in texts:
+        c.update(("a", w.lower()) for w, n in _dotted(t) if n[0].islower() and w and w[0].isalpha())
+    c.update(("s", w) for w in re.findall(r"(?:\n\n|[!?][\"”»)]?\s)\s*([^\W\d_a-zà-ÿа-яё][\w'’\-]*)", whole))
+    c.update(("i", w) for w in re.findall(r"[a-zà-ÿа-яё,] ([^\W\d_a-zà-ÿа-яё][\w'’\-]*)", whole))
 
 
 def corpus_evidence(docs: DataFrame, text_col: str = "text", flush_at: int = 300_000) -> DataFrame:
@@ -294,10 +339,10 @@ def corpus_evidence(docs: DataFrame, text_col: str = "text", flush_at: int = 300
 def open_words(text: str) -> set[str]:
     """The corpus counts that a document's open decisions can need."""
     need: set[str] = set()
-    for m in re.finditer(r"([^\W\d_][\w.]{0,11})\.[\"”»)]?\s+[\"“„«(¿¡]*([^\W\d_a-zà-ÿа-яё][\w'’\-]{0,23})", text):
-        w = m.group(1).lower()
-        if len(w) <= 6 or "." in w:
-            need.update(("." + w, m.group(2), "." + m.group(2).lower()))
+    for w, n in _dotted(text):
+        m = NEXT_WORD.match(n)
+        if w and w[0].isalpha() and m and m.group(1)[0].isupper():
+            need.update(("." + w.lower(), m.group(1), "." + m.group(1).lower()))
     return need
 
 
@@ -315,7 +360,7 @@ def sentences(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "d
             yield pd.DataFrame({"key": pd.Series(rows, dtype=object)})
 
     keys = mine.select("text").mapInPandas(needs, "key string").distinct()
-    # the fixed bound on a word's length bounds the keys; they meet the counts in a shuffled join, not on the driver
+    # the keys meet the counts in a shuffled join, not on the driver
     known = stats.join(keys, "key", "left_semi").where("hits + misses >= 3")
 
     def open_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
