@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is
+    collected, which a job of several rounds over large exchanges asks for between them."""
+    gc.collect()
+    jvm = getattr(df.sparkSession, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: the rank from 1 of each row in a total order.  Partitions are ranges of the order, each sorted by
     itself; the rank is a row's place in its partition and the sizes of those before."""
