@@ -8,11 +8,12 @@ abandoned as soon as every distance in it exceeds the radius.  What remains with
 
 Exact copies (equal after normalising case and white space) are folded into one representative first, so a text sent a
 million times enters the comparison once.  A block larger than ``tile`` texts is cut into tiles, each pair of tiles one
-task, so no group is gathered in one task.  Nothing is capped or sampled.
+task, so no group is gathered in one task.  Nothing is capped or sampled.  The bands are gone through in rounds, whose
+exchanges are dropped one after another, so that the disk holds those of one round.
 
-A pair is missed where it meets in no band or its sketches differ beyond the radius.  With 64 bands of 4 rows, at
-independent hashes, 1.6 % of pairs at exactly J 0.5 meet in no band, 0.3 % at 0.55, 0.02 % at 0.6, 1 in 100 million at
-0.7; with 384 compared bits and 4 deviations, 3 in 100,000 at exactly 0.5 lie beyond the radius, far fewer above.  Sketches
+A pair is missed where it meets in no band or its sketches differ beyond the radius.  With 96 bands of 4 rows, at
+independent hashes, 0.2 % of pairs at exactly J 0.5 meet in no band, 0.01 % at 0.55, 2 in a million at 0.6; with 384
+compared bits and 3.25 deviations, 0.06 % at exactly 0.5 lie beyond the radius, 0.001 % at 0.55.  Sketches
 of short texts vary more; their radius is wider by as much (measured on made texts from 12 substrings on).
 
 Defined results
@@ -32,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import connected_components, cut_lineage
+from ..graph import connected_components, cut_lineage, release
 
 BINS = 384
-#: Bands of ``ROWS`` neighbouring hashes; those behind them serve the comparison only.
-BANDS = 64
+#: Bands of ``ROWS`` neighbouring hashes.
 ROWS = 4
+BANDS = BINS // ROWS
+ROUNDS = 3
 #: Distinct substrings from which on each class of pairs has a radius of its own.
-SIZES = (1, 12, 24, 48, 64, 96, 192, 384, 768)
+SIZES = (1, 12, 24, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 2048)
 #: Characters below which two texts are compared as sets.
 FEW = 256
 GRAM = 9
@@ -96,17 +98,18 @@ def sketch(h: np.ndarray, bins: int = BINS) -> np.ndarray:
 
 
 def bits_of(s: np.ndarray) -> np.ndarray:
-    """The sketch's one-bit hashes, packed into signed 64-bit words."""
+    """The one-bit hashes of sketches [n, bins], packed into signed 64-bit words [n, words]."""
     x = (s ^ (s >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.packbits(((x >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    return np.packbits(((x >> np.uint64(40)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
 
 
-def bands_of(s: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """One signed 32-bit key for each band of ``rows`` neighbouring hashes; the band's number makes it whole."""
-    m = s[: rows * bands].reshape(-1, rows)
-    k = np.arange(1, m.shape[0] + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
+def bands_of(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One signed 32-bit key for each band of ``rows`` neighbouring hashes of sketches [n, bins]; the band's number makes
+    it whole."""
+    m = s.reshape(len(s), -1, rows)
+    k = np.arange(1, m.shape[1] + 1, dtype=np.uint64) * np.uint64(0x165667B19E3779F9)
     for j in range(rows):
-        k = (k ^ (m[:, j] + (k << np.uint64(7)))) * _MUL
+        k = (k ^ (m[:, :, j] + (k << np.uint64(7)))) * _MUL
         k ^= k >> np.uint64(31)
     return (k >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
@@ -250,31 +253,39 @@ LISTED = 256
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, c1, c2, w0.., bands): one row for each row; c1 and c2 are the hash of the normalised text, w and bands
-    are null for texts without a substring of GRAM characters."""
+    """(doc_id, c1, c2, w0.., grams, bands): one row for each row; c1 and c2 are the hash of the normalised text; texts
+    without a substring of GRAM characters have grams 0 and no bands."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for b in it:
-            rows = []
-            for d, t in zip(b["doc_id"], b["text"]):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            n = len(texts)
+            digest = bytearray()
+            grams = np.zeros(n, np.int32)
+            found: list[np.ndarray] = []
+            for k, t in enumerate(texts):
                 u = normalise(t or "")
-                c = np.frombuffer(hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64)
+                digest += hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 h = gram_hashes(u)
                 if len(h):
                     h.sort()
-                    s = sketch(h)
-                    rows.append((d, c[0], c[1], *bits_of(s), 1 + int(np.count_nonzero(h[1:] != h[:-1])), bands_of(s)))
-                else:
-                    rows.append((d, c[0], c[1], *[None] * WORDS, 0, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "c1", "c2", *(f"w{k}" for k in range(WORDS)), "grams", "bands"])
-            for k in range(WORDS):
-                out[f"w{k}"] = out[f"w{k}"].astype("Int64")
-            yield out
+                    grams[k] = 1 + np.count_nonzero(h[1:] != h[:-1])
+                    found.append(sketch(h))
+            c = np.frombuffer(bytes(digest), np.int64).reshape(-1, 2)
+            has = grams > 0
+            s = np.array(found, np.uint64).reshape(-1, BINS)
+            words = np.zeros((n, WORDS), np.int64)
+            words[has] = bits_of(s)
+            ends = np.zeros(n + 1, np.int32)
+            np.cumsum(has * BANDS, out=ends[1:])
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands_of(s).ravel()))
+            cols = [b.column("doc_id"), pa.array(c[:, 0]), pa.array(c[:, 1]), *(pa.array(words[:, k]) for k in range(WORDS)), pa.array(grams), bands]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "c1", "c2", *(f"w{k}" for k in range(WORDS)), "grams", "bands"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return src.mapInPandas(run, "doc_id long, c1 long, c2 long, " + ", ".join(f"w{k} long" for k in range(WORDS)) + ", grams int, bands array<int>")
+    return src.mapInArrow(run, "doc_id long, c1 long, c2 long, " + ", ".join(f"w{k} long" for k in range(WORDS)) + ", grams int, bands array<int>")
 
 
 def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -283,7 +294,7 @@ def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
-                     tile: int = 2048, slack: float = 4.0) -> tuple[DataFrame, DataFrame]:
+                     tile: int = 2048, slack: float = 3.25) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership (doc_id, representative, grams) of exact copies, links (rep_a, rep_b, alike)
     between representatives that are alike by ``threshold`` or more."""
     rows = cut_lineage(_sketches(docs, id_col, text_col))
@@ -292,24 +303,27 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     member = cut_lineage(one.join(groups, "c").select("doc_id", "representative", "c"))
     others = member.where("doc_id <> representative").select("doc_id")
     repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    sk = _only(rows.where("bands is not null"), others, "left_anti")
+    sk = _only(rows.where("grams > 0"), others, "left_anti")
     if not repeated.isEmpty():
         sk = sk.join(member.select("doc_id", "c"), "doc_id").where("c1 = c.c1 and c2 = c.c2").dropDuplicates(["doc_id"])
     words = [f"w{k}" for k in range(WORDS)]
-    # one exchange on the band serves the counting of its block and the join with the count
-    keys = sk.select("doc_id", F.posexplode("bands").alias("b", "k"))
-    entries = keys.select("doc_id", (F.shiftleft(F.col("b").cast("long"), 32) + F.col("k")).alias("band")).repartition("band")
-    sizes = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = entries.join(sizes, "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
-    met = met.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    # a block of at most ``tile`` texts is one row; a larger one is a row for each pair of tiles
-    spread = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "band", "doc_id", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")
-    )
-    grouped = (
-        spread.join(sk.select("doc_id", "grams", *words), "doc_id").groupBy("band", "i", "j")
-        .agg(F.collect_list(F.struct("t", "doc_id", "grams", *words)).alias("docs")).where("size(docs) > 1").select("i", "j", "docs")
-    )
+    per = -(-BANDS // ROUNDS)
+
+    def blocks(first: int) -> DataFrame:
+        keys = sk.select("doc_id", F.posexplode(F.slice("bands", first + 1, per)).alias("b", "k"))
+        # one exchange on the band serves the counting of its block and the join with the count
+        entries = keys.select("doc_id", (F.shiftleft(F.col("b").cast("long"), 32) + F.col("k")).alias("band")).repartition("band")
+        sizes = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        met = entries.join(sizes, "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+        met = met.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+        # a block of at most ``tile`` texts is one row; a larger one is a row for each pair of tiles
+        spread = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+            "band", "doc_id", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")
+        )
+        return (
+            spread.join(sk.select("doc_id", "grams", *words), "doc_id").groupBy("band", "i", "j")
+            .agg(F.collect_list(F.struct("t", "doc_id", "grams", *words)).alias("docs")).where("size(docs) > 1").select("i", "j", "docs")
+        )
 
     def radius(grams: int) -> int:
         """Most differing bits of a pair at the threshold: the mean and ``slack`` deviations; sketches of short texts
@@ -380,7 +394,12 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             apart = a_ != c_
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a_, c_)[apart]), pa.array(np.maximum(a_, c_)[apart])], names=["a", "b"])
 
-    near = cut_lineage(grouped.mapInArrow(compare, "a long, b long").distinct())
+    near = None
+    for k in range(0, BANDS, per):
+        found = cut_lineage(blocks(k).mapInArrow(compare, "a long, b long").distinct())
+        near = found if near is None else near.unionByName(found)
+        release(docs)
+    near = cut_lineage(near.distinct())
     needed = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = _only(text, needed, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "d")
