@@ -44,6 +44,7 @@ LONGEST_SENT = 40
 ALNUM = re.compile(r"[^\W_]")
 # Very frequent English words, for the first look at a text.
 ENGLISH = frozenset("the of and to in a is that it for was on with as be by at not or an from this has have will no any my he she his her".split())
+MARKS = frozenset(("-", "–", "—", "&", "|", "*", "§", "+", "=", "..."))
 VOWEL_GROUP = re.compile(r"[aeiouyàâäéèêëïîôöùûüáíóúãõåæœ]+")
 # Words that the rules below miscount.
 IRREGULAR = {"people": 2, "business": 2, "every": 2, "different": 3, "area": 3, "idea": 3, "being": 2, "science": 2, "quiet": 2, "create": 2, "poem": 2, "diet": 2, "lion": 2, "client": 2, "co": 1, "mr": 2, "mrs": 2, "dr": 2}
@@ -99,9 +100,14 @@ def english_like(counts: Counter, n: int) -> bool:
     return n > 0 and sum(counts[w] for w in ENGLISH) >= 0.05 * n
 
 
+def tokens(text: str) -> list[str]:
+    """Small-letter words; single marks are none."""
+    return [w for w in text.lower().split() if w not in MARKS]
+
+
 def features(text: str) -> tuple[Counter, int, int]:
     """Small-letter word counts, words, letters and digits."""
-    words = [w for w in text.lower().split() if w not in ("-", "–", "—", "&", "|", "*", "§", "+", "=", "...")]
+    words = tokens(text)
     return Counter(words), len(words), len("".join(words))
 
 
@@ -118,10 +124,9 @@ def word_ranks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for b in it:
             for t in b["t"]:
-                if t:
-                    c, n, _ = features(t)
-                    if english_like(c, n):
-                        total.update(c)
+                words = tokens(t)
+                if sum(map(ENGLISH.__contains__, words)) >= 0.05 * len(words):
+                    total.update(words)
             if len(total) > 300_000:
                 yield emit()
         yield emit()
@@ -148,16 +153,22 @@ def measured(docs: DataFrame, texts: dict[str, str], ranks: DataFrame, head: int
                 if not english_like(c, n):
                     continue
                 need, seen, cover = COVERAGE * n, 0, None
-                if all(w in rank or len(w) <= LONGEST_SENT for w in c):
-                    for r, k in sorted((rank[w], k) for w, k in c.items() if w in rank):
+                known = sorted([(rank[w], k) for w, k in c.items() if w in rank])
+                if len(known) == len(c) or max(map(len, c)) <= LONGEST_SENT:
+                    for r, k in known:
                         seen += k
                         if seen >= need:
                             cover = r
                             break
                 rare = cover is None
-                words = sum(k for w, k in c.items() if ALNUM.search(w))
+                words = spoken = 0
+                for w, k in c.items():
+                    y = syl[w]
+                    if y:
+                        words += k
+                        spoken += y * k
                 s = len(split_sentences(t))
-                exact = grade(words, s, sum(syl[w] * k for w, k in c.items()))
+                exact = grade(words, s, spoken)
                 asked = not ends_only or exact is not None and (exact < EASY or exact > HARD)
                 prose = exact is not None and text_class(t) == "prose" if asked else None
                 if prose:

@@ -147,6 +147,23 @@ def document_evidence(text: str) -> dict[str, tuple[int, int]]:
     return ev
 
 
+def _shown_dotted(text: str) -> set[str]:
+    """Words that can have evidence of being abbreviations: those behind whose full stop a sentence goes on."""
+    parts = text.split(".")
+    found: set[str] = set()
+    for a, b in zip(parts, parts[1:]):
+        rest = b.lstrip("\"'“”„«»()[]¿¡‘’「」『』 \n\t\r")
+        if rest and (rest[0] in ",;:" or rest[0].islower()) or b[:1] == ")":
+            word = a.rsplit(None, 1)
+            if word:
+                found.add(word[-1].lstrip(_EDGE).lower())
+    return found
+
+
+#: Words the lists below speak for.
+LISTED = TITLES | FORWARD | EITHER
+
+
 def _starter(word: str, doc: dict, corpus: dict) -> bool | None:
     """Whether a capitalised word is an ordinary word that begins a sentence; None where nothing is known."""
     for ev in (doc, corpus):
@@ -173,6 +190,7 @@ def split_sentences(text: str | None, corpus: dict[str, tuple[int, int]] | None
         return []
     corpus = corpus or {}
     doc: dict | None = None
+    dotted: set[str] | None = None
     out: list[tuple[int, int]] = []
     pos = 0
     bounds = []
@@ -247,6 +265,8 @@ def split_sentences(text: str | None, corpus: dict[str, tuple[int, int]] | None
                         stop = False
                     else:
                         stop = first.lower() not in MONTHS
+                elif token.isalpha() and len(token) > 1 and low not in LISTED and "." + low not in corpus and low not in (dotted := _shown_dotted(text) if dotted is None else dotted):
+                    stop = True  # nothing can show it as an abbreviation
                 else:
                     if doc is None:
                         doc = document_evidence(text)
