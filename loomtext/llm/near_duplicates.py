@@ -39,7 +39,7 @@ BINS = 384
 #: Bands of ``ROWS`` neighbouring hashes.
 ROWS = 4
 BANDS = BINS // ROWS
-ROUNDS = 3
+ROUNDS = 4
 #: Distinct substrings from which on each class of pairs has a radius of its own.
 SIZES = (1, 12, 24, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 2048)
 #: Characters below which two texts are compared as sets.
