@@ -28,12 +28,6 @@ from ..graph import cut_lineage
 from .language import base_code_column
 from .tokens import DEFAULT_TOKENIZER, counter
 
-# The domain of each source.
-DOMAINS = {
-    "edgar_agreements": "law", "usc": "law", "court_orders": "law", "cuad_sample": "law", "policy_docs": "law",
-    "patents": "technical", "academic_imrad": "technical", "software_readme": "technical",
-    "literary": "general", "plain_guides": "general", "foreign_code": "foreign", "multi_web": "web", "web_mirror": "web", "pdf_extracts": "web",
-}
 BINS = 4096
 
 
@@ -42,7 +36,7 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[-\s]+", "_")
 
 
-def budgets(leaves: list[tuple[str, str, str, int]], targets: dict[str, tuple[float, int]], total: int | None) -> tuple[dict[tuple[str, str, str], int], int]:
+def budgets(leaves: list[tuple[str, str, str, int]], targets: dict[str, tuple[float, int]], total: int | None, stretch: float = 1.0) -> tuple[dict[tuple[str, str, str], int], int]:
     """Tokens to take from each leaf (domain, language, source), and the total aimed at."""
     have: dict[str, int] = {}
     for _, _, s, n in leaves:
@@ -53,7 +47,7 @@ def budgets(leaves: list[tuple[str, str, str, int]], targets: dict[str, tuple[fl
         return {}, 0
     room = {(d, g, s): n * present[s][1] for d, g, s, n in leaves if s in present}
     if total is None:
-        total = int(min(have[s] * r / (t / weight) for s, (t, r) in present.items()))
+        total = int(stretch * min(have[s] * r / (t / weight) for s, (t, r) in present.items()))
     want = {(d, g, s): total * present[s][0] / weight * n / have[s] for d, g, s, n in leaves if s in present}
     give = {k: min(float(room[k]), v) for k, v in want.items()}
     # shortages: among siblings first, then one level up
@@ -89,10 +83,13 @@ def measured(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     return one.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source", "language")).alias("x")).select("doc_id", "x.source", "x.language", "x.n_tokens").where("n_tokens > 0")
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, tokenizer: str = DEFAULT_TOKENIZER,
-        target_limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, domains: DataFrame | None = None, total: int | None = None, stretch: float = 1.0, seed: int = 7,
+        tokenizer: str = DEFAULT_TOKENIZER, target_limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares): chosen (doc_id, source, language, n_tokens, repeats); shares (source, target_share,
-    actual_share, tokens, documents, max_repeats)."""
+    actual_share, tokens, documents, max_repeats).
+
+    ``domains`` (source, domain) is the upper level of the tree; sources without a row share the domain 'other'.
+    ``stretch`` multiplies the largest total that leaves no shortage; beyond 1, shortages are redistributed."""
     spark = docs.sparkSession
     rows = (
         targets.where("source is not null and target_share > 0").groupBy(source_name(F.col("source")).alias("source"))
@@ -102,12 +99,16 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
         raise ValueError(f"more than {target_limit} targets")
     goal = {r["source"]: (float(r["t"]), max(1, r["r"])) for r in rows}
     docs_ = cut_lineage(measured(docs, tokenizer).where(F.col("source").isin(*goal)) if goal else measured(docs, tokenizer).where("false"))
-    domain = F.coalesce(F.create_map(*(F.lit(x) for kv in DOMAINS.items() for x in kv))[F.col("source")], F.lit("other"))
-    docs_ = docs_.withColumn("domain", domain)
+    if domains is None:
+        docs_ = docs_.withColumn("domain", F.lit("other"))
+    else:
+        # only the targets' sources count, so that at most target_limit rows are sent
+        of = domains.where("source is not null and domain is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.min("domain").alias("domain"))
+        docs_ = docs_.join(F.broadcast(of.where(F.col("source").isin(*goal))) if goal else of, "source", "left").withColumn("domain", F.coalesce("domain", F.lit("other")))
     # at most (targets x two-letter codes) rows
     stats = docs_.groupBy("domain", "language", "source").agg(F.sum("n_tokens").alias("n")).collect()
     leaves = sorted((r["domain"], r["language"], r["source"], int(r["n"])) for r in stats)
-    plan, _ = budgets(leaves, goal, total)
+    plan, _ = budgets(leaves, goal, total, stretch)
     size = {(d, g, s): n for d, g, s, n in leaves}
     table = [(d, g, s, b // size[d, g, s], b % size[d, g, s]) for (d, g, s), b in plan.items()]
     plan_df = spark.createDataFrame(table or [("", "", "", 0, 0)], "domain string, language string, source string, rounds long, rest long")

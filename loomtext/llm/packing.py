@@ -3,7 +3,8 @@
 Method: space-filling-curve order.  Every text becomes a hashed word vector, projected to three dimensions; texts are
 range-sorted by their Hilbert key, so that neighbours on the curve share vocabulary, and packed along the curve.  In
 each range the last ``open_containers`` containers stay open and a text goes where it leaves least room (best fit);
-ranges are cut by (key, doc_id), so a third of all texts being equal still spreads over tasks.
+ranges are cut by (key, doc_id), so a third of all texts being equal still spreads over tasks.  Each range leaves at most
+``open_containers`` containers part empty, a few in a thousand of its ``rows_per_range`` texts.
 
 Defined results
 ---------------
@@ -15,7 +16,7 @@ Defined results
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,8 +72,8 @@ class Projector:
         k = self.index[w] = len(self.index)
         if k >= len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        self.table[k] = [((h * m) % 65521 / 32760.0 - 1) for m in (2654435761, 40503, 97)]
+        h = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=4 * DIMS).digest()
+        self.table[k] = np.frombuffer(h, "<u4") / 2147483647.5 - 1  # independent coordinates
         return k
 
     def __call__(self, text: str) -> np.ndarray:
@@ -121,7 +122,7 @@ def best_fit(sizes: list[int], capacity: int, open_containers: int = 64) -> list
     return out
 
 
-def pack(docs: DataFrame, capacity: int, tokenizer: str = DEFAULT_TOKENIZER, open_containers: int = 64, rows_per_range: int = 100_000,
+def pack(docs: DataFrame, capacity: int, tokenizer: str = DEFAULT_TOKENIZER, open_containers: int = 64, rows_per_range: int = 16_384,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece_no, n_tokens, container_id, position, start_token): the place of each text."""
     if capacity < 1:
@@ -161,3 +162,11 @@ def pack(docs: DataFrame, capacity: int, tokenizer: str = DEFAULT_TOKENIZER, ope
         )
 
     return ordered.select("doc_id", "piece_no", "m").mapInPandas(place, "doc_id long, piece_no int, n_tokens int, container_id long, position int, start_token int")
+
+
+def fill(packed: DataFrame, capacity: int) -> DataFrame:
+    """(containers, texts, tokens, fill): how full the containers are; ``fill`` is the used share of their room."""
+    each = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("containers"), F.sum("n").alias("texts"), F.sum("used").alias("tokens")).withColumn(
+        "fill", F.round(F.col("tokens") / (F.col("containers") * capacity), 6)
+    )

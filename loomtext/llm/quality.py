@@ -2,7 +2,9 @@
 
 Method: repetition statistics (duplicate line and paragraph shares, character coverage of the dominant word n-gram)
 beside word, symbol and line-end figures; lines are told apart as prose, list entries, table rows and unreadable matter
-by combined rules, and the document's verdict follows from the share of its characters in each.
+by combined rules.  Repetition enters the verdict: running heads and feet, lines that come again in a text much of which
+is repeated, and texts made up of one n-gram are junk.  The document's class follows from the share of its characters in
+each kind.
 
 Defined results
 ---------------
@@ -48,7 +50,7 @@ NON_ASCII = re.compile(r"[^\x00-\x7f]")
 STRIP = ".,;:!?\"'()[]«»“”„…"
 PARAGRAPH_GAP = re.compile(r"\n[ \t 　\f\r]*\n[ \t 　\f\r\n]*")
 LATIN_1 = re.compile(r"[\x80-\xff]")
-ZEROS = str.maketrans("123456789", "0" * 9)
+ZEROS = bytes.maketrans(b"123456789", b"0" * 9)
 NAV = re.compile(r"\s[|»›·•]\s")
 
 
@@ -90,25 +92,24 @@ def _unreadable(line: str, n: int) -> bool:
     return False
 
 
+def _separated(s: str) -> bool:
+    """Whether a line has anything that tells cells, entries or crumbs apart."""
+    if "|" in s or "\t" in s or "»" in s or "·" in s or "•" in s or "›" in s or "...." in s or "____" in s:
+        return True
+    return "  " in s and bool(GAP.search(s)) or any(s.count(x) >= 2 and x + " " not in s for x in ";,")
+
+
 def line_kind(line: str) -> str:
     """'' (blank), 'junk', 'table', 'list', 'head' (short, takes its neighbour's kind) or 'prose'."""
     s = line.strip()
     n = len(s)
     if not n:
         return ""
-    if n >= 120 or n >= 50 and not SUSPECT.search(s):
+    if n >= 120 and not _separated(s) or 50 <= n < 120 and not SUSPECT.search(s):
         raw = s.encode("utf-8", "replace")
         letters, digits, spaces, vowels, symbols = _census(raw)
-        if len(raw) - n <= 0.08 * n and 7 * spaces >= n - spaces and 4 * vowels >= letters and 8 * symbols < n:
-            if n < 120 and 8 * digits < n or n > 200 and 40 * digits < n and "|" not in s and "»" not in s and "·" not in s:
-                return "prose"
-    if n > 200:
-        # long lines: prose unless they read as one long enumeration
-        if _unreadable(s, n):
-            return "junk"
-        if len(NAV.findall(s)) >= 3 and not s.startswith("|"):
-            return "junk"
-        return "list" if len(ENTRY.findall(s)) * 60 > n else "prose"
+        if len(raw) - n <= 0.08 * n and 7 * spaces >= n - spaces and 4 * vowels >= letters and 8 * symbols < n and (40 if n >= 120 else 8) * digits < n:
+            return "prose"  # nothing the rules below look for
     if _unreadable(s, n):
         return "junk"
     if RULE.match(s):
@@ -117,15 +118,17 @@ def line_kind(line: str) -> str:
         return "table"
     if s.count('","') >= 1 and s[0] == '"' and s[-1] == '"':
         return "table"
-    if len(NAV.findall(s)) >= 3:
+    # what is counted must come often enough for the line's length
+    nav = len(NAV.findall(s))
+    if nav >= 3 and nav * 80 >= n:
         return "junk"
     if LEADER.search(s):
         return "list"
     gaps = len(GAP.findall(s))
-    if gaps >= 2 or gaps == 1 and "\t" in s:
+    if gaps >= 2 and gaps * 100 >= n or gaps == 1 and "\t" in s:
         return "table"
     for sep in (";", ",", "|"):
-        if s.count(sep) >= 2 and sep + " " not in s and (cells := s.split(sep)) and max(map(len, cells)) <= 32 and n < 160:
+        if s.count(sep) >= 2 and sep + " " not in s and (cells := s.split(sep)) and max(map(len, cells)) <= 32:
             return "table"
     words = s.split()
     ended = TERMINATED.search(s)
@@ -137,7 +140,7 @@ def line_kind(line: str) -> str:
             return "prose"
         return "list" if body >= 1 else "head"
     entries = len(ENTRY.findall(s))
-    if entries >= 2 and entries * 45 > n:
+    if entries >= 2 and entries * 60 > n:
         return "list"
     if ITEM_END.search(s) and len(words) <= 9 and not (ended and s[-1] in ".!?") and n < 90:
         low = sum(1 for w in words if w.lower() in COMMON)
@@ -148,28 +151,63 @@ def line_kind(line: str) -> str:
     return "prose"
 
 
-def _furniture(lines: list[str]) -> set[str]:
-    """Digit-free forms of lines that come back at least four times: running heads and feet."""
-    flat = [y for x in lines if 2 < len(y := x.strip().translate(ZEROS)) <= 160]
-    if len(set(flat)) > len(flat) - 3:
-        return set()
-    return {k for k, n in Counter(flat).items() if n >= 4 and any(ch.isalpha() for ch in k)}
+def repetition(lines: list[str], paragraphs: list[str], words: list[str], n: int = 3) -> tuple[float, float, float]:
+    """Shares of the characters in lines and paragraphs that came before, and in the most frequent word n-gram."""
+    line_chars = sum(map(len, lines))
+    dup_lines = line_chars - sum(map(len, set(lines)))
+    par_chars = sum(map(len, paragraphs))
+    dup_pars = par_chars - sum(map(len, set(paragraphs)))
+    top = 0.0
+    if len(words) > n:
+        g, k = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
+        top = min(1.0, k * (sum(map(len, g)) + n - 1) / max(1, sum(map(len, words)))) if k > 1 else 0.0
+    return dup_lines / max(1, line_chars), dup_pars / max(1, par_chars), top
+
+
+#: Shares of repeated matter from which on what comes again is no prose, and of one n-gram from which on nothing is.
+REPEATED, ONE_GRAM = 0.3, 0.5
+
+
+def _digitless(text: str) -> list[str]:
+    """The lines of a text with every digit made 0."""
+    return [x.strip() for x in text.encode("utf-8", "surrogatepass").translate(ZEROS).decode("utf-8", "surrogatepass").split("\n")]
+
+
+def _repeated(lines: list[str], flat: list[str]) -> tuple[set[str], set[str]]:
+    """Digit-free forms of lines that come back at least four times (running heads and feet), and the lines that come
+    again where they hold REPEATED of the text's characters or more."""
+    some = [x for x in flat if len(x) > 2]
+    if len(set(some)) == len(some):
+        return set(), set()
+    furniture = {k for k, n in Counter(some).items() if n >= 4 and any(ch.isalpha() for ch in k)}
+    full = [y for x in lines if (y := x.strip())]
+    counts = Counter(full)
+    again = sum(len(k) * (n - 1) for k, n in counts.items())
+    return furniture, {k for k, n in counts.items() if n > 1} if again >= REPEATED * sum(map(len, full)) else set()
 
 
 def class_shares(text: str) -> dict[str, float]:
-    """Shares of the characters (of non-blank lines) by kind."""
-    lines = text.replace("\r", "").split("\n")
+    """Shares of the characters (of non-blank lines) by kind; what is repeated beyond its first place is junk where much
+    is repeated, and so is a text made up of one n-gram."""
+    text = text.replace("\r", "")
+    lines = text.split("\n")
     total: Counter = Counter()
-    furniture = _furniture(lines) if len(lines) >= 5 else set()
+    flat = _digitless(text)
+    furniture, again = _repeated(lines, flat)
+    seen: set[str] = set()
     pending = 0
     last = ""
-    for line in lines:
+    for line, zeros in zip(lines, flat):
         kind = line_kind(line)
         if not kind:
             continue
-        n = len(line.strip())
-        if furniture and kind in ("prose", "head") and line.strip().translate(ZEROS) in furniture:
-            kind = "junk"
+        s = line.strip()
+        n = len(s)
+        if kind in ("prose", "head"):
+            if zeros in furniture or s in seen:
+                kind = "junk"
+            elif s in again:
+                seen.add(s)
         if kind == "head":
             if last:
                 total[last] += n
@@ -183,6 +221,11 @@ def class_shares(text: str) -> dict[str, float]:
         last = kind
     if pending:
         total["list"] += pending
+    if total["prose"]:
+        words = text.split()
+        # the most frequent n-gram is looked at only where few different words leave room for one
+        if len(words) >= 10 and len(set(words)) < len(words) * 0.2 and repetition([], [], words)[2] >= ONE_GRAM:
+            total["junk"] += total.pop("prose")
     everything = sum(total.values()) or 1
     return {k: total[k] / everything for k in ("prose", "list", "table", "junk")}
 
@@ -224,23 +267,14 @@ def text_statistics(text: str | None, n: int = 3) -> tuple:
         if len(w) < 7 and (w in COMMON or w.lower() in COMMON):
             common += k
     lines = [x for x in (y.strip() for y in text.split("\n")) if x]
-    lc = Counter(lines)
-    dup_lines = sum(len(x) * (k - 1) for x, k in lc.items())
-    line_chars = sum(map(len, lines))
     pars = [p.strip() for p in PARAGRAPH_GAP.split(text) if p.strip()]
-    pc = Counter(pars)
-    dup_pars = sum(len(x) * (k - 1) for x, k in pc.items())
-    par_chars = sum(map(len, pars))
-    top = 0.0
-    if n_words > n:
-        g, k = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
-        top = min(1.0, k * (sum(map(len, g)) + n - 1) / max(1, chars)) if k > 1 else 0.0
+    dup_lines, dup_pars, top = repetition(lines, pars, words, n)
     s = class_shares(text)
     cls = "prose" if s["prose"] >= 0.5 else max(("junk", "table", "list"), key=lambda q: (s[q], -("junk", "table", "list").index(q)))
     return (
         n_words, long_words, chars / n_words, symbols / max(1, chars), digits / max(1, chars), len(lines),
-        sum(1 for x in lines if TERMINATED.search(x)) / len(lines), common / n_words, dup_lines / max(1, line_chars),
-        dup_pars / max(1, par_chars), top, s["prose"], s["list"], s["table"], s["junk"], cls,
+        sum(1 for x in lines if TERMINATED.search(x)) / len(lines), common / n_words, dup_lines,
+        dup_pars, top, s["prose"], s["list"], s["table"], s["junk"], cls,
     )
 
 

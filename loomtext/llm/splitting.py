@@ -61,17 +61,22 @@ def pieces(item: Column, pattern: str) -> Column:
 
 
 def _limits(settings: DataFrame) -> dict[str, tuple[int, int]]:
-    rows = settings.where("setting_key is not null and max_size > 0").select("setting_key", "max_size", F.coalesce("overlap_size", F.lit(0)).alias("o")).limit(1000).collect()
+    # the two kinds of items there are; of repeated rows the smallest limit counts
+    rows = (
+        settings.where("setting_key in ('paragraph_chars', 'group_tokens') and max_size > 0")
+        .groupBy("setting_key").agg(F.min(F.struct("max_size", F.coalesce("overlap_size", F.lit(0)).alias("o"))).alias("x")).select("setting_key", "x.*").collect()
+    )
     return {r["setting_key"]: (r["max_size"], max(0, min(r["o"], r["max_size"] - 1))) for r in rows}
 
 
 def _cut(items: DataFrame, pattern: str, back: str) -> DataFrame:
     """Explodes items into pieces; ``back`` is the SQL for the overlap taken from the core before."""
     cut = items.withColumn("cores", pieces(F.col("item"), pattern))
-    # start of each core: running length, kept beside the core
+    # the item is cut once more by the lengths of its cores, each start the sum of those before
+    cut = cut.withColumn("ends", F.expr("aggregate(transform(cores, c -> length(c)), named_struct('at', 0, 'out', ''), (acc, n) -> named_struct('at', acc.at + n, 'out', concat(acc.out, cast(acc.at + n as string), ','))).out"))
+    cut = cut.withColumn("ends", F.expr("transform(filter(split(ends, ','), e -> e <> ''), e -> cast(e as int))"))
     cut = cut.withColumn(
-        "spans",
-        F.expr("aggregate(cores, named_struct('at', 0, 'out', cast(array() as array<struct<at:int,core:string,before:string>>)), (acc, c) -> named_struct('at', acc.at + length(c), 'out', array_append(acc.out, named_struct('at', acc.at, 'core', c, 'before', case when size(acc.out) > 0 then element_at(acc.out, -1).core else '' end)))).out"),
+        "spans", F.expr("transform(cores, (c, k) -> named_struct('at', coalesce(get(ends, k - 1), 0), 'core', c, 'before', coalesce(get(cores, k - 1), '')))")
     )
     return (
         cut.select("item_kind", "doc_id", "item_no", F.posexplode_outer("spans").alias("piece_no", "s"))
