@@ -37,7 +37,7 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p2_parties(s: SparkSession, d: str) -> DataFrame:
-    return _clusters(s, d)
+    return names.with_links(_clusters(s, d))
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:

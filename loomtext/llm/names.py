@@ -1,10 +1,15 @@
 """Variant spellings of names typed by people (problem 2).
 
-Method: names are cut into a distinctive part (a company's own name, a person's last name) and the rest (sector words,
-first names, initials), abbreviations and nicknames are spelled out, spellings are blocked by phonetic codes of the
-sorted distinctive tokens (with each code of one letter less, so that a typing error keeps a shared block), compared
-with Jaro-Winkler and the nickname table, and accepted pairs are clustered by connected components.  Spellings that say
-less than others (initials, a left-out word) join a cluster only where exactly one fits.
+Method: names are cut into a distinctive part (a company's own name, a person's last name) and the rest (what a company
+does, first names, initials); abbreviations and nicknames are spelled out.  What a company does is told by words learned
+from the names at hand: those that stand behind many different leading words.  Spellings are blocked by phonetic codes of
+the sorted distinctive tokens (and of the tokens as typed, where a space slipped into a word; with each code of one letter
+less, so that a slip keeps a shared block), compared with Jaro-Winkler, which decides together with the nickname table,
+and accepted pairs are clustered by connected components.  Spellings that say less than others (initials, a left-out word)
+join a cluster only where exactly one fits.
+
+Blocks hold distinct spellings, not records: a party with a third of all records enters each of its blocks once for every
+way it is typed.
 
 Defined results
 ---------------
@@ -52,15 +57,7 @@ NICKNAMES = {
     "terry": "theresa", "tim": "timothy", "tom": "thomas", "tony": "anthony", "trish": "patricia", "vicky": "victoria",
     "vic": "victor", "walt": "walter", "will": "william", "zack": "zachary",
 }
-# Words that say what a company does or where.
-BUSINESS = frozenset(
-    "digital logistics alpine royal urban holdings maritime textiles insurance precision chemicals capital systems rural foods"
-    " brothers development services global engineering optical manufacturing northern pharmaceuticals international publishing"
-    " pacific marine technologies coastal harbour central solar industrial laboratories thermal southern eastern western"
-    " national american european atlantic united general first advanced applied group partners trading industries energy media"
-    " software networks communications financial bank trust properties resources mining shipping transport motors foods"
-    " agricultural department university institute consulting solutions entertainment".split()
-)
+# Common written abbreviations of such words.
 ABBREVIATED = {"intl": "international", "mfg": "manufacturing", "bros": "brothers", "svcs": "services", "engrg": "engineering", "dept": "department", "univ": "university"}
 OCR = str.maketrans({"0": "o", "1": "l", "5": "s", "|": "l", "3": "e"})
 
@@ -126,37 +123,45 @@ def phonetic(word: str) -> str:
     return re.sub(r"[aeiouyhw]", "", once).translate(_PHONETIC) or word[:1]
 
 
+def forms(core: str) -> set[str]:
+    """A distinctive part as one word: its tokens sorted, and as typed, where a space slipped into a word."""
+    tokens = core.split()
+    return {"".join(sorted(tokens)), "".join(tokens)}
+
+
 def block_keys(core: str) -> list[str]:
-    """The phonetic code and each code of one letter less."""
-    code = phonetic(core)
-    keys = {code}
-    if len(code) >= 3:
-        keys.update(code[:i] + code[i + 1 :] for i in range(len(code)))
+    """The phonetic codes of the sorted tokens, and of the tokens as typed, and each code of one letter less."""
+    keys: set[str] = set()
+    for form in forms(core):
+        code = phonetic(form)
+        keys.add(code)
+        if len(code) >= 3:
+            keys.update(code[:i] + code[i + 1 :] for i in range(len(code)))
     return sorted(keys)
 
 
 class Reader:
     """Cuts typed names into their parts, given the nickname and abbreviation tables and the frequent words."""
 
-    def __init__(self, aliases: dict[str, str], frequent: set[str]) -> None:
+    def __init__(self, aliases: dict[str, str], frequent: dict[str, int] | set[str]) -> None:
         self.nick = dict(NICKNAMES)
         self.short = dict(ABBREVIATED)
+        frequent = frequent if isinstance(frequent, dict) else dict.fromkeys(frequent, 1)
         firsts = set(NICKNAMES.values())
         for s, long in aliases.items():
             key = s.strip().lower().rstrip(".")
-            if long.lower() in firsts or not s.strip().endswith(".") and long.lower() not in BUSINESS and key not in ("labs", "pharma"):
+            # an alias with a full stop, or of a word learned from companies, shortens a word; any other is a nickname
+            if long.lower() in firsts or not s.strip().endswith(".") and long.lower() not in frequent:
                 self.nick[key] = long.lower()
                 firsts.add(long.lower())
             else:
                 self.short[key] = long.lower()
         self.first = firsts
-        fixed = set(BUSINESS) | set(self.short.values())
-        self.business = fixed
         self.memo: dict[str, str | None] = {}
-        # an abbreviation or slip of a fixed word stays one, however often it is typed
-        self.learned = {w for w in frequent if len(w) > 3 and w not in firsts and w not in self.nick and self.word(w) is None}
-        self.business = fixed | self.learned
-        self.memo = {}
+        known = {w: n for w, n in frequent.items() if w not in firsts and w not in self.nick and w not in self.short}
+        # a learned word that shortens a more frequent one, or is a slip of it, is no word of its own
+        self.learned = {w for w, n in known.items() if not any(v != w and k >= n and (_shortens(w, v) or k > 3 * n and edits(w, v, 1) <= 1) for v, k in known.items())}
+        self.business = set(self.short.values()) | self.learned
 
     def word(self, t: str) -> str | None:
         """The business word a token stands for, typed out, abbreviated or with a slip; None for any other token."""
@@ -237,8 +242,8 @@ class Reader:
             else:
                 core.append(t)
         if not core and not hint and (len(typed) > 1 or typed and legal):
-            # a name of business words alone keeps one as its own: a learned word before a fixed one, else the first
-            k = next((k for k, (_, w) in enumerate(typed) if w in self.learned), 0)
+            # a name of business words alone keeps the first as its own
+            k = 0
             core.append(typed[k][1])
             words.remove(typed[k][1])
         if legal or words:
@@ -257,7 +262,7 @@ class Reader:
                         words.append(w)
                         flat[i : i + 2] = []
                         break
-            name_core = "".join(flat)
+            name_core = " ".join(x for x in flat if x)
             if not name_core:
                 return None
             if len(hint) == 1 and not words and not legal:
@@ -280,20 +285,28 @@ class Reader:
         return ("person", last, f, f[0] + hint, "") if last else None
 
 
+def _shortens(w: str, v: str) -> bool:
+    """Whether one word is another's beginning, or its consonants in part."""
+    return len(w) < len(v) and (v.startswith(w) or w[0] == v[0] and not re.search(r"[aeiou]", w[1:]) and _within(w, v))
+
+
 def _within(short: str, long: str) -> bool:
     it = iter(long)
     return all(c in it for c in short)
 
 
+#: Jaro-Winkler similarity from which two distinctive parts are one; short ones must be closer.
+ALIKE, ALIKE_SHORT = 0.86, 0.92
+
+
 def same_core(a: str, b: str) -> bool:
-    """Whether two distinctive parts are one, but for slips of the hand."""
-    if a == b:
+    """Whether two distinctive parts are one, but for slips of the hand and the order of their words."""
+    fa, fb = forms(a), forms(b)
+    if fa & fb:
         return True
-    n = min(len(a), len(b))
-    if n < 5:
+    if min(len(x) for x in fa | fb) < 5:
         return False
-    d = edits(a, b, 2)
-    return d <= (1 if n < 7 else 2) and jaro_winkler(a, b) >= 0.86
+    return any(jaro_winkler(x, y) >= (ALIKE if min(len(x), len(y)) >= 7 else ALIKE_SHORT) for x in fa for y in fb)
 
 
 def _initials_fit(hint: str, rest: str) -> bool:
@@ -328,25 +341,32 @@ def name_records(matches: DataFrame, answers: DataFrame) -> DataFrame:
     return m.unionByName(a)
 
 
-def frequent_words(records: DataFrame, share: float = 0.006, least: int = 12) -> set[str]:
-    """Words that stand behind at least ``share`` of the distinct leading words of company names, and ``least`` of them:
-    no more than (words per name / share) words.  A name's own word or a person's last name, however often it is typed,
-    leads or has no legal form; leading words of one phonetic code count once."""
+def word_leads(records: DataFrame, leads: int = 5, share: float = 0.2) -> dict[str, int]:
+    """Words that say what a company does, with their number of leading words: those standing behind at least ``leads`` different leading words, and behind
+    one more for every 1 / share differently typed names that hold them.  A company's own word, however often and in
+    however many ways it is typed, stands behind few; leading words of one phonetic code count once.  Their number is
+    bounded by the vocabulary of such words, not by the records."""
     legal = r"(?i)[\s,]+(?:" + "|".join(p for _, p in LEGAL) + r")\s*$"
     low = F.regexp_replace(F.lower("name"), r"^\s*the\s+", "")
-    words = records.where(F.col("form").isNotNull() | F.col("name").rlike(legal)).select(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)).alias("ws")).where("size(ws) > 1")
+    words = records.where(F.col("form").isNotNull() | F.col("name").rlike(legal)).select(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)).alias("ws")).where("size(ws) > 1").distinct()
     code = F.regexp_replace(F.regexp_replace(F.element_at("ws", 1), r"(.)\1+", "$1"), "[aeiouyhw]", "")
     code = F.translate(code, "".join(map(chr, _PHONETIC)), "".join(_PHONETIC.values()))
-    beside = words.select(code.alias("lead"), F.explode(F.array_distinct(F.expr("slice(ws, 2, size(ws))"))).alias("w")).where("length(w) >= 4").distinct()
-    n = beside.select("lead").distinct().count()
-    return {r["w"] for r in beside.groupBy("w").count().where(F.col("count") >= max(least, share * n)).select("w").collect()}
+    beside = words.select(code.alias("lead"), F.explode(F.array_distinct(F.expr("slice(ws, 2, size(ws))"))).alias("w")).where("length(w) >= 4")
+    counts = beside.groupBy("w", "lead").agg(F.count("*").alias("n")).groupBy("w").agg(F.count("*").alias("leads"), F.sum("n").alias("names"))
+    return {r["w"]: r["leads"] for r in counts.where((F.col("leads") >= leads) & (F.col("leads") >= share * F.col("names"))).select("w", "leads").collect()}
+
+
+def frequent_words(records: DataFrame) -> set[str]:
+    """The words alone."""
+    return set(word_leads(records))
 
 
 SPELLING = "kind string, core string, rest string, hint string, legal string"
 
 
-def party_clusters(records: DataFrame, aliases: DataFrame, alias_limit: int = 10_000) -> DataFrame:
-    """(ref, typed, party): records of one party share ``party`` (a hash of its first spelling).
+def party_clusters(records: DataFrame, aliases: DataFrame, alias_limit: int = 10_000, words: tuple[str, ...] = ()) -> DataFrame:
+    """(ref, typed, party): records of one party share ``party`` (a hash of its first spelling).  ``words`` are known to
+    say what a company does, beside those learned from the names; a few names teach none.
 
     ``aliases`` (short_form, long_form) goes to every worker; more than ``alias_limit`` rows are refused."""
     rows = aliases.where("short_form is not null and long_form is not null").select("short_form", "long_form").limit(alias_limit + 1).collect()
@@ -355,7 +375,7 @@ def party_clusters(records: DataFrame, aliases: DataFrame, alias_limit: int = 10
     table = {r["short_form"]: r["long_form"] for r in rows}
     sc = records.sparkSession.sparkContext
     # the list of roles in a contract ("the Licensee", '(each a "Party")') never has a second word
-    given = sc.broadcast((table, frequent_words(records)))
+    given = sc.broadcast((table, word_leads(records) | {w: 1 << 30 for w in words}))
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(*given.value)
@@ -382,7 +402,7 @@ def party_clusters(records: DataFrame, aliases: DataFrame, alias_limit: int = 10
             for r in b.itertuples(index=False):
                 if not same_core(r.core_a, r.core_b):
                     continue
-                exact = r.core_a == r.core_b
+                exact = bool(forms(r.core_a) & forms(r.core_b))
                 if r.kind == "company":
                     if r.legal_a and r.legal_b and r.legal_a != r.legal_b and not exact:
                         continue
@@ -396,9 +416,9 @@ def party_clusters(records: DataFrame, aliases: DataFrame, alias_limit: int = 10
     side = lambda df, x: df.select("kind", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "core", "rest", "hint", "legal", "full")))
     fulls = blocked.where("full")
     pairs = (
-        side(fulls, "a")
-        .join(side(fulls, "b").withColumnRenamed("rest_b", "rest_b0"), ["kind", "key"])
-        .where("node_a < node_b and rest_a = rest_b0 and abs(length(core_a) - length(core_b)) <= 2")
+        side(fulls, "a").withColumnRenamed("rest_a", "rest")
+        .join(side(fulls, "b").withColumnRenamed("rest_b", "rest"), ["kind", "key", "rest"])
+        .where("node_a < node_b and abs(length(core_a) - length(core_b)) <= 2")
         .dropDuplicates(["node_a", "node_b"])
         .mapInPandas(accept, "a long, b long, exact boolean, same_legal boolean")
     )
@@ -435,8 +455,8 @@ def party_clusters(records: DataFrame, aliases: DataFrame, alias_limit: int = 10
     left = side(blocked_alone, "a")
     right = side(blocked_alone, "b")
     rest_pairs = (
-        left.join(right, ["kind", "key"])
-        .where("node_a < node_b and abs(length(core_a) - length(core_b)) <= 2 and rest_a = rest_b")
+        left.withColumnRenamed("rest_a", "rest").join(right.withColumnRenamed("rest_b", "rest"), ["kind", "key", "rest"])
+        .where("node_a < node_b and abs(length(core_a) - length(core_b)) <= 2")
         .where("hint_a = hint_b or kind = 'person' and left(hint_a, 1) = left(hint_b, 1) and (length(hint_a) = 1 or length(hint_b) = 1)")
         .dropDuplicates(["node_a", "node_b"])
         .mapInPandas(accept, "a long, b long, exact boolean, same_legal boolean")
@@ -448,6 +468,14 @@ def party_clusters(records: DataFrame, aliases: DataFrame, alias_limit: int = 10
     return parsed.withColumn("node", node).join(where, "node").select("ref", "typed", F.col("entity").alias("party"))
 
 
+def with_links(clusters: DataFrame) -> DataFrame:
+    """Adds n_links: the records of the party that aren't typed alike."""
+    typed = clusters.groupBy("party", "typed").agg(F.count("*").alias("same"))
+    whole = typed.groupBy("party").agg(F.sum("same").alias("all"))
+    counts = typed.join(whole, "party").select("party", "typed", (F.col("all") - F.col("same")).alias("n_links"))
+    return clusters.join(counts, ["party", "typed"]).select("ref", "typed", "party", "n_links")
+
+
 def variant_pairs(clusters: DataFrame) -> DataFrame:
     """(ref_a, ref_b): records of one party that aren't typed alike, the smaller reference first."""
     a = clusters.select(F.col("ref").alias("ref_a"), F.col("typed").alias("ta"), "party")

@@ -3,6 +3,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.llm import distinctive, language, mixing, names, near_duplicates, packing, quality, reading_level, sentences, splitting
 from loomtext.llm.tokens import counter
@@ -32,7 +33,7 @@ def test_names(spark):
     m = spark.createDataFrame([(i, n, e, T0) for i, n, e in m], "match_id long, name string, entity_type string, extracted_at timestamp").selectExpr("*", "1 as ref", "2 as party")
     a = spark.createDataFrame([(7, {"Parties": ["the Licensee", "BODREZOKEL PACIFIC CHEMICALS LLC", '(each a "Party")', None]}), (8, None), (9, {})], "cuad_index int, clause_answers map<string,array<string>>")
     al = spark.createDataFrame([("Bob", "Robert"), (None, "x")], "short_form string, long_form string")
-    got = {tuple(r) for r in names.variant_pairs(names.party_clusters(names.name_records(m, a), al)).collect()}
+    got = {tuple(r) for r in names.variant_pairs(names.party_clusters(names.name_records(m, a), al, words=("pacific", "chemicals", "foods"))).collect()}
     company = {"c7.1", "m1", "m2", "m3"}
     person = {"m5", "m6", "m7"}
     assert got == {(x, y) for g in (company, person) for x in g for y in g if x < y}
@@ -48,9 +49,9 @@ def test_names_of_a_hot_party(spark):
     party = {r["ref"]: r["party"] for r in names.party_clusters(records, al).collect()}
     assert len(party) == len(hot) and len({party[f"m{k}"] for k in range(40)}) == 1
     assert len({party["m100"], party["m101"], party["m0"]}) == 3 and party["m100"] == party["m102"]
-    assert names.Reader({}, {"blackwater"}).read("Blackwater Logistics Inc")[:3] == ("company", "blackwater", "logistics")
-    assert names.Reader({}, set()).read("the Bank") is None
-    assert names.Reader({}, {"marit", "chem"}).read("Nozusagoth Marit. Chem. LLC")[1:3] == ("nozusagoth", "chemicals maritime")
+    assert names.Reader({}, {"blackwater": 1, "logistics": 9}).read("Blackwater Logistics Inc")[:3] == ("company", "blackwater", "logistics")
+    assert names.Reader({}, {"bank"}).read("the Bank") is None
+    assert names.Reader({}, {"marit": 3, "chem": 3, "maritime": 9, "chemicals": 9}).read("Nozusagoth Marit. Chem. LLC")[1:3] == ("nozusagoth", "chemicals maritime")
 
 
 def test_pieces(spark):
@@ -231,3 +232,65 @@ def test_char_pattern_round_trip(spark, seed):
     df = spark.createDataFrame([(t,)], "t string").select(splitting.pieces(splitting.F.col("t"), splitting.char_pattern(40)))
     got = df.first()[0]
     assert "".join(got) == t and all(len(p) <= 40 for p in got)
+
+
+def test_names_in_any_order_and_without_lists(spark):
+    kinds = ["Chemicals", "Textiles", "Shipping", "Foods", "Mining", "Optics"]
+    own = ["Gorelath", "Bezunark", "Mifudrol", "Trosavin", "Kalubrex", "Pondimar", "Saviteth"]
+    rows = [(k, f"{o} {a} {b}", "Inc.") for k, (o, a, b) in enumerate((o, kinds[i % 6], kinds[(i + 1) % 6]) for o in own for i in range(6))]
+    rows += [(100, "Zorblat Quimvar Chemicals Textiles", "LLC"), (101, "Quimvar Zorblat Chemicals Textiles", "LLC"), (102, "Zorblat Quimvar Chem. Textiles", "LLC")]
+    m = spark.createDataFrame(rows, "match_id int, name string, entity_type string").withColumn("extracted_at", F.lit(1))
+    a = spark.createDataFrame([], "cuad_index int, clause_answers map<string,array<string>>")
+    al = spark.createDataFrame([], "short_form string, long_form string")
+    records = names.name_records(m, a)
+    got = {r["ref"]: r["party"] for r in names.party_clusters(records, al).collect()}
+    assert got["m100"] == got["m101"] == got["m102"] and got["m0"] != got["m1"]
+    links = {r["ref"]: r["n_links"] for r in names.with_links(names.party_clusters(records, al)).collect()}
+    assert links["m100"] == 2 and links["m0"] == 0
+
+
+def test_sentences_far_apart():
+    far = "The first one ends." + " " * 80 + "The second one ends."
+    assert len(sentences.split_sentences(far)) == 2
+
+
+def test_long_units_keep_their_language():
+    en = "The crew left the harbour and the rate was paid by the owner of the ship. We wait for the first report of the year. "
+    fr = "Le navire quitte le port et le taux est payé par le propriétaire. Nous attendons le premier rapport de cette année. "
+    m = language.Model(language.train([("en", k, en * 3) for k in range(4)] + [("fr", k, fr * 3) for k in range(4)], 24000))
+    unit = fr.replace(".", ",") * 9000  # about a million characters without a sentence end
+    (s, e, lang, conf), *more = language.stretches(unit, m)
+    assert lang == "fr" and not more and conf > 0.2
+
+
+def test_wrong_labels_dont_teach():
+    en = ["The crew left the harbour and the rate was paid by the owner.", "We wait for the report of the year and the ship.", "No one of the owners was on the pier at the time."]
+    de = ["Das Schiff hat den Hafen verlassen und der Preis wurde bezahlt.", "Wir warten auf den Bericht und auf das Schiff.", "Niemand von den Besitzern war zu der Zeit auf dem Pier."]
+    for seed in range(5):
+        rnd = random.Random(seed)
+        say = lambda xs: " ".join(rnd.choice(xs) for _ in range(6))
+        rows = [("en", k, say(en)) for k in range(20)] + [("de", 100 + k, say(de)) for k in range(17)] + [("de", 200 + k, say(en)) for k in range(3)]
+        m = language.Model(language.train(rows, 24000))
+        assert [x[2] for x in language.stretches(say(en) + "\n\n" + say(de), m)] == ["en", "de"]
+
+
+def test_repetition_is_junk():
+    line = "The owner of the ship shall pay the rate of the harbour when the crew has left it again."
+    other = "Nobody knew how long the storm would last, and the old captain told them to wait below."
+    assert quality.text_class("\n".join([line] * 3 + [other])) == "junk"
+    assert quality.text_class(line + "\n" + other) == "prose"
+    assert quality.text_class("buy now " * 200) == "junk"
+
+
+def test_estimate_selects(spark):
+    feats = spark.createDataFrame([(k, 10 + k % 30, 5.0 + k % 20, 4.0 + k % 3, 0.4 * (5 + k % 20) + 4.0 * (4 + k % 3) - 20, None) for k in range(60)],
+                                  "doc_id long, coverage_rank int, words_per_sentence double, letters_per_word double, grade double, is_english_prose boolean")
+    given = feats.select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.lit(400.0)).otherwise(F.col("grade")).alias("flesch_kincaid_grade"), F.lit(1).alias("scored_at"))
+    off = reading_level.calibrated(feats, given).select(F.max(F.abs(F.col("estimate") - F.col("grade"))).alias("m")).first()["m"]
+    assert off < 0.01
+
+
+def test_mixing_redistributes_among_siblings():
+    leaves = [("law", "en", "a", 100), ("law", "en", "b", 1000), ("web", "en", "c", 1000)]
+    plan, total = mixing.budgets(leaves, {"a": (0.4, 1), "b": (0.2, 1), "c": (0.4, 1)}, 600)
+    assert plan["law", "en", "a"] == 100 and plan["law", "en", "b"] == 260 and plan["web", "en", "c"] == 240 and total == 600
