@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -15,9 +16,11 @@ from .text import char_ngrams, ngrams, tokens
 
 
 def _bag(a: Column, b: Column, each: Callable[[Column, Column], Column]) -> Column:
-    """Sum over the distinct items of both arrays of a function of their two counts."""
+    """Sum over the distinct items of both arrays of a function of their two counts.  Sorted, equal items stand together:
+    an item's count is the distance of its last place from its first."""
     items = F.array_union(a, b)
-    counts = F.transform(items, lambda x: each(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    count = lambda s, x: F.when(F.array_position(s, x) > 0, F.size(s) + 2 - F.array_position(F.reverse(s), x) - F.array_position(s, x)).otherwise(0)
+    counts = F.transform(items, lambda x: each(count(F.array_sort(a), x), count(F.array_sort(b), x)))
     return F.aggregate(counts, F.lit(0).cast("long"), lambda acc, v: acc + v.cast("long")).cast("double")
 
 
@@ -62,24 +65,25 @@ def _osa(a: str, b: str) -> int:
 
 
 def _damerau(a: str, b: str) -> int:
-    """Unrestricted edit distance with swaps."""
+    """Unrestricted edit distance with swaps.  Rows are kept whole, one for each letter of ``a``; a swap looks back to the
+    row of the last equal letter."""
     far = len(a) + len(b)
+    rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     last: dict[str, int] = {}
-    d = {(-1, -1): far}
-    for i in range(len(a) + 1):
-        d[i, -1], d[i, 0] = far, i
-    for j in range(len(b) + 1):
-        d[-1, j], d[0, j] = far, j
-    for i in range(1, len(a) + 1):
+    for i, x in enumerate(a, 1):
+        before, new = rows[-1], [far, i]
         col = 0
-        for j in range(1, len(b) + 1):
-            k, m = last.get(b[j - 1], 0), col
-            same = a[i - 1] == b[j - 1]
-            if same:
-                col = j
-            d[i, j] = min(d[i - 1, j - 1] + (not same), d[i, j - 1] + 1, d[i - 1, j] + 1, d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1))
-        last[a[i - 1]] = i
-    return d[len(a), len(b)]
+        for j, y in enumerate(b, 1):
+            k, m = last.get(y, 0), col
+            if x == y:
+                col, d = j, before[j]
+            else:
+                d = min(before[j], new[j], before[j + 1]) + 1
+            swap = rows[k][m] + (i - k - 1) + 1 + (j - m - 1)
+            new.append(d if d < swap else swap)
+        rows.append(new)
+        last[x] = i
+    return rows[-1][-1]
 
 
 def _jaro(a: str, b: str) -> float:
@@ -166,10 +170,66 @@ def soundex_code(word: str) -> str:
     return (out + "000")[:4]
 
 
+# What a letter sounds like, by the letters around it; the first rule that fits, read from the left.
+METAPHONE = [
+    (r"C(?=IA)", "X"), (r"C(?=[IEY])", "S"), (r"C", "K"), (r"D", "T"), (r"G(?=H[^AEIOU])", ""), (r"(?<=.)G(?=N)", ""),
+    (r"G(?=[IEY])", "J"), (r"G", "K"), (r"(?<![AEIOU])H(?=[AEIOU])", "H"), (r"(?<!C)K", "K"), (r"PH", "F"), (r"Q", "K"), (r"SH", "X"), (r"S(?=I[OA])", "X"),
+    (r"TH", "0"), (r"T(?=I[OA])", "X"), (r"V", "F"), (r"X", "KS"), (r"Z", "S"), (r"W(?=[AEIOU])", "W"), (r"Y(?=[AEIOU])", "Y"), (r"(?<=M)B$", ""), (r"[BFJLMNPRST]", None),
+]
+_METAPHONE = [(re.compile(p), to) for p, to in METAPHONE]
+
+
+def metaphone_code(word: str) -> str:
+    """Consonant sounds, about six at most; a vowel counts at the start only; '' without letters."""
+    w = re.sub(r"[^A-Z]", "", word.upper())
+    if not w:
+        return ""
+    out = ""
+    at = 1 if w[:2] in ("AE", "GN", "KN", "PN", "WR") else 0
+    if w[0] == "X":
+        out, at = "S", 1
+    while at < len(w) and len(out) < 6:
+        c = w[at]
+        if at and c == w[at - 1] and c != "C":  # doubled letters sound once
+            at += 1
+            continue
+        if c in "AEIOU":
+            out += c if at == 0 else ""
+            at += 1
+            continue
+        if c == "D" and re.match(r"DG[IEY]", w[at:]):
+            out += "J"
+            at += 1
+            continue
+        for p, to in _METAPHONE:
+            m = p.match(w, at)
+            if m:
+                out += m.group() if to is None else to
+                at = max(at + 1, m.end())
+                break
+        else:
+            at += 1
+    return out
+
+
+def _positions(x: str, y: str, n: int) -> float:
+    return sum(a == b for a, b in zip(x, y)) / n if n else 1.0
+
+
 def _pairwise(f: Callable[[str, str], float], kind: DataType) -> Callable[[Column, Column], Column]:
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="object")
+        memo: dict[tuple[str, str], float] = {}  # equal pairs of a batch are compared once
+        out = []
+        for p in zip(a, b):
+            if p[0] is None or p[1] is None:
+                out.append(None)
+                continue
+            v = memo.get(p)
+            if v is None:
+                v = memo[p] = f(*p)
+            out.append(v)
+        return pd.Series(out, dtype="object")
 
     return run
 
@@ -183,6 +243,72 @@ common_substring_length = _pairwise(_common_substring, IntegerType())
 sorensen_dice = _pairwise(_dice, DoubleType())
 
 
+#: The metrics over two strings, as plain functions.
+def _counts_metric(kind: str, grams: Callable[[str], list]) -> Callable[[str, str], float]:
+    def f(a: str, b: str) -> float:
+        x, y = Counter(grams(a)), Counter(grams(b))
+        nx, ny = sum(x.values()), sum(y.values())
+        if not nx and not ny:
+            return 1.0
+        low = sum((x & y).values())
+        if kind == "jaccard":
+            return low / (nx + ny - low)
+        if not nx or not ny:
+            return 0.0
+        if kind == "overlap":
+            return low / min(nx, ny)
+        dot = sum(n * y[g] for g, n in x.items())
+        return dot / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+
+    return f
+
+
+def _chars(t: str) -> list[str]:
+    return [t[i : i + 2] for i in range(len(t) - 1)]
+
+
+_STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—§¿¡·•"
+
+
+def _words(t: str) -> list[str]:
+    return [w for w in (x.strip(_STRIP) for x in t.lower().split()) if w]
+
+
+def _word_pairs(t: str) -> list:
+    w = _words(t)
+    return list(zip(w, w[1:])) if len(w) != 1 else w
+
+
+def _share(d: Callable[[str, str], float]) -> Callable[[str, str], float]:
+    return lambda a, b: 1 - d(a, b) / max(len(a), len(b)) if a or b else 1.0
+
+
+def _levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diag, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (x != y))
+    return row[-1]
+
+
+SCALARS: dict[str, Callable[[str, str], float]] = {
+    "levenshtein": _share(_levenshtein), "damerau_levenshtein": _share(_damerau), "osa": _share(_osa), "jaro": _jaro, "jaro_winkler": _jaro_winkler, "sorensen_dice": _dice,
+    "lcs": lambda a, b: _lcs(a, b) / max(len(a), len(b)) if a or b else 1.0, "longest_common_substring": lambda a, b: _common_substring(a, b) / max(len(a), len(b)) if a or b else 1.0,
+    "ngram_jaccard": _counts_metric("jaccard", _chars), "ngram_cosine": _counts_metric("cosine", _chars), "ngram_overlap": _counts_metric("overlap", _chars),
+    "token_jaccard": _counts_metric("jaccard", _words), "token_ngram_jaccard": _counts_metric("jaccard", _word_pairs), "token_ngram_cosine": _counts_metric("cosine", _word_pairs),
+    "token_ngram_overlap": _counts_metric("overlap", _word_pairs), "soundex": lambda a, b: _positions(soundex_code(a), soundex_code(b), 4),
+    "metaphone": lambda a, b: _positions(metaphone_code(a), metaphone_code(b), max(len(metaphone_code(a)), len(metaphone_code(b)))),
+}
+
+
+@F.pandas_udf(StringType())
+def metaphone(words: pd.Series) -> pd.Series:
+    """See metaphone_code; each distinct word is encoded once."""
+    memo = {w: metaphone_code(w) for w in words.dropna().unique()}
+    return words.map(memo).astype(object).where(words.notna(), None)
+
+
 @F.pandas_udf(StringType())
 def soundex(words: pd.Series) -> pd.Series:
     """See soundex_code."""
@@ -221,11 +347,17 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "token_ngram_jaccard": lambda a, b: multiset_jaccard(ngrams(tokens(a), 2), ngrams(tokens(b), 2)),
     "token_ngram_cosine": lambda a, b: multiset_cosine(ngrams(tokens(a), 2), ngrams(tokens(b), 2)),
     "token_ngram_overlap": lambda a, b: multiset_overlap(ngrams(tokens(a), 2), ngrams(tokens(b), 2)),
+    "soundex": _pairwise(SCALARS["soundex"], DoubleType()),
+    "metaphone": _pairwise(SCALARS["metaphone"], DoubleType()),
 }
+#: Other names of the same.
+ALIASES = {"damerau": "damerau_levenshtein", "dice": "sorensen_dice", "longest_common_subsequence": "lcs"}
 
 
 def metric(name: str) -> Callable[[Column, Column], Column]:
-    """A similarity by name; an unknown name is an error."""
+    """A similarity by name, with hyphens or underscores; an unknown name is an error."""
+    name = name.replace("-", "_").lower()
+    name = ALIASES.get(name, name)
     if name not in METRICS:
         raise ValueError(f"unknown metric {name!r}; one of {', '.join(sorted(METRICS))}")
     return METRICS[name]

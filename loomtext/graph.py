@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the session names in spark.checkpoint.dir; a private one only where it is unset."""
+    """Checkpoint into the folder the session names in spark.checkpoint.dir.  Where it is unset a local session, as in
+    tests, gets a private one; a cluster must name a folder its executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)

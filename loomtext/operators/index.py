@@ -1,11 +1,23 @@
-"""Inverted index as tables, and ranked and boolean retrieval over it."""
+"""Inverted index as tables, and ranked and boolean retrieval over it.
+
+An index is built once (``Index.build``), kept as a checkpoint or a written table, and searched many times: a posting
+carries its document's length, so that a search touches only the postings of the asked terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..graph import cut_lineage
+from .lexicon import expand
+from .lines import paragraphs
+from .punkt import Model
+from .punkt import sentences as punkt_sentences
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -36,67 +48,136 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _query_terms(queries: DataFrame) -> DataFrame:
+@dataclass
+class Index:
+    """Postings (term, doc_id, tf, dl), the number of documents and their average length."""
+
+    postings: DataFrame
+    n: int
+    avgdl: float
+
+    @classmethod
+    def of(cls, postings: DataFrame) -> Index:
+        """An index of stored postings that carry dl; one small aggregation."""
+        row = postings.select("doc_id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
+        return cls(postings, row["n"], row["a"] or 0.0)
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+        """Tokenises the documents once and keeps the postings (checkpointed)."""
+        toks = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks")).where("size(toks) > 0")
+        rows = toks.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
+        # the length is part of the key, so that no join brings it back; the exchange goes by term, as searches do
+        return cls.of(cut_lineage(rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))))
+
+    @classmethod
+    def from_postings(cls, postings: DataFrame) -> Index:
+        """An index of bare postings (term, doc_id, tf)."""
+        return cls.of(cut_lineage(postings.join(doc_lengths(postings), "doc_id").select("term", "doc_id", "dl", "tf")))
+
+    def write(self, path: str) -> None:
+        """Keeps the index as Parquet, ranges of terms together, so that a search skips the others."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        """Reads a written index."""
+        return cls.of(spark.read.parquet(path))
+
+    def merged(self, other: Index) -> Index:
+        """Both indexes as one; a document in both adds up."""
+        both = self.postings.unionByName(other.postings).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+        return Index.from_postings(both)
+
+    def lengths(self) -> DataFrame:
+        """(doc_id, dl)."""
+        return self.postings.select("doc_id", "dl").distinct()
+
+    def hits(self, asked: DataFrame) -> DataFrame:
+        """The postings of the asked terms (query_id, term, qtf) with their df."""
+        mine = self.postings.join(asked, "term")
+        df = self.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        return mine.join(df, "term")
+
+
+def _index(x: Index | DataFrame) -> Index:
+    return x if isinstance(x, Index) else Index.from_postings(x)
+
+
+def idf(n: Column | int, df: Column, kind: str = "probabilistic") -> Column:
+    """Inverse document frequency: standard, smooth or probabilistic; 0 where no document has the term."""
+    forms = {"standard": F.log(n / df), "smooth": F.log((n + 1) / (df + 1)) + 1, "probabilistic": F.log((n - df + 0.5) / (df + 0.5) + 1)}
+    if kind not in forms:
+        raise ValueError(f"unknown idf {kind!r}; one of {', '.join(forms)}")
+    return F.when(df > 0, forms[kind]).otherwise(0.0)
+
+
+def term_frequency(tf: Column, kind: str = "sublinear") -> Column:
+    """Term frequency: raw, sublinear (1 + ln) or boolean."""
+    forms = {"raw": tf.cast("double"), "sublinear": 1 + F.log(tf), "boolean": F.lit(1.0)}
+    if kind not in forms:
+        raise ValueError(f"unknown term frequency {kind!r}; one of {', '.join(forms)}")
+    return F.when(tf > 0, forms[kind]).otherwise(0.0)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf): a term asked twice counts twice."""
     return (
         queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     )
 
 
-def _statistics(postings: DataFrame) -> tuple:
-    lens = doc_lengths(postings)
-    whole = lens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return lens, whole.select("n").scalar(), whole.select("avgdl").scalar()
-
-
 def _top(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search_bm25(postings: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best ``k`` documents of each query, ties by document.
+def bm25_rows(index: Index, asked: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, term, score): what each asked term adds to each document."""
+    one = F.col("qtf") * idf(F.lit(index.n), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / index.avgdl))
+    return index.hits(asked).select("query_id", "doc_id", "term", one.alias("score"))
+
 
-    Only the postings of asked terms reach the scoring join; Catalyst broadcasts the query terms where they are small."""
-    lens, n, avgdl = _statistics(postings)
-    asked = _query_terms(queries)
-    hit = postings.join(asked, "term")
-    df = document_frequencies(postings.join(asked.select("term").distinct(), "term", "left_semi"))
-    x = hit.join(df, "term").join(lens, "doc_id")
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    one = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return _top(x.groupBy("query_id", "doc_id").agg(F.round(F.sum(one), 6).alias("score")), k)
+def search_bm25(postings: Index | DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best ``k`` documents of each query, ties by document."""
+    rows = bm25_rows(_index(postings), query_terms(queries), k1, b)
+    return _top(rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")), k)
 
 
-def search_tfidf(postings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The same with 1 + ln tf and smooth idf."""
-    n = doc_lengths(postings).agg(F.count("*").alias("n")).select("n").scalar()
-    asked = _query_terms(queries)
-    df = document_frequencies(postings.join(asked.select("term").distinct(), "term", "left_semi"))
-    x = postings.join(asked, "term").join(df, "term")
-    one = F.col("qtf") * (1 + F.log("tf")) * (F.log((n + 1) / (F.col("df") + 1)) + 1)
-    return _top(x.groupBy("query_id", "doc_id").agg(F.round(F.sum(one), 6).alias("score")), k)
+def search_tfidf(postings: Index | DataFrame, queries: DataFrame, k: int = 10, tf: str = "sublinear", kind: str = "smooth") -> DataFrame:
+    """The same with tf-idf."""
+    index = _index(postings)
+    one = F.col("qtf") * term_frequency(F.col("tf"), tf) * idf(F.lit(index.n), F.col("df"), kind)
+    return _top(index.hits(query_terms(queries)).groupBy("query_id", "doc_id").agg(F.round(F.sum(one), 6).alias("score")), k)
 
 
-def tfidf_terms(postings: DataFrame, k: int = 5) -> DataFrame:
+def tfidf_terms(postings: Index | DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, term, weight, rank): the ``k`` heaviest terms of each document."""
-    n = doc_lengths(postings).agg(F.count("*").alias("n")).select("n").scalar()
-    w = postings.join(document_frequencies(postings), "term").withColumn("weight", F.round((1 + F.log("tf")) * (F.log((n + 1) / (F.col("df") + 1)) + 1), 6))
+    index = _index(postings)
+    p = index.postings
+    w = p.join(document_frequencies(p), "term").withColumn("weight", F.round(term_frequency(F.col("tf")) * idf(F.lit(index.n), F.col("df"), "smooth"), 6))
     order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
     return w.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "term", "weight", "rank")
 
 
-def boolean_and(postings: DataFrame, queries: DataFrame) -> DataFrame:
+def statistics(postings: DataFrame) -> DataFrame:
+    """(term, df, cf, max_tf): document, collection and greatest frequency of each term."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+
+
+def boolean_and(postings: Index | DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents with all terms of a query; a query without terms has none."""
-    asked = _query_terms(queries)
+    p = postings.postings if isinstance(postings, Index) else postings
+    asked = query_terms(queries)
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    got = postings.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("got"))
+    got = p.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("got"))
     return got.join(need, "query_id").where("got = need").select("query_id", "doc_id")
 
 
-def boolean_or(postings: DataFrame, queries: DataFrame) -> DataFrame:
+def boolean_or(postings: Index | DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents with any term of a query."""
-    return postings.join(_query_terms(queries), "term").select("query_id", "doc_id").distinct()
+    p = postings.postings if isinstance(postings, Index) else postings
+    return p.join(query_terms(queries), "term").select("query_id", "doc_id").distinct()
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int = 10, wa: float = 1.0, wb: float = 1.0) -> DataFrame:
@@ -105,15 +186,125 @@ def fuse(a: DataFrame, b: DataFrame, k: int = 10, wa: float = 1.0, wb: float = 1
     return _top(one.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")), k)
 
 
-def class_tfidf(rows: DataFrame, class_col: str, text_col: str, k: int = 10, stopwords: list[str] | None = None) -> DataFrame:
-    """(class, term, weight, rank): terms by class-based TF-IDF: share of the class's tokens times ln(1 + average class
-    size / corpus count)."""
+def weighted_text(title: Column, text: Column, weight: float) -> Column:
+    """A field repeated round(weight) times before the text, once at least, parts a blank line apart; null fields are
+    left out."""
+    times = max(1, round(weight))
+    return F.concat_ws("\n\n", *[title] * times, text)
+
+
+@dataclass
+class Searcher:
+    """Ranked search over a collection: tokens, optional expansion by word relations, scores, and the documents' own
+    columns beside the hits."""
+
+    index: Index
+    docs: DataFrame
+    edges: DataFrame | None = None
+    depth: int = 1
+
+    @classmethod
+    def build(cls, docs: DataFrame, edges: DataFrame | None = None, depth: int = 1) -> Searcher:
+        """Indexes documents (doc_id, text, ...)."""
+        return cls(Index.build(docs), docs, edges, depth)
+
+    def terms(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, qtf), with the related terms of each; an added term counts once."""
+        asked = query_terms(queries)
+        if self.edges is None:
+            return asked
+        more = expand(self.edges, asked.select(F.col("term").alias("word")).distinct(), self.depth).where("hops > 0")
+        near = asked.join(more.withColumnRenamed("term", "new"), F.col("term") == F.col("word")).select("query_id", F.explode(tokens(F.col("new"))).alias("term"), F.lit(1).cast("long").alias("qtf")).distinct()
+        return asked.unionByName(near.join(asked, ["query_id", "term"], "left_anti"))
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, doc_id, score, rank) and the documents' columns; only the top rows meet the documents."""
+        rows = bm25_rows(self.index, self.terms(queries))
+        top = _top(rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score")), k)
+        return top.join(self.docs, "doc_id", "left")
+
+    def debug(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, doc_id, score, rank, parts): the top hits with what each term added."""
+        rows = bm25_rows(self.index, self.terms(queries))
+        part = F.array_sort(F.collect_list(F.struct("term", F.round("score", 6).alias("score"))))
+        return _top(rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"), part.alias("parts")), k)
+
+
+def search_segments(segments: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, segment_no, score, rank): the best segments (doc_id, segment_no, text) within each document,
+    by BM25 with the segments of one document as the collection."""
+    t = segments.select("doc_id", "segment_no", tokens(F.col("text")).alias("toks")).where("size(toks) > 0")
+    t = t.withColumn("dl", F.size("toks"))
+    whole = t.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = query_terms(queries)
+    hit = t.select("doc_id", "segment_no", "dl", F.explode("toks").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hit = hit.groupBy("doc_id", "segment_no", "dl", "term").agg(F.count("*").alias("tf"))
+    df = hit.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
+    x = hit.join(df, ["doc_id", "term"]).join(whole, "doc_id").join(asked, "term")
+    one = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    s = x.groupBy("query_id", "doc_id", "segment_no").agg(F.round(F.sum(one), 6).alias("score"))
+    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "segment_no")
+    return s.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search_paragraphs(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The best paragraphs within each document."""
+    return search_segments(paragraphs(docs).select("doc_id", F.col("par_no").alias("segment_no"), "text"), queries, k)
+
+
+def search_sentences(docs: DataFrame, queries: DataFrame, k: int = 10, model: Model | None = None) -> DataFrame:
+    """The best sentences within each document, with their offsets."""
+    s = cut_lineage(punkt_sentences(docs, model).select("doc_id", F.col("sentence_no").alias("segment_no"), "start", "end", "text"))
+    return search_segments(s, queries, k).join(s.select("doc_id", "segment_no", "start", "end"), ["doc_id", "segment_no"])
+
+
+def grouped_units(units: DataFrame, by: str, order: str, text: str = "text", glue: str = "\n\n") -> DataFrame:
+    """(doc_id, text): units of one group joined in order, to be indexed as one document."""
+    rows = units.where(F.col(text).isNotNull()).groupBy(F.col(by).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("u"))
+    return rows.select("doc_id", F.array_join(F.transform("u", lambda x: x["t"]), glue).alias("text"))
+
+
+def passage_uri(external_id: Column, start: Column | None = None, end: Column | None = None, page: Column | None = None) -> Column:
+    """Where a passage stands: 'id', 'id#page=3' or 'id#char=10-20'; the page goes first."""
+    out = external_id
+    if start is not None and end is not None:
+        out = F.when(start.isNotNull() & end.isNotNull(), F.concat(external_id, F.lit("#char="), start.cast("string"), F.lit("-"), end.cast("string"))).otherwise(out)
+    if page is not None:
+        out = F.when(page.isNotNull(), F.concat(external_id, F.lit("#page="), page.cast("string"))).otherwise(out)
+    return out
+
+
+def hit_to_result(hits: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Lifts char_start, char_end and page out of the metadata of search hits; null where missing or no number."""
+    at = lambda k: F.try_element_at(F.col(metadata), F.lit(k)).try_cast("int").alias(k)
+    return hits.select("*", at("char_start"), at("char_end"), at("page"))
+
+
+def class_tfidf(rows: DataFrame, class_col: str, text_col: str, k: int = 10, stopwords: list[str] | None = None, low: int = 1, high: int = 1,
+                min_df: int = 1, bm25: bool = False, reduce_frequent: bool = False) -> DataFrame:
+    """(class, term, weight, rank): terms (runs of ``low`` to ``high`` words) by class-based TF-IDF: share of the class's
+    terms times ln(1 + average class size / corpus count), or BM25's form of it; ``reduce_frequent`` takes the root of
+    the share; ``min_df`` is the least corpus count."""
     toks = F.filter(tokens(F.col(text_col)), lambda t: (F.length(t) >= 2) & ~t.isin(*(stopwords or [""])))
-    t = rows.select(F.col(class_col).alias("class"), F.explode(toks).alias("term")).groupBy("class", "term").agg(F.count("*").alias("f"))
+    x = rows.select(F.col(class_col).alias("class"), toks.alias("toks"))
+    joined = lambda n: lambda i: F.array_join(F.slice("toks", i, n), " ")
+    grams = F.flatten(F.array(*(F.when(F.size("toks") >= n, F.transform(F.sequence(F.lit(1), F.size("toks") - n + 1), joined(n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)))) if (low, high) != (1, 1) else F.col("toks")
+    t = cut_lineage(x.select("class", F.explode(grams).alias("term")).groupBy("class", "term").agg(F.count("*").alias("f")))
     totals = t.groupBy("class").agg(F.sum("f").alias("class_total"))
-    corpus = t.groupBy("term").agg(F.sum("f").alias("cf"))
-    classes = rows.select(F.countDistinct(class_col).alias("c")).scalar()
-    avg = t.agg(F.sum("f")).scalar() / classes
-    w = t.join(totals, "class").join(corpus, "term").withColumn("weight", F.round(F.col("f") / F.col("class_total") * F.log(1 + avg / F.col("cf")), 6))
+    corpus = t.groupBy("term").agg(F.sum("f").alias("cf")).where(F.col("cf") >= min_df)
+    classes = rows.select(F.countDistinct(class_col).alias("c")).first()["c"]
+    whole = t.agg(F.sum("f")).first()[0] or 0
+    avg = whole / max(1, classes)
+    share = F.col("f") / F.col("class_total")
+    share = F.sqrt(share) if reduce_frequent else share
+    rare = F.log(F.greatest(F.lit(1.0), 1 + (avg - F.col("cf") + 0.5) / (F.col("cf") + 0.5))) if bm25 else F.log(1 + avg / F.col("cf"))
+    w = t.join(totals, "class").join(corpus, "term").withColumn("weight", F.round(share * rare, 6))
     order = Window.partitionBy("class").orderBy(F.desc("weight"), "term")
     return w.where("weight > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("class", "term", "weight", "rank")
+
+
+def retrieve(index: Index, queries: Iterator[tuple[str, str]] | list[tuple[str, str]], k: int = 10) -> pd.DataFrame:
+    """A few queries at once, as a small pandas table (at most k rows a query)."""
+    spark = index.postings.sparkSession
+    q = spark.createDataFrame(list(queries), "query_id string, query_text string")
+    return search_bm25(index, q, k).toPandas()

@@ -41,16 +41,21 @@ def intersection(rows: DataFrame) -> DataFrame:
     return _per_label(rows).join(_chunks(rows), "doc").where("n = chunks").select("doc", "label")
 
 
-def weighted(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The label of most chunk weight (column ``weight``, one value a chunk), if it has ``threshold`` of the whole."""
+def weighted(rows: DataFrame, threshold: float = 0.5, multi: bool = False) -> DataFrame:
+    """The label of most chunk weight (column ``weight``, one value a chunk), if it has ``threshold`` of the whole; with
+    ``multi`` all such labels."""
     per_chunk = rows.groupBy("doc", "chunk").agg(F.max("weight").alias("weight"))
     whole = per_chunk.groupBy("doc").agg(F.sum("weight").alias("whole"))
     labels = rows.where("label is not null").groupBy("doc", "chunk", "label").agg(F.min("pos").alias("pos"))
     x = labels.join(per_chunk, ["doc", "chunk"]).groupBy("doc", "label").agg(F.sum("weight").alias("w"), F.min(F.struct("chunk", "pos")).alias("first"))
     x = x.join(whole, "doc").where((F.col("whole") > 0) & (F.col("w") >= threshold * F.col("whole")))
-    return _first(x, F.desc("w"), "first").select("doc", "label", F.round("w", 6).alias("weight"))
+    return (x if multi else _first(x, F.desc("w"), "first")).select("doc", "label", F.round("w", 6).alias("weight"))
 
 
-def max_score(rows: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Every label's best score, strictly above the threshold."""
-    return rows.groupBy("doc", "label").agg(F.max("score").alias("score")).where(F.col("score") > threshold)
+def max_score(rows: DataFrame, threshold: float = 0.0, multi: bool = True) -> DataFrame:
+    """Every label's best score, strictly above the threshold; else the best label alone, if it has the threshold, ties
+    going to the first seen."""
+    g = rows.where("label is not null").groupBy("doc", "label").agg(F.max("score").alias("score"), F.min(F.struct("chunk", "pos")).alias("first"))
+    if multi:
+        return g.where(F.col("score") > threshold).select("doc", "label", "score")
+    return _first(g, F.desc("score"), "first").where(F.col("score") >= threshold).select("doc", "label", "score")

@@ -1,13 +1,18 @@
-"""Lines, paragraphs and what they look like; all row-local expressions and windows within a document."""
+"""Lines, paragraphs and what they look like; row-local expressions over the array of a document's lines."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import citation_density
 
 BREAK = r"\r\n|\r|\n"
+ENDS = re.compile(BREAK)
 # Weights of the signs of a heading.
 HEADING_WEIGHTS = {
     "short_line": 0.10, "blank_before": 0.10, "blank_after": 0.05, "indent_le_4": 0.05, "case_allcaps": 0.20, "case_initcap": 0.05,
@@ -21,20 +26,47 @@ ENUMERATOR = [
 ]
 
 
+def line_array(text: Column) -> Column:
+    """The lines of a text; terminators left out, no empty last line."""
+    parts = F.split(text, BREAK, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, line): terminators left out, no empty last line; null text has none."""
-    parts = F.split(F.col(text_col), BREAK, -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("line_no", "line"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(line_array(F.col(text_col))).alias("line_no", "line"))
+
+
+def line_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, start, end, line): lines with their code-point offsets; row-local."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            rows = []
+            for d, t in zip(b["doc_id"], b["text"]):
+                pos = 0
+                for n, m in enumerate(ENDS.finditer(t)):
+                    rows.append((d, n, pos, m.start(), t[pos : m.start()]))
+                    pos = m.end()
+                if pos < len(t):
+                    rows.append((d, n + 1 if pos else 0, pos, len(t), t[pos:]))
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "start", "end", "line"])
+
+    return docs.select("doc_id", "text").where("text is not null").mapInPandas(run, "doc_id long, line_no int, start long, end long, line string")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, par_no, first_line, last_line, text): runs of lines that aren't blank."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    x = lines(docs).withColumn("blank", F.trim(F.regexp_replace("line", r"\s", " ")) == "")
-    x = x.withColumn("start", (~F.col("blank") & F.coalesce(F.lag("blank").over(w), F.lit(True))).cast("int")).withColumn("par_no", F.sum("start").over(w) - 1).where("not blank")
-    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
-    return x.groupBy("doc_id", "par_no").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), one.alias("text"))
+    """(doc_id, par_no, first_line, last_line, text): runs of lines that aren't blank; row-local, on the array of lines."""
+    x = docs.select("doc_id", line_array(F.col("text")).alias("ls"))
+    x = x.select("doc_id", "ls", F.transform("ls", lambda v: F.trim(F.regexp_replace(v, r"\s", " ")) == "").alias("bs"))
+    at = F.expr("sequence(0, size(ls) - 1)")
+    first = F.expr("filter(ks, k -> not get(bs, k) and coalesce(get(bs, k - 1), true))")
+    last = F.expr("filter(ks, k -> not get(bs, k) and coalesce(get(bs, k + 1), true))")
+    x = x.where("size(ls) > 0").withColumn("ks", at).select("doc_id", "ls", F.posexplode(F.arrays_zip(first.alias("s"), last.alias("e"))).alias("par_no", "p"))
+    return x.select(
+        "doc_id", F.col("par_no").cast("long").alias("par_no"), F.col("p.s").alias("first_line"), F.col("p.e").alias("last_line"),
+        F.expr("array_join(slice(ls, p.s + 1, p.e - p.s + 1), '\n')").alias("text"),
+    )
 
 
 def enumerator_kind(line: Column) -> Column:
@@ -48,10 +80,12 @@ def enumerator_kind(line: Column) -> Column:
 
 def line_features(docs: DataFrame) -> DataFrame:
     """One row a line: lengths, case, end, gaps, neighbours, enumerator and citation density."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
     s = F.trim(F.col("line"))
     up, low = F.regexp_count("line", F.lit(r"\p{Lu}")), F.regexp_count("line", F.lit(r"\p{Ll}"))
-    x = lines(docs).withColumn("blank", ~F.col("line").rlike(r"\S"))
+    # a line's neighbours come from the array, before it is taken apart
+    x = docs.select("doc_id", line_array(F.col("text")).alias("ls")).select("doc_id", "ls", F.transform("ls", lambda v: ~v.rlike(r"\S")).alias("bs"))
+    x = x.select("doc_id", F.posexplode(F.expr("transform(ls, (v, k) -> named_struct('line', v, 'blank', get(bs, k), 'before', coalesce(get(bs, k - 1), true), 'after', coalesce(get(bs, k + 1), true)))")).alias("line_no", "x"))
+    x = x.select("doc_id", "line_no", "x.*")
     return x.select(
         "doc_id", "line_no", "blank", F.length("line").alias("char_len"),
         (F.length("line") - F.length(F.regexp_replace("line", r"^[ \t]+", ""))).alias("indent"),
@@ -59,7 +93,7 @@ def line_features(docs: DataFrame) -> DataFrame:
         F.when((up == 0) & (low == 0), "no_alpha").when(low == 0, "all_caps").when(up == 0, "all_lower").when(s.rlike(r"^\p{Lu}"), "init_cap").otherwise("mixed").alias("case_profile"),
         F.when(s.endswith("."), "period").when(s.endswith(":"), "colon").when(s.endswith(";"), "semicolon").when(s.rlike(r"[?!]$"), "question").when(s.endswith(","), "comma").otherwise("none").alias("line_end"),
         F.col("line").contains("|").alias("has_pipe"), (F.regexp_count("line", F.lit(r"\S[ \t]{2,}\S")) >= 2).alias("has_gaps"),
-        F.coalesce(F.lag("blank").over(w), F.lit(True)).alias("blank_before"), F.coalesce(F.lead("blank").over(w), F.lit(True)).alias("blank_after"),
+        F.col("before").alias("blank_before"), F.col("after").alias("blank_after"),
         enumerator_kind(F.col("line")).alias("enumerator"), F.round(citation_density(F.col("line")), 6).alias("citation_density"),
     )
 
@@ -95,9 +129,10 @@ def outline(docs: DataFrame, threshold: float = 0.45) -> DataFrame:
     parts = F.regexp_extract(F.trim("line"), r"^(\d{1,3}(?:\.\d{1,3})*)", 1)
     depth = F.when(enumerator_kind(F.col("line")) == "word", 1).when(parts != "", F.size(F.split(parts, r"\.")) + 1).otherwise(2)
     x = x.withColumn("depth", depth)
-    levels = range(1, 8)
+    # the headings before it, whose running list a window holds, from the last one backwards
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    for k in levels:
-        x = x.withColumn(f"_{k}", F.last(F.when(F.col("depth") == k, F.col("line_no")), ignorenulls=True).over(w))
-    parent = F.greatest(*(F.when(F.col("depth") > k, F.col(f"_{k}")) for k in levels))
+    before = F.collect_list(F.struct("line_no", "depth")).over(w)
+    x = x.withColumn("before", before)
+    parent = F.expr("element_at(filter(before, h -> h.depth < depth), -1).line_no")
+    parent = F.when(F.size(F.expr("filter(before, h -> h.depth < depth)")) > 0, parent)
     return x.select("doc_id", "line_no", "depth", parent.alias("parent_line"))

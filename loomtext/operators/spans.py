@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN
+
+_CHUNK = re.compile(r"[^\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\u180e]+", re.ASCII)
 
 
 def token_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, start, end, raw): the token chunks with their code-point offsets, by running lengths."""
-    sep = TOKEN.replace("[^", "[")[:-1]
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    x = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"{sep}*{TOKEN}"), F.lit(0))).alias("pos", "piece"))
-    x = x.withColumn("end", F.sum(F.length("piece")).over(w)).withColumn("raw", F.regexp_replace("piece", f"^{sep}+", ""))
-    return x.select("doc_id", "pos", (F.col("end") - F.length("raw")).alias("start"), "end", "raw")
+    """(doc_id, pos, start, end, raw): the token chunks with their code-point offsets; row-local."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            ids, pos, start, end, raw = [], [], [], [], []
+            for d, t in zip(b["doc_id"], b["text"]):
+                for n, m in enumerate(_CHUNK.finditer(t)):
+                    ids.append(d)
+                    pos.append(n)
+                    start.append(m.start())
+                    end.append(m.end())
+                    raw.append(m.group())
+            yield pd.DataFrame({"doc_id": ids, "pos": pos, "start": start, "end": end, "raw": raw})
+
+    return docs.select("doc_id", "text").where("text is not null").mapInPandas(run, "doc_id long, pos int, start long, end long, raw string")
 
 
 def merge_adjacent(spans: DataFrame, gap: int = 0) -> DataFrame:
@@ -53,3 +67,43 @@ def subtract(spans: DataFrame, minus: DataFrame) -> DataFrame:
     closes = F.expr("concat(transform(coalesce(cuts, array()), c -> cast(c.b_start as bigint)), array(end))")
     parts = x.withColumn("p", F.explode(F.arrays_zip(opens.alias("s"), closes.alias("e"))))
     return parts.select("doc_id", F.col("p.s").alias("start"), F.col("p.e").alias("end")).where("start < end")
+
+
+def resolve_by_score(spans: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """(doc_id, span_id, label, start, end, score): where two spans of the labels overlap, the better one (by score, then
+    start, then id) stands and the other keeps what lies outside it; pieces that come about aren't compared again.
+
+    The overlaps of a document are found by the cell join, so that a document's spans are gathered only as far as they
+    overlap; others stay as they are."""
+    mine = spans if labels is None else spans.where(F.col("label").isin(*labels))
+    other = spans.limit(0) if labels is None else spans.where(~F.col("label").isin(*labels) | F.col("label").isNull())
+    x = mine.where("start < end")
+    met = overlapping(x, x).where("a_start <> b_start or a_end <> b_end").select("doc_id", F.col("a_start").alias("start"), F.col("a_end").alias("end")).distinct()
+    twice = x.groupBy("doc_id", "start", "end").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "start", "end")
+    touched = met.unionByName(twice).distinct()
+    free = x.join(touched, ["doc_id", "start", "end"], "left_anti").select("doc_id", "span_id", "label", "start", "end", "score")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        rows = g.sort_values(["start", "end", "span_id"]).to_dict("records")
+        alive = [True] * len(rows)
+        out: list[dict] = []
+        rank = lambda r: (-(r["score"] if r["score"] == r["score"] else float("-inf")), r["start"], r["span_id"])
+        for i, p in enumerate(rows):
+            for j, q in enumerate(rows):
+                if not alive[i]:
+                    break
+                if i == j or not alive[j] or p["start"] >= q["end"] or q["start"] >= p["end"]:
+                    continue
+                win, lose, k = (p, q, j) if rank(p) < rank(q) else (q, p, i)
+                alive[k] = False
+                if lose["start"] < win["start"]:
+                    out.append(lose | {"end": win["start"]})
+                if lose["end"] > win["end"]:
+                    out.append(lose | {"start": win["end"]})
+        out += [r for r, a in zip(rows, alive) if a]
+        return pd.DataFrame(out, columns=["doc_id", "span_id", "label", "start", "end", "score"])
+
+    cols = ["doc_id", "span_id", "label", "start", "end", "score"]
+    schema = ", ".join(f"{c} {dict(spans.dtypes)[c]}" for c in cols)
+    solved = x.join(touched, ["doc_id", "start", "end"]).select(*cols).groupBy("doc_id").applyInPandas(run, schema)
+    return free.unionByName(solved).unionByName(other.select(*cols))

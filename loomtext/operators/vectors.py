@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,63 +40,125 @@ def _count_blocks(df: DataFrame) -> int:
     return max(1, -(-df.count() // BLOCK))
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _packed(df: DataFrame, id_col: str, vec_col: str, block: str) -> DataFrame:
+    """One row a block: its ids, and its vectors end to end."""
+    g = df.groupBy(block).agg(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v"))).alias("x"))
+    return g.select(block, F.transform("x", lambda x: x["i"]).alias("ids"), F.flatten(F.transform("x", lambda x: x["v"])).alias("flat"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, score, rank): the ``k`` vectors (vec_id, embedding) nearest to each query (query_id, q).
+    """(query_id, vec_id, score, rank): the ``k`` vectors (vec_id, embedding) nearest to each query (query_id, q); null
+    vectors take no part.
 
     Both sides are cut into blocks of about BLOCK rows, whatever their number, and each pair of blocks is one
-    multiplication that keeps ``k`` rows a query."""
-    nq, nv = _count_blocks(queries), _count_blocks(vectors)
-    blocks = _blocks(queries.select("query_id", "q"), "query_id", "block", nq).groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    parts = _blocks(vectors.select("vec_id", "embedding"), "vec_id", "part", nv).groupBy("part").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("vs"))
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            out = []
-            for qs, vs in zip(b["qs"], b["vs"]):
-                ids = np.array([x["vec_id"] for x in vs])
-                m = np.array([x["embedding"] for x in vs], float)
-                q = np.array([x["q"] for x in qs], float)
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None]
-                s = np.divide(q @ m.T, norm, out=np.zeros(norm.shape), where=norm > 0).clip(-1, 1).round(6)
-                for x, row in zip(qs, s):
-                    order = np.lexsort((ids, -row))[:k]
-                    out += [(x["query_id"], int(ids[o]), float(row[o])) for o in order]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    pairs = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))).join(parts, "part")
-    best = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
+    multiplication that keeps ``k`` rows a query; blocks travel as flat arrays."""
+    vs, qs = vectors.where("embedding is not null"), queries.where("q is not null")
+    nq, nv = _count_blocks(qs), _count_blocks(vs)
+    blocks = _packed(_blocks(qs.select("query_id", "q"), "query_id", "block", nq), "query_id", "q", "block").withColumnsRenamed({"ids": "qi", "flat": "qf"})
+    parts = _packed(_blocks(vs.select("vec_id", "embedding"), "vec_id", "part", nv), "vec_id", "embedding", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                qi, vi = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("qi", "ids"))
+                q = _unit(b.column("qf")[r].values.to_numpy(zero_copy_only=False).reshape(len(qi), -1))
+                v = _unit(b.column("flat")[r].values.to_numpy(zero_copy_only=False).reshape(len(vi), -1))
+                s = (q @ v.T).clip(-1, 1).round(6)
+                n = min(k, len(vi))
+                order = np.argsort(vi, kind="stable")  # ties go to the smaller id
+                s = s[:, order]
+                top = np.argsort(-s, axis=1, kind="stable")[:, :n]
+                score = np.take_along_axis(s, top, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(vi[order][top].ravel()), pa.array(score.ravel())], names=["query_id", "vec_id", "score"])
+
+    pairs = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))).join(parts, "part").select("qi", "qf", "ids", "flat")
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_graph(vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(src, dst, score, rank): the ``k`` nearest other vectors of each."""
-    near = top_k(vectors, vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k + 1).where("query_id <> vec_id")
+def banded_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, planes: int = 8, tables: int = 16, seed: int = 3) -> DataFrame:
+    """The same over the vectors that share a cell with the query in any of ``tables`` random cuts by ``planes`` planes: an
+    approximation for collections too large for all pairs; measure its recall against top_k."""
+    dim = len(vectors.where("embedding is not null").select("embedding").first()["embedding"])
+    cuts = np.random.default_rng(seed).standard_normal((tables, planes, dim))
+
+    def cells(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            m = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dim))
+            bits = (np.einsum("tpd,nd->ntp", cuts, m) > 0) @ (1 << np.arange(planes))
+            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), tables), "t": np.tile(np.arange(tables), len(b)), "cell": bits.ravel()})
+
+    of = lambda df, i, v: df.where(F.col(v).isNotNull()).select(F.col(i).alias("id"), F.col(v).cast("array<double>").alias("v")).mapInPandas(cells, "id long, t long, cell long")
+    near = of(queries, "query_id", "q").withColumnRenamed("id", "query_id").join(of(vectors, "vec_id", "embedding").withColumnRenamed("id", "vec_id"), ["t", "cell"]).select("query_id", "vec_id").distinct()
+    x = near.join(queries.select("query_id", "q"), "query_id").join(vectors.select("vec_id", "embedding"), "vec_id")
+    scored = x.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(i, j, score) with i < j and cosine of at least ``threshold``, by blocked multiplication."""
-    n = _count_blocks(vectors)
-    b = _blocks(vectors.select("vec_id", "embedding"), "vec_id", "b", n)
-    left = b.groupBy("b").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("l")).withColumn("c", F.explode(F.sequence("b", F.lit(n - 1))))
-    right = b.groupBy(F.col("b").alias("c")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("r"))
+def knn_graph(vectors: DataFrame, k: int = 5, include_self: bool = False) -> DataFrame:
+    """(src, dst, score, rank): the ``k`` nearest other vectors of each, or with ``include_self`` the nearest of all."""
+    near = top_k(vectors, vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k + 1)
+    near = near if include_self else near.where("query_id <> vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "score", "rank")
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in it:
-            out = []
-            for lo, hi, ls, rs in zip(f["b"], f["c"], f["l"], f["r"]):
-                li, ri = [x["vec_id"] for x in ls], [x["vec_id"] for x in rs]
-                lm, rm = np.array([x["embedding"] for x in ls], float), np.array([x["embedding"] for x in rs], float)
-                norm = np.linalg.norm(lm, axis=1)[:, None] * np.linalg.norm(rm, axis=1)[None]
-                s = np.divide(lm @ rm.T, norm, out=np.zeros(norm.shape), where=norm > 0).clip(-1, 1).round(6)
-                for x, y in zip(*np.where(s >= threshold)):
-                    if lo != hi or li[x] < ri[y]:
-                        out.append((min(li[x], ri[y]), max(li[x], ri[y]), float(s[x, y])))
-            yield pd.DataFrame(out, columns=["i", "j", "score"])
 
-    return left.join(right, "c").mapInPandas(run, "i long, j long, score double")
+def graph_edges(graph: DataFrame) -> DataFrame:
+    """(i, j, score) with i < j: the edges of a neighbour graph, each once."""
+    e = graph.where("src <> dst").select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"), "score")
+    return e.groupBy("i", "j").agg(F.max("score").alias("score"))
+
+
+def near_pairs(vectors: DataFrame, threshold: float, max_pairs: int | None = None) -> DataFrame:
+    """(i, j, score) with i < j and cosine of at least ``threshold``, by blocked multiplication; of more than
+    ``max_pairs`` the first in order of (i, j)."""
+    v = vectors.where("embedding is not null")
+    n = _count_blocks(v)
+    b = _packed(_blocks(v.select("vec_id", "embedding"), "vec_id", "b", n), "vec_id", "embedding", "b")
+    left = b.select("b", F.col("ids").alias("li"), F.col("flat").alias("lf")).withColumn("c", F.explode(F.sequence("b", F.lit(n - 1))))
+    right = b.select(F.col("b").alias("c"), F.col("ids").alias("ri"), F.col("flat").alias("rf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            for r in range(f.num_rows):
+                li, ri = (f.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("li", "ri"))
+                lm, rm = (_unit(f.column(c)[r].values.to_numpy(zero_copy_only=False).reshape(len(i), -1)) for c, i in (("lf", li), ("rf", ri)))
+                s = (lm @ rm.T).clip(-1, 1).round(6)
+                x, y = np.nonzero(s >= threshold)
+                keep = li[x] < ri[y] if f.column("b")[r] == f.column("c")[r] else li[x] != ri[y]
+                x, y = x[keep], y[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(li[x], ri[y])), pa.array(np.maximum(li[x], ri[y])), pa.array(s[x, y])], names=["i", "j", "score"])
+
+    out = left.join(right, "c").select("b", "c", "li", "lf", "ri", "rf").mapInArrow(run, "i long, j long, score double")
+    return out if max_pairs is None else out.orderBy("i", "j").limit(max_pairs)
+
+
+def distances(pairs: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """Adds ``distance`` and ``similarity`` to pairs with vectors (a, b): euclidean, manhattan or cosine; similarity is
+    1 - d for the cosine, else 1 / (1 + d)."""
+    a, b = F.col("a"), F.col("b")
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    diff = lambda f: F.zip_with(a, b, lambda x, y: f(x.cast("double") - y.cast("double")))
+    forms = {
+        "euclidean": F.sqrt(add(diff(lambda v: v * v))), "manhattan": add(diff(F.abs)),
+        "cosine": F.when((dot(a, a) == 0) | (dot(b, b) == 0), 1.0).otherwise(1 - cosine(a, b)),
+    }
+    if metric not in forms:
+        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(forms)}")
+    x = pairs.withColumn("distance", forms[metric])
+    return x.withColumn("similarity", 1 - F.col("distance") if metric == "cosine" else 1 / (1 + F.col("distance")))
+
+
+def mean_distance(pairs: DataFrame) -> DataFrame:
+    """(pairs, mean): number and mean of the distances."""
+    return pairs.agg(F.count("*").alias("pairs"), F.avg("distance").alias("mean"))
 
 
 def adjacent(vectors: DataFrame) -> DataFrame:
@@ -121,3 +184,59 @@ def mmr(candidates: list[tuple[int, list[float], float]], k: int, balance: float
         free[i] = False
         seen = np.maximum(seen, m @ m[i])
     return out
+
+
+def mmr_select(candidates: DataFrame, k: int, balance: float = 0.5) -> DataFrame:
+    """(query_id, vec_id, rank, score): the same for each query over its candidates (query_id, vec_id, embedding,
+    relevance), bounded by the search before."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("vec_id")
+        picked = mmr(list(zip(g["vec_id"], g["embedding"], g["relevance"])), k, balance)
+        return pd.DataFrame([(g["query_id"].iloc[0], i, n + 1, s) for n, (i, s) in enumerate(picked)], columns=["query_id", "vec_id", "rank", "score"])
+
+    c = candidates.select("query_id", "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("relevance").cast("double").alias("relevance"))
+    return c.where("embedding is not null and relevance is not null").groupBy("query_id").applyInPandas(run, "query_id long, vec_id long, rank int, score double")
+
+
+# --- sparse term vectors
+
+
+def term_weights(postings: DataFrame, n: int) -> DataFrame:
+    """(doc_id, term, w): (1 + ln tf) times the smooth idf, vectors of length 1."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    v = postings.join(df, "term").select("doc_id", "term", ((1 + F.log("tf")) * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("w"), "df")
+    norm = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return v.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"), "df")
+
+
+def sparse_pairs(weights: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, cosine) of documents whose term vectors (doc_id, term, w, df; length 1) have a cosine of ``threshold`` or
+    more; exact.
+
+    Equal vectors are folded into one first.  A vector is entered under its heaviest part only: what is left after it,
+    in order of rarity, has less weight than the threshold by Cauchy's inequality, so two vectors that alike share a term
+    of one's entered part.  Candidates are then scored over all their terms."""
+    from ..graph import cut_lineage
+
+    packed = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
+    rounded = F.md5(F.concat_ws(",", F.transform("v", lambda x: F.concat(x["term"], F.lit("="), F.round(x["w"], 9).cast("string")))))
+    packed = cut_lineage(packed.withColumn("d", rounded))
+    rep = packed.groupBy("d").agg(F.min("doc_id").alias("rep"))
+    member = cut_lineage(packed.select("doc_id", "d").join(rep, "d").select("doc_id", "rep"))
+    one = cut_lineage(packed.join(rep, packed["doc_id"] == rep["rep"]).select("doc_id", "v"))
+    # sum of squares left behind each place, rarest term first; the suffix below threshold**2 stays out
+    left = F.expr(f"aggregate(reverse(v), named_struct('s', 0.0D, 'n', 0), (a, x) -> if(a.s + x.w * x.w < {threshold * threshold - 1e-9!r}, named_struct('s', a.s + x.w * x.w, 'n', a.n + 1), named_struct('s', 9.0D, 'n', a.n))).n")
+    entered = one.select("doc_id", F.explode(F.slice("v", F.lit(1), F.greatest(F.lit(1), F.size("v") - left))).alias("x")).select("doc_id", F.col("x.term").alias("term"))
+    whole = one.select("doc_id", F.explode("v").alias("x")).select("doc_id", F.col("x.term").alias("term"))
+    # both vectors hold the term, one of them in its entered part
+    a, b = entered.withColumnRenamed("doc_id", "i"), entered.withColumnRenamed("doc_id", "j")
+    cand = cut_lineage(a.join(b, "term").where("i < j").select("i", "j").distinct())
+    as_map = F.map_from_entries(F.transform("v", lambda x: F.struct(x["term"], x["w"])))
+    left_, right = one.select(F.col("doc_id").alias("i"), F.col("v").alias("vi")), one.select(F.col("doc_id").alias("j"), as_map.alias("vj"))
+    dot_ = F.expr("aggregate(vi, 0.0D, (s, x) -> s + x.w * coalesce(try_element_at(vj, x.term), 0.0D))")
+    links = cand.join(left_, "i").join(right, "j").select("i", "j", F.round(dot_, 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    m = member.select(F.col("rep").alias("r"), F.col("doc_id").alias("x"))
+    across = links.join(m.withColumnsRenamed({"r": "i", "x": "a"}), "i").join(m.withColumnsRenamed({"r": "j", "x": "b"}), "j").select("a", "b", "cosine")
+    same = m.withColumnRenamed("x", "a").join(m.withColumnRenamed("x", "b"), "r").where("a < b").select("a", "b", F.lit(1.0).alias("cosine"))
+    return across.unionByName(same).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "cosine")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, strings, text
-from ..operators import chunks, dedup, index, labels, lexicon, lines, matching, measures, spans, vectors
+from ..graph import cut_lineage
+from ..operators import chunks, corpus, dedup, diff, index, labels, lexicon, lines, matching, measures, punkt, reading, spans, structure, values, vectors, vocabulary
 from ..sources import readers
 from ..streaming import incremental
 
@@ -61,6 +63,8 @@ def content_type(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", readers.sniff(F.col("text").cast("binary")).alias("mime"))
 
 
+SQL_ENTROPY = "select doc_id, log2(sum(f)) - sum(f * log2(f)) / sum(f) as ce from (select doc_id, ch, count(*) as f from (select doc_id, unnest(string_split(text, '')) as ch from documents) where ch <> '' group by all) group by doc_id"
+
 # --- tokens and characters
 
 
@@ -95,36 +99,56 @@ def vocab_semijoin(s: SparkSession, d: str) -> DataFrame:
     return index.token_rows(_docs(s, d)).join(vocab, "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query(f"with {TOKENS} select term, cast(row_number() over (order by min(doc_id * 1000000 + pos)) - 1 as bigint) as term_id from tok group by term qualify term_id < 500")
+@query(f"with {TOKENS}, f as (select term, min({{'d': doc_id, 'p': pos}}) as fst from tok group by term) select term, cast(row_number() over (order by fst) - 1 as bigint) as term_id from f")
 def indexed_vocabulary(s: SparkSession, d: str) -> DataFrame:
-    first = index.token_rows(_docs(s, d)).groupBy("term").agg(F.min(F.col("doc_id") * 1000000 + F.col("pos")).alias("at"))
-    top = first.orderBy("at").limit(500)  # the first 500 ids of the vocabulary
-    from pyspark.sql import Window
+    return vocabulary.dense_ids(_docs(s, d))
 
-    return top.select("term", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("term_id"))
 
+_FL = {
+    "is_letter_word": r"regexp_full_match(term, '\p{L}+')", "is_uppercase_word": r"regexp_full_match(term, '\p{L}+') and regexp_matches(term, '\p{Lu}') and not regexp_matches(term, '\p{Ll}')",
+    "is_lowercase_word": r"regexp_full_match(term, '\p{L}+') and regexp_matches(term, '\p{Ll}') and not regexp_matches(term, '\p{Lu}')",
+    "is_mixed_case_word": r"regexp_full_match(term, '\p{L}+') and regexp_matches(term, '\p{Lu}') and regexp_matches(term, '\p{Ll}') and not regexp_full_match(term, '\p{Lu}\p{Ll}+')",
+    "is_title_case_word": r"regexp_full_match(term, '\p{Lu}\p{Ll}+')", "is_numeric_word": r"regexp_full_match(term, '\p{N}+')",
+    "is_alphanumeric_word": r"regexp_matches(term, '\p{L}') and regexp_matches(term, '\p{N}') and not regexp_matches(term, '[[:punct:]\p{P}]')", "starts_with_digit": r"regexp_matches(term, '^\p{N}')",
+    "has_punctuation": r"regexp_matches(term, '[[:punct:]\p{P}]')", "has_dash": r"regexp_matches(term, '[-\x{2010}-\x{2015}]')", "is_hyphenated": r"regexp_matches(term, '\p{L}[-\x{2010}-\x{2015}]\p{L}')",
+    "is_abbreviation": r"regexp_full_match(term, '\p{Lu}') or (ends_with(term, '.') and length(term) <= 8 and ((length(term) >= 3 and 2 * (length(term) - length(replace(term, '.', ''))) >= length(term) and regexp_full_match(replace(term, '.', ''), '\p{L}*')) or (length(term) <= 5 and regexp_full_match(term, '\p{L}*\.'))))",
+    "has_emoji": r"regexp_matches(term, '[\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}\x{2B50}]')",
+    "is_symbolic_word": r"regexp_full_match(term, '\p{S}+') and not regexp_matches(term, '[[:punct:]]')", "ends_with_terminal": r"regexp_matches(term, '[.!?]$')",
+}
 
-@query(
-    r"""with """ + TOKENS + r""" select term, regexp_full_match(term, '\p{L}+') as is_letter_word, regexp_full_match(term, '\p{N}+(?:[.,]\p{N}+)*') as is_numeric_word,
-regexp_matches(term, '^[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+$') as is_hyphenated, regexp_matches(term, '\p{L}') and regexp_matches(term, '\p{N}') as is_mixed, length(term) as n_chars from tok group by term"""
-)
+
+@query(r"with raw as (select distinct unnest(regexp_extract_all(text, '[^\s\p{Z}\x{200B}\x{FEFF}\x{180E}]+')) as term from documents) select term, " + ", ".join(f"({v}) as {k}" for k, v in _FL.items()) + " from raw")
 def token_flags(s: SparkSession, d: str) -> DataFrame:
-    t = index.token_rows(_docs(s, d)).select("term").distinct()
-    return t.select(
-        "term", F.col("term").rlike(r"^\p{L}+$").alias("is_letter_word"), F.col("term").rlike(r"^\p{N}+(?:[.,]\p{N}+)*$").alias("is_numeric_word"),
-        F.col("term").rlike(r"^[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+$").alias("is_hyphenated"), (F.col("term").rlike(r"\p{L}") & F.col("term").rlike(r"\p{N}")).alias("is_mixed"), F.length("term").cast("long").alias("n_chars"),
-    )
+    t = _docs(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(text.TOKEN), F.lit(0))).alias("term")).distinct()
+    return t.select("term", *(v.alias(k) for k, v in text.token_flags(F.col("term")).items()))
+
+
+_KINDS = {"is_letter": r"\p{L}", "is_number": r"\p{N}", "is_punctuation": r"[[:punct:]\p{P}]", "is_symbol": r"\p{S}", "is_uppercase": r"\p{Lu}", "is_lowercase": r"\p{Ll}", "is_terminal_punctuation": "[.!?]", "is_internal_punctuation": "[,;:]", "is_dash": r"[-\x{2010}-\x{2015}]", "is_letter_or_number": r"[\p{L}\p{N}]"}
+
+
+@query("with c as (select distinct unnest(string_split(text, '')) as ch from documents) select ch, " + ", ".join(f"regexp_full_match(ch, '{p}') as {k}" for k, p in _KINDS.items()) + " from c where ch <> '' and not regexp_matches(ch, '\\s')")
+def character_kinds(s: SparkSession, d: str) -> DataFrame:
+    c = _docs(s, d).select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct().where(~F.col("ch").rlike(r"[\t\n\f\r ]"))
+    return c.select("ch", *(text.is_kind(F.col("ch"), k).alias(k) for k in _KINDS))
+
+
+@query()
+def character_categories(s: SparkSession, d: str) -> DataFrame:
+    c = _docs(s, d).select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct()
+    return c.select("ch", text.general_category(F.col("ch")).alias("category"), text.is_kind(F.col("ch"), "is_whitespace").alias("is_whitespace"), text.is_kind(F.col("ch"), "is_newline").alias("is_newline"))
+
+
+_N = "length(text) - length(regexp_replace(text, '{}', '', 'g'))"
 
 
 @query(
-    r"""select doc_id, length(text) as total, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) as alpha, length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) as upper,
-length(text) - length(regexp_replace(text, '\p{Ll}', '', 'g')) as lower, length(text) - length(regexp_replace(text, '\p{N}', '', 'g')) as digit,
-length(text) - length(regexp_replace(text, '[\s\p{Z}\x{200B}\x{FEFF}\x{180E}]', '', 'g')) as whitespace, length(text) - length(regexp_replace(text, '[[:punct:]\p{P}]', '', 'g')) as punct,
-length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) as non_ascii, length(text) - length(regexp_replace(text, '\n', '', 'g')) + 1 as lines from documents where text is not null"""
+    f"""select doc_id, length(text) as total, {_N.format(r'\p{L}')} as alpha, {_N.format(r'\p{Lu}')} as upper, {_N.format(r'\p{Ll}')} as lower, {_N.format(r'\p{N}')} as digit,
+{_N.format(r'[\s\p{Z}\x{200B}\x{FEFF}\x{180E}]')} as whitespace, case when regexp_matches(text, '[^\\x00-\\x7F]') then {_N.format(r'[[:punct:]\p{P}]')} else {_N.format(r'\p{P}')} end as punct,
+{_N.format(r'\p{S}')} - case when regexp_matches(text, '[^\\x00-\\x7F]') then {_N.format('[$+<=>^`|~]')} else 0 end as symbol, {_N.format(r'[^\x00-\x7F]')} as non_ascii,
+{_N.format(r'[\n\x{2028}\x{2029}]')} + 1 as lines, 1 + len(regexp_extract_all(text, '\n\r*\n(?:\r*\n)*')) as paragraphs from documents where text is not null"""
 )
 def char_class_counts(s: SparkSession, d: str) -> DataFrame:
-    x = measures.character_counts(_docs(s, d))
-    return x.select("doc_id", *(F.col(c).cast("long").alias(c) for c in x.columns[1:]))
+    return measures.character_counts(_docs(s, d)).drop("char_entropy")
 
 
 @query(
@@ -137,11 +161,11 @@ def char_entropy(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "select doc_id, lower(regexp_replace(regexp_replace(replace(translate(text, '‘’‚‛“”„‟‐‑‒–—―−', repeat(chr(39), 4) || repeat(chr(34), 4) || '-------'), '…', '...'), "
-    + r"'[\x{00AD}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}•]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) as text from documents where lang <> 'und'"
+    "select doc_id, translate(lower(regexp_replace(regexp_replace(replace(translate(text, '‘’‚‛“”„‟‐‑‒–—―−', repeat(chr(39), 4) || repeat(chr(34), 4) || '-------'), '…', '...'), "
+    + r"'[\x{00AD}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}•]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')), 'ς', 'σ') as text from documents"
 )
 def normalize_text(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "documents").where("lang <> 'und'").select("doc_id", text.normalise(F.col("text")).alias("text"))
+    return _docs(s, d).select("doc_id", text.normalise(F.col("text")).alias("text"))
 
 
 @query()
@@ -161,18 +185,18 @@ tf as (select *, row_number() over (partition by query_id order by score desc, d
 
 @query(_BM25 + " select query_id, doc_id, score, cast(rank as integer) as rank from bm where rank <= 10")
 def bm25_search(s: SparkSession, d: str) -> DataFrame:
-    return index.search_bm25(index.build_postings(_docs(s, d)), _t(s, d, "queries"), 10)
+    return index.search_bm25(index.Index.build(_docs(s, d)), _t(s, d, "queries"), 10)
 
 
 @query(_BM25 + ", " + _TFIDF + " select query_id, doc_id, score, cast(rank as integer) as rank from tf where rank <= 10")
 def tfidf_search(s: SparkSession, d: str) -> DataFrame:
-    return index.search_tfidf(index.build_postings(_docs(s, d)), _t(s, d, "queries"), 10)
+    return index.search_tfidf(index.Index.build(_docs(s, d)), _t(s, d, "queries"), 10)
 
 
 @query(_BM25 + ", " + _TFIDF + """, f as (select query_id, doc_id, round(sum(x), 6) as score from (select query_id, doc_id, 1.0::double / (60 + rank) as x from bm where rank <= 30 union all select query_id, doc_id, 1.0::double / (60 + rank) from tf where rank <= 30) group by all)
 select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from f qualify rank <= 10""")
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
-    p = index.build_postings(_docs(s, d))
+    p = index.Index.build(_docs(s, d))
     q = _t(s, d, "queries")
     return index.fuse(index.search_bm25(p, q, 30), index.search_tfidf(p, q, 30), 10)
 
@@ -189,17 +213,17 @@ def boolean_or(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {POSTINGS} select doc_id, term, round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) as weight, cast(row_number() over (partition by doc_id order by round((1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1), 6) desc, term) as integer) as rank from post join dfs using (term), whole qualify rank <= 5")
 def tfidf_top_terms(s: SparkSession, d: str) -> DataFrame:
-    return index.tfidf_terms(index.build_postings(_docs(s, d)), 5)
+    return index.tfidf_terms(index.Index.build(_docs(s, d)), 5)
 
 
 @query(f"with {POSTINGS} select term, df, cast((select sum(tf) from post p where p.term = dfs.term) as bigint) as cf from dfs")
 def index_statistics(s: SparkSession, d: str) -> DataFrame:
-    return index.build_postings(_docs(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index.statistics(index.build_postings(_docs(s, d))).drop("max_tf")
 
 
 @query(f"with {TOKENS} select doc_id, term, count(*) * 2 as tf from tok group by all")
 def postings_merge(s: SparkSession, d: str) -> DataFrame:
-    p = index.build_postings(_docs(s, d))
+    p = cut_lineage(index.build_postings(_docs(s, d)))
     return index.merge_postings(p, p).select("doc_id", "term", "tf")
 
 
@@ -214,19 +238,73 @@ def class_tfidf(s: SparkSession, d: str) -> DataFrame:
     return index.class_tfidf(x, "lang", "text", 10, STOPWORDS)
 
 
-@query(f"with {POSTINGS}, v as (select doc_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) as w from post join dfs using (term), whole where df between 2 and 6), nn as (select doc_id, sqrt(sum(w * w)) as nw from v group by all) select a.doc_id as i, b.doc_id as j, round(sum(a.w * b.w) / (x.nw * y.nw), 6) as cosine from v a join v b on a.term = b.term and a.doc_id < b.doc_id join nn x on x.doc_id = a.doc_id join nn y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.nw, y.nw having round(sum(a.w * b.w) / (x.nw * y.nw), 6) >= 0.5")
+@query(f"with {POSTINGS}, v as (select doc_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) as w from post join dfs using (term), whole), nn as (select doc_id, sqrt(sum(w * w)) as nw from v group by all) select a.doc_id as i, b.doc_id as j, round(round(sum(a.w * b.w) / (x.nw * y.nw), 6), 4) as cosine from v a join v b on a.term = b.term and a.doc_id < b.doc_id join nn x on x.doc_id = a.doc_id join nn y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.nw, y.nw having round(sum(a.w * b.w) / (x.nw * y.nw), 6) >= 0.6")
 def tf_cosine_pairs(s: SparkSession, d: str) -> DataFrame:
-    p = index.build_postings(_docs(s, d))
-    n = index.doc_lengths(p).agg(F.count("*").alias("n")).select("n").scalar()
-    # terms of two to six documents: their posting lists bound the pairs
-    df = index.document_frequencies(p).where("df between 2 and 6")
-    v = p.join(df, "term").select("doc_id", "term", ((1 + F.log("tf")) * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("w"))
-    norm = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nw"))
-    a = v.select(F.col("doc_id").alias("i"), "term", F.col("w").alias("wi"))
-    b = v.select(F.col("doc_id").alias("j"), "term", F.col("w").alias("wj"))
-    dots = a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("s"))
-    x = dots.join(norm.select(F.col("doc_id").alias("i"), F.col("nw").alias("ni")), "i").join(norm.select(F.col("doc_id").alias("j"), F.col("nw").alias("nj")), "j")
-    return x.select("i", "j", F.round(F.col("s") / (F.col("ni") * F.col("nj")), 6).alias("cosine")).where("cosine >= 0.5")
+    i = index.Index.build(_docs(s, d))
+    pairs = vectors.sparse_pairs(vectors.term_weights(i.postings.select("doc_id", "term", "tf"), i.n), 0.6)
+    return pairs.select("i", "j", F.round("cosine", 4).alias("cosine"))
+
+
+@query(f"with {POSTINGS} select (select count(distinct doc_id) from post) as documents, (select count(distinct term) from post) as terms, (select count(*) from post) as nnz, round((select count(*) from post)::double / ((select count(distinct doc_id) from post) * (select count(distinct term) from post)), 9) as density")
+def term_matrix_stats(s: SparkSession, d: str) -> DataFrame:
+    return vocabulary.term_matrix_stats(index.build_postings(_docs(s, d)))
+
+
+@query(f"with {POSTINGS}, {ASKED} select query_id, doc_id, round(sum(qtf * tf * ln(n::double / df)), 6) as score, cast(row_number() over (partition by query_id order by round(sum(qtf * tf * ln(n::double / df)), 6) desc, doc_id) as integer) as rank from post join asked using (term) join dfs using (term), whole group by query_id, doc_id having round(sum(qtf * tf * ln(n::double / df)), 6) > 0 qualify rank <= 10")
+def tfidf_raw_search(s: SparkSession, d: str) -> DataFrame:
+    return index.search_tfidf(index.Index.build(_docs(s, d)), _t(s, d, "queries"), 10, "raw", "standard")
+
+
+@query(_BM25 + " select query_id, b.doc_id, score, cast(rank as integer) as rank, external_id, source from bm b left join documents using (doc_id) where rank <= 5")
+def searcher(s: SparkSession, d: str) -> DataFrame:
+    docs = _t(s, d, "documents").select("doc_id", "text", "external_id", "source")
+    return index.Searcher.build(docs).search(_t(s, d, "queries"), 5).select("query_id", "doc_id", "score", "rank", "external_id", "source")
+
+
+@query()
+def searcher_expanded(s: SparkSession, d: str) -> DataFrame:
+    found = index.Searcher.build(_docs(s, d), _edges(s, d), 1).debug(_t(s, d, "queries"), 5)
+    return found.select("query_id", "doc_id", "score", "rank", F.size("parts").alias("terms"))
+
+
+_PARS = r"par as (select doc_id, unnest(x) as text, generate_subscripts(x, 1) - 1 as segment_no from (select doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '\n(?:[\s\p{Z}]*\n)+'), lambda p: trim(regexp_replace(p, '\s', ' ', 'g')) <> '') as x from documents))"
+
+
+@query()
+def search_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    return index.search_paragraphs(_docs(s, d), _t(s, d, "queries"), 2)
+
+
+@query()
+def search_sentences(s: SparkSession, d: str) -> DataFrame:
+    return index.search_sentences(_docs(s, d), _t(s, d, "queries"), 2)
+
+
+@query("select query_id, hit_pos, doc_id, case when external_id is not null then external_id || '#page=' || hit_pos end as uri from search_hits")
+def passage_uris(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "search_hits").select("query_id", "hit_pos", "doc_id", index.passage_uri(F.col("external_id"), page=F.col("hit_pos")).alias("uri"))
+
+
+@query("select query_id, hit_pos, doc_id, try_cast(metadata['char_start'] as integer) as char_start, try_cast(metadata['char_end'] as integer) as char_end, try_cast(metadata['page'] as integer) as page from search_hits")
+def hit_results(s: SparkSession, d: str) -> DataFrame:
+    return index.hit_to_result(_t(s, d, "search_hits")).select("query_id", "hit_pos", "doc_id", "char_start", "char_end", "page")
+
+
+@query("select doc_id, string_agg(text, chr(10) || chr(10) order by segment_no, text) as text from segments where text is not null group by doc_id")
+def grouped_units(s: SparkSession, d: str) -> DataFrame:
+    return index.grouped_units(_t(s, d, "segments"), "doc_id", "segment_no")
+
+
+@query(
+    f"""with k as (select coalesce(lang, 'none') as class, list_filter({TOK}, lambda t: length(t) >= 2 and t not in ({', '.join(repr(w) for w in STOPWORDS)})) as ks from documents),
+t as (select class, unnest(list_concat(ks, case when len(ks) >= 2 then list_transform(range(1, len(ks)), lambda i: ks[i] || ' ' || ks[i + 1]) else [] end)) as term from k), f as (select class, term, count(*) as f from t group by all),
+c as (select class, sum(f) as ct from f group by all), g as (select term, sum(f) as cf from f group by all having sum(f) >= 3), a as (select (select sum(f) from f)::double / (select count(distinct coalesce(lang, 'none')) from documents) as av),
+w as (select class, term, round(sqrt(f / ct) * ln(greatest(1, 1 + (av - cf + 0.5) / (cf + 0.5))), 6) as weight from f join c using (class) join g using (term), a)
+select class, term, weight, cast(row_number() over (partition by class order by weight desc, term) as integer) as rank from w where weight > 0 qualify rank <= 10"""
+)
+def class_tfidf_bigrams(s: SparkSession, d: str) -> DataFrame:
+    x = _t(s, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "text")
+    return index.class_tfidf(x, "lang", "text", 10, STOPWORDS, 1, 2, 3, True, True)
 
 
 @query(f"with p as (select doc_id, unnest({TOK}) as term from (select doc_id, coalesce(title || chr(10) || chr(10) || title || chr(10) || chr(10), '') || text as text from documents)) select term, doc_id, count(*) as tf from p group by all")
@@ -276,6 +354,16 @@ def label_max_score(s: SparkSession, d: str) -> DataFrame:
     return labels.max_score(_events(s, d), 5.0)
 
 
+@query(f"with {_PER}, cw as (select doc, chunk, max(weight) as w from ev group by all), wh as (select doc, sum(w) as whole from cw group by all), lw as (select doc, label, sum(w) as w from pc join cw using (doc, chunk) group by doc, label) select doc, label, cast(w as bigint) as weight from lw join wh using (doc) where w >= 0.3 * whole")
+def label_weighted_multi(s: SparkSession, d: str) -> DataFrame:
+    return labels.weighted(_events(s, d), 0.3, True).withColumn("weight", F.col("weight").cast("long"))
+
+
+@query(f"with {_EV}, m as (select doc, label, max(score) as score, min({{'c': chunk, 'p': pos}}) as fst from ev group by all) select doc, label, score from (select *, row_number() over (partition by doc order by score desc, fst) as r from m) where r = 1 and score >= 5")
+def label_best_score(s: SparkSession, d: str) -> DataFrame:
+    return labels.max_score(_events(s, d), 5.0, False)
+
+
 # --- string metrics over neighbouring part names of a brand
 
 _PAIR = "pr as (select p_partkey as id, a, b from (select p_partkey, p_name || ' ' || p_type as a, lag(p_name || ' ' || p_type) over (partition by p_brand order by p_partkey) as b from part) where b is not null)"
@@ -314,7 +402,7 @@ _ta, _tb = "string_split(lower(a), ' ')", "string_split(lower(b), ' ')"
 r6 = lambda f: lambda a, b: F.round(f(a, b), 6)
 _metric_query("levenshtein_pairs", lambda a, b: F.levenshtein(a, b).cast("long"), "levenshtein(a, b)")
 _metric_query("damerau_pairs", lambda a, b: strings.damerau_levenshtein(a, b).cast("long"), "damerau_levenshtein(a, b)")
-_metric_query("osa_pairs", strings.osa, None)
+_metric_query("osa_pairs", lambda a, b: strings.osa(a, b).cast("long"), None)
 _metric_query("hamming_pairs", lambda a, b: strings.hamming(a, b).cast("long"), "case when length(a) = length(b) then hamming(a, b) end")
 _metric_query("jaro_pairs", r6(strings.jaro), "round(jaro_similarity(a, b), 6)")
 _metric_query("jaro_winkler_pairs", r6(strings.jaro_winkler), "round(jaro_winkler_similarity(a, b), 6)")
@@ -344,6 +432,21 @@ def soundex_codes(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", strings.soundex("p_name").alias("code"))
 
 
+@query()
+def metaphone_codes(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "part").select("p_partkey", strings.metaphone("p_name").alias("code"))
+
+
+for _m in ("soundex", "metaphone", "lcs", "longest_common_substring", "token_ngram_jaccard", "token_ngram_cosine", "token_ngram_overlap"):
+    _metric_query(f"{_m}_similarities", r6(strings.metric(_m)), None)
+
+
+@query()
+def normalised_offsets(s: SparkSession, d: str) -> DataFrame:
+    x = _docs(s, d).where("text is not null").select("doc_id", text.normalised(F.col("text")).alias("x"))
+    return x.select("doc_id", "x.text", F.size("x.offsets").alias("n"), F.element_at("x.offsets", -1).alias("last"))
+
+
 # --- matching
 
 
@@ -384,6 +487,52 @@ def prefix_lookup(s: SparkSession, d: str) -> DataFrame:
     return index.token_rows(_docs(s, d)).select("term").distinct().where(F.col("term").startswith("com"))
 
 
+@query("with m as (select doc_id, unnest(list_filter(range(1, length(text) - 2), lambda i: lower(substr(text, i, 4)) = 'ship')) - 1 as k from documents) select doc_id, cast(k as bigint) as at from m")
+def find_ignoring_case(s: SparkSession, d: str) -> DataFrame:
+    return matching.find_all(_docs(s, d), "SHIP", True)
+
+
+@query("select doc_id, case when contains(text, 'the') then cast(instr(text, 'the') - 1 as integer) end as first, case when contains(text, 'the') then cast(length(text) - instr(reverse(text), 'eht') - 2 as integer) end as last from documents")
+def find_first_last(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", matching.find_first(F.col("text"), "the").alias("first"), matching.find_last(F.col("text"), "the").alias("last"))
+
+
+@query()
+def patterns_longest(s: SparkSession, d: str) -> DataFrame:
+    return matching.find_patterns(_docs(s, d), matching.Patterns(["ship", "ships", "the ship", "Harbour", "港"], longest=True, ignore_case=True, word_boundary=True))
+
+
+@query("select doc_id, len(regexp_extract_all(text, '[A-Z]{2}-[0-9]+')) as n, regexp_replace(text, '[0-9]', '#', 'g') as masked, regexp_matches(text, '[0-9]{4}') as year from documents")
+def regex_operations(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", F.regexp_count("text", F.lit("[A-Z]{2}-[0-9]+")).cast("long").alias("n"), F.regexp_replace("text", "[0-9]", "#").alias("masked"), F.col("text").rlike("[0-9]{4}").alias("year"))
+
+
+@query("with w as (select distinct lower(short_form) as word from name_aliases), t as (select lower(short_form) as key, min(long_form) as value from name_aliases group by all) select word, value from w left join t on key = word")
+def dictionary_lookup(s: SparkSession, d: str) -> DataFrame:
+    a = _t(s, d, "name_aliases")
+    table = a.groupBy(F.lower("short_form").alias("key")).agg(F.min("long_form").alias("value"))
+    return matching.lookup(a.select(F.lower("short_form").alias("word")).distinct(), table)
+
+
+@query("with k as (select distinct p_name as key from part), w as (select unnest(['smal rings', 'gear weel', 'oak barel']) as word) select word, key, levenshtein(word, key) as d from w, k where levenshtein(word, key) <= 3")
+def fuzzy_join(s: SparkSession, d: str) -> DataFrame:
+    w = s.createDataFrame([("smal rings",), ("gear weel",), ("oak barel",)], "word string")
+    return matching.fuzzy(_t(s, d, "part").select(F.col("p_name").alias("key")).distinct(), w, 3).select("word", "key", F.col("d").cast("long").alias("d"))
+
+
+@query(f"with {TOKENS}, vocab as (select distinct unnest(string_split(lower(name), ' ')) as w from entity_matches), n as (select term, count(*) as n from tok where term in (select w from vocab) group by term order by n desc, term limit 40) select term, n from n where n >= 2")
+def token_frequency_lexicon(s: SparkSession, d: str) -> DataFrame:
+    vocab = _t(s, d, "entity_matches").select(F.explode(F.split(F.lower("name"), " ")).alias("word"))
+    return vocabulary.token_frequency(_docs(s, d), vocab, 2, 40)
+
+
+@query()
+def bloom_members(s: SparkSession, d: str) -> DataFrame:
+    vocab = _t(s, d, "entity_matches").select(F.explode(F.split(F.lower("name"), " ")).alias("word")).distinct()
+    filter_ = vocabulary.bloom(vocab, max(1000, vocab.count()), 0.001)
+    return vocabulary.maybe_in(index.token_rows(_docs(s, d)).select(F.col("term").alias("word")).distinct(), filter_)
+
+
 # --- lines and structure
 
 
@@ -435,6 +584,102 @@ def document_outline(s: SparkSession, d: str) -> DataFrame:
     return lines.outline(_docs(s, d))
 
 
+@query(
+    r"""with x as (select doc_id, text, regexp_split_to_array(text, '\r\n|\r|\n') as ls, regexp_extract_all(text, '\r\n|\r|\n') as es from documents where text is not null),
+u as (select doc_id, text, unnest(ls) as line, generate_subscripts(ls, 1) as k, len(ls) as n, ls, es from x)
+select doc_id, cast(k - 1 as integer) as line_no, cast(coalesce(list_sum(list_transform(ls[1:k - 1], lambda v: length(v))), 0) + coalesce(list_sum(list_transform(es[1:k - 1], lambda v: length(v))), 0) as bigint) as start,
+cast(coalesce(list_sum(list_transform(ls[1:k], lambda v: length(v))), 0) + coalesce(list_sum(list_transform(es[1:k - 1], lambda v: length(v))), 0) as bigint) as "end", line from u where not (k = n and line = '')"""
+)
+def line_spans(s: SparkSession, d: str) -> DataFrame:
+    return lines.line_spans(_docs(s, d))
+
+
+@query()
+def line_records(s: SparkSession, d: str) -> DataFrame:
+    return structure.extract_line_records(_docs(s, d))
+
+
+@query()
+def enumerators(s: SparkSession, d: str) -> DataFrame:
+    return structure.enumerators(_docs(s, d))
+
+
+@query()
+def boilerplate(s: SparkSession, d: str) -> DataFrame:
+    return structure.detect_boilerplate(_docs(s, d)).select("doc_id", "kind", "text", "occurrences", "language")
+
+
+@query()
+def heading_features(s: SparkSession, d: str) -> DataFrame:
+    return structure.score_headings(_docs(s, d))
+
+
+@query()
+def line_labels(s: SparkSession, d: str) -> DataFrame:
+    return structure.label_lines(_docs(s, d))
+
+
+@query()
+def heading_tree(s: SparkSession, d: str) -> DataFrame:
+    return structure.build_outline(_docs(s, d))
+
+
+@query()
+def structure_summary(s: SparkSession, d: str) -> DataFrame:
+    return structure.summarize_structure(structure.label_lines(_docs(s, d)))
+
+
+# --- sentences from a trained model
+
+_TYPES = r"raw as (select doc_id, unnest(x) as t, generate_subscripts(x, 1) - 1 as pos from (select doc_id, regexp_extract_all(translate(lower(text), 'ς', 'σ'), '\S+') as x from documents)), ty as (select doc_id, pos, t, case when not regexp_matches(t, '\p{L}') and regexp_full_match(t, '-?[.,]?\d[\d,.\-]*\.?') then '##number##' else t end as kind from raw), ba as (select *, case when length(kind) > 1 and ends_with(kind, '.') then kind[:-2] else kind end as base, ends_with(t, '.') as dotted from ty)"
+_DOTS = _TYPES + ", cn as (select base, count(*) filter (dotted) as with_period, count(*) filter (not dotted) as without_period from ba group by base)"
+
+
+@query(f"with {_DOTS} select * from cn")
+def punkt_token_counts(s: SparkSession, d: str) -> DataFrame:
+    return punkt.token_counts(_docs(s, d))
+
+
+@query(
+    rf"""with {_DOTS}, tot as (select sum(with_period + without_period)::double as n, sum(with_period)::double as dots from cn),
+c as (select base as word, with_period, without_period, with_period::double as a, (with_period + without_period)::double as ab, without_period::double as r, n, dots, length(base) as len, len(regexp_extract_all(base, '\.')) as per from cn, tot
+where with_period > 0 and length(base) < 9 and regexp_matches(base, '\p{{L}}') and without_period <= 2 * with_period and not (length(base) > 3 and regexp_full_match(base, '\p{{Ll}}+'))),
+l as (select *, -3.0::double * ((a * ln(dots / n + 1e-8) + case when r > 0 then r * ln(1 - dots / n + 1e-8) else 0 end) - (a * ln(0.99::double) + case when r > 0 then r * ln(0.01::double) else 0 end)) as ll from c),
+s as (select word, with_period, without_period, round(ll * exp(-(len - per)::double) * (1 + per) * case when len <= 3 or r = 0 then 1 else pow((len - per)::double, -0.5 * r) end * (1 + a / ab), 6) as score, round(a / ab, 6) as confidence from l)
+select *, score >= case when confidence >= 0.25 then 0.05 else 0.1 end as learned from s"""
+)
+def punkt_abbreviations(s: SparkSession, d: str) -> DataFrame:
+    return punkt.abbreviation_scores(punkt.token_counts(_docs(s, d)))
+
+
+@query(
+    f"""with {_TYPES}, nx as (select base, dotted, lead(kind) over (partition by doc_id order by pos) as nxt from ba), pr as (select base as x, nxt as y, count(*) as n from nx where dotted and nxt is not null group by all having count(*) >= 2),
+k as (select base, count(*)::double as c from ba group by base), t as (select count(*)::double as n from ba),
+j as (select x, y, pr.n as n, ka.c as a, kb.c as b, pr.n::double as ab, t.n as nn from pr join k ka on ka.base = x join k kb on kb.base = y, t),
+p as (select *, b / nn as p, ab / a as p1, case when nn > a then (b - ab) / (nn - a) else 0 end as p2 from j)
+select x, y, n, round(-2 * (case when p > 0 and p < 1 then ab * ln(p) + (a - ab) * ln(1 - p) + (b - ab) * ln(p) + (nn - a - b + ab) * ln(1 - p) else 0 end - case when p1 > 0 and p1 < 1 and a <> ab then ab * ln(p1) + (a - ab) * ln(1 - p1) else 0 end
+- case when p2 > 0 and p2 < 1 and b <> ab then (b - ab) * ln(p2) + (nn - a - b + ab) * ln(1 - p2) else 0 end), 4) as score from p"""
+)
+def punkt_collocations(s: SparkSession, d: str) -> DataFrame:
+    docs = _docs(s, d)
+    pairs = punkt.typed_tokens(docs).where("dotted and next is not null").groupBy(F.col("base").alias("x"), F.col("next").alias("y")).agg(F.count("*").alias("n")).where("n >= 2")
+    kinds = cut_lineage(punkt.token_counts(docs).select("base", (F.col("with_period") + F.col("without_period")).alias("c")))
+    total = kinds.agg(F.sum("c").cast("double").alias("t")).select("t").scalar()
+    x = pairs.join(kinds.select(F.col("base").alias("x"), F.col("c").cast("double").alias("a")), "x").join(kinds.select(F.col("base").alias("y"), F.col("c").cast("double").alias("b")), "y")
+    return x.select("x", "y", "n", F.round(punkt.collocation_column(F.col("a"), F.col("b"), F.col("n").cast("double"), total), 4).alias("score"))
+
+
+@query()
+def punkt_sentences(s: SparkSession, d: str) -> DataFrame:
+    docs = _docs(s, d)
+    return punkt.sentences(docs, punkt.train(docs))
+
+
+@query()
+def punkt_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    return punkt.paragraphs(_docs(s, d))
+
+
 # --- vectors
 
 _V = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings)"
@@ -468,6 +713,32 @@ def l2_normalize(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "embeddings").select("vec_id", F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query(f"with {_V} select a.vec_id as query_id, b.vec_id as vec_id, round(sqrt(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))), 5) as euclidean, round(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: abs(a.e[i] - b.e[i]))), 5) as manhattan from v a, v b where a.vec_id % 100 = 0 and b.vec_id % 20 = 1")
+def vector_distances(s: SparkSession, d: str) -> DataFrame:
+    v = _t(s, d, "embeddings")
+    p = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")).crossJoin(F.broadcast(v.where("vec_id % 20 = 1").select("vec_id", F.col("embedding").alias("b"))))
+    e, m = (vectors.distances(p, x).select("query_id", "vec_id", F.round("distance", 5).alias(x)) for x in ("euclidean", "manhattan"))
+    return e.join(m, ["query_id", "vec_id"])
+
+
+@query(f"with {_V}, k as (select a.vec_id as src, b.vec_id as dst, {_COS} as score from v a join v b on a.vec_id <> b.vec_id qualify row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) <= 5) select least(src, dst) as i, greatest(src, dst) as j, max(score) as score from k group by all")
+def knn_edges(s: SparkSession, d: str) -> DataFrame:
+    return vectors.graph_edges(vectors.knn_graph(_t(s, d, "embeddings"), 5))
+
+
+@query()
+def mmr_selection(s: SparkSession, d: str) -> DataFrame:
+    v = _t(s, d, "embeddings")
+    near = vectors.top_k(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 20)
+    return vectors.mmr_select(near.join(v, "vec_id").withColumnRenamed("score", "relevance"), 5, 0.7)
+
+
+@query()
+def banded_neighbours(s: SparkSession, d: str) -> DataFrame:
+    v = _t(s, d, "embeddings")
+    return vectors.banded_top_k(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
+
+
 # --- duplicates
 
 
@@ -486,46 +757,138 @@ def shingle_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_SH} select doc_id, " + ", ".join(f"min(('0x' || substr(md5('{k}:' || shingle), 1, 15))::bigint) as h{k}" for k in range(8)) + " from sg group by doc_id")
 def minhash_signatures(s: SparkSession, d: str) -> DataFrame:
-    return dedup.signatures(_docs(s, d), 8)
+    return dedup.md5_signatures(_docs(s, d), 8)
 
 
-@query()
+_J = f"{_SH}, sz as (select doc_id, count(*) as n from sg group by doc_id), pj as (select a.doc_id as a, b.doc_id as b, count(*) as k from sg a join sg b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all), sim as (select a, b, k::double / (x.n + y.n - k) as similarity from pj join sz x on x.doc_id = a join sz y on y.doc_id = b where k::double / (x.n + y.n - k) >= 0.8)"
+
+
+@query(f"with recursive {_J}, e as (select a as x, b as y from sim union select b, a from sim), r as (select x as n, x as c from e union select e.x, r.c from r join e on e.y = r.n), cl as (select n, min(c) as c from r group by n) select doc_id, coalesce(c, doc_id) as class_id from documents left join cl on n = doc_id")
 def lsh_classes(s: SparkSession, d: str) -> DataFrame:
-    return dedup.candidate_classes(_docs(s, d))
+    return dedup.duplicate_classes(_docs(s, d)).select("doc_id", "class_id")
+
+
+@query()
+def duplicate_stars(s: SparkSession, d: str) -> DataFrame:
+    return dedup.find_duplicates(_docs(s, d))
+
+
+@query()
+def minhash_index_query(s: SparkSession, d: str) -> DataFrame:
+    sigs = dedup.signatures(_docs(s, d))
+    i = dedup.MinHashIndex(sigs, threshold=0.5)
+    asked = i.sigs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return i.above(asked, 0.5)
+
+
+@query()
+def piecewise_digests(s: SparkSession, d: str) -> DataFrame:
+    return dedup.digests(_docs(s, d))
+
+
+@query(
+    "with t(a, b) as (values ('64:8:aaaabbbb:cccc', '64:8:aaaabbbb:dddd'), ('64:8:aa', '32:8:aa'), ('64:8:', '64:8:')), p as (select a, b, list_filter(string_split(a, ':')[3:], lambda v: v <> '') as x, list_filter(string_split(b, ':')[3:], lambda v: v <> '') as y, string_split(a, ':')[1:2] = string_split(b, ':')[1:2] as same from t) select a, b, round(case when same and len(list_distinct(list_concat(x, y))) > 0 then len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))) else 0 end, 6) as similarity from p"
+)
+def digest_similarities(s: SparkSession, d: str) -> DataFrame:
+    t = s.createDataFrame([("64:8:aaaabbbb:cccc", "64:8:aaaabbbb:dddd"), ("64:8:aa", "32:8:aa"), ("64:8:", "64:8:")], "a string, b string")
+    return t.select("a", "b", F.round(dedup.digest_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 # --- quality and readability
 
 
+_RAW = TOK.replace("translate(lower(regexp_replace(t, '^[[:punct:]\\p{P}]+|[[:punct:]\\p{P}]+$', '', 'g')), 'ς', 'σ')", "regexp_replace(t, '^[[:punct:]\\p{P}]+|[[:punct:]\\p{P}]+$', '', 'g')")
+_FORMAT = f"not ({_FL['is_letter_word']}) and not ({_FL['is_numeric_word']}) and not ({_FL['is_alphanumeric_word']}) and not ({_FL['is_hyphenated']}) and not ({_FL['is_abbreviation']})"
+
+
 @query(
-    r"""with c as (""" + SQL["char_class_counts"] + r"""), w as (select doc_id, sum(f) as words, count(*) as u, sum(f * length(term)) as wc, max(f) as mf from (select doc_id, term, count(*) as f from (select doc_id, unnest(""" + TOK.replace("translate(lower(regexp_replace(t, '^[[:punct:]\\p{P}]+|[[:punct:]\\p{P}]+$', '', 'g')), 'ς', 'σ')", "regexp_replace(t, '^[[:punct:]\\p{P}]+|[[:punct:]\\p{P}]+$', '', 'g')") + r""") as term from documents) group by all) group by doc_id)
-select doc_id, round(whitespace / total, 6) as ratio_whitespace, round(total / lines, 6) as average_line_length, round((alpha + digit) / total, 6) as ratio_alphanumeric, round(non_ascii / total, 6) as ratio_non_ascii,
-round(case when alpha > 0 then upper / alpha else 0 end, 6) as ratio_capital, round(punct / total, 6) as ratio_punctuation, round(coalesce(wc / words, 0), 6) as average_word_length, round(coalesce(u / words, 0), 6) as type_token_ratio,
-round(coalesce(mf / words, 0), 6) as max_token_frequency_ratio, round(coalesce(1 - u / words, 0), 6) as repetition_rate from c left join w using (doc_id) where total > 0"""
+    f"""with c as ({SQL['char_class_counts']}), e as ({SQL_ENTROPY}), w as (select doc_id, sum(f) as words, count(*) as u, sum(f * length(term)) as wc, max(f) as mf, log2(sum(f)) - sum(f * log2(f)) / sum(f) as te, sum(case when {_FORMAT} then f else 0 end) as ft
+from (select doc_id, term, count(*) as f from (select doc_id, unnest({_RAW}) as term from documents) group by all) group by doc_id)
+select doc_id, total as total_characters, round(whitespace / total, 6) as ratio_whitespace, round(total / lines, 6) as average_line_length, round(total / paragraphs, 6) as average_paragraph_length, round((alpha + digit) / total, 6) as ratio_alphanumeric,
+round(case when digit = 0 then 'infinity'::double else alpha / digit end, 6) as ratio_alpha_to_numeric, round(non_ascii / total, 6) as ratio_non_ascii, round(case when alpha > 0 then upper / alpha else 0 end, 6) as ratio_capital, round(punct / total, 6) as ratio_punctuation,
+round(symbol / total, 6) as ratio_symbol, round(coalesce(wc / words, 0), 6) as average_word_length, round(coalesce(u / words, 0), 6) as type_token_ratio, round(coalesce(te, 0), 5) as token_entropy, round(ce, 5) as char_entropy, round(coalesce(mf / words, 0), 6) as max_token_frequency_ratio,
+round(coalesce(1 - u / words, 0), 6) as repetition_rate, round(coalesce(ft / words, 0), 6) as ratio_format_tokens, coalesce(words, 0)::bigint as num_words, lines as num_lines, paragraphs as num_paragraphs from c left join w using (doc_id) left join e using (doc_id) where total > 0"""
 )
 def quality_metrics(s: SparkSession, d: str) -> DataFrame:
-    return measures.quality_metrics(_docs(s, d))
+    m = measures.quality_metrics(_docs(s, d)).drop("ratio_in_lexicon")
+    places = {"token_entropy": 5, "char_entropy": 5}
+    return m.select("doc_id", *(F.round(c, places.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes if c != "doc_id"))
+
+
+def _off(n: str, domain: str) -> str:
+    lo, hi = measures.DOMAINS[domain][n]
+    return f"case when isinf({n}) then 0 else {measures.WEIGHTS[n]}::double * case when {n} < {lo} then ({lo} - {n}) / ({lo} + 1e-8::double) when {n} > {hi} then ({n} - {hi}) / ({hi} + 1e-8::double) else 0 end end"
 
 
-def _off(n: str) -> str:
-    lo, hi = measures.GENERAL[n]
-    return f"{measures.WEIGHTS[n]} * case when {n} < {lo} then ({lo} - {n}) / ({hi - lo + 1e-8!r})::double when {n} > {hi} then ({n} - {hi}) / ({hi - lo + 1e-8!r})::double else 0 end"
+def _score_sql(domain: str) -> str:
+    exact = re.sub(r"round\((.*?), [56]\) as", r"(\1) as", SQL["quality_metrics"])  # scored before rounding
+    return f"select doc_id, round(({' + '.join(_off(n, domain) for n in measures.WEIGHTS if n != 'ratio_in_lexicon')})::double, 6) as score from ({exact})"
 
 
-@query(f"select doc_id, round(({' + '.join(_off(n) for n in measures.WEIGHTS)})::double, 5) as score from ({SQL['quality_metrics']})")
+def _scored(s: SparkSession, d: str, domain: str) -> DataFrame:
+    return measures.score(measures.quality_metrics(_docs(s, d)), domain)
+
+
+@query(_score_sql("general"))
 def quality_score(s: SparkSession, d: str) -> DataFrame:
-    return measures.quality_scores(_docs(s, d))
+    return _scored(s, d, "general")
+
+
+@query(_score_sql("legal"))
+def quality_score_legal(s: SparkSession, d: str) -> DataFrame:
+    return _scored(s, d, "legal")
+
+
+@query()
+def quality_report(s: SparkSession, d: str) -> DataFrame:
+    return measures.quality_report(_docs(s, d)).select("doc_id", "score", F.size("components").alias("outside"), F.array_max(F.transform("components", lambda c: c["deviation"])).alias("worst"))
+
+
+@query(
+    rf"""with vocab as (select distinct unnest(string_split(lower(name), ' ')) as w from entity_matches), t as (select doc_id, term, count(*) as f from (select doc_id, unnest({_RAW}) as term from documents) group by all)
+select doc_id, round(case when sum(case when regexp_full_match(term, '\p{{L}}+') then f else 0 end) = 0 then 1.0 else sum(case when regexp_full_match(term, '\p{{L}}+') and lower(term) in (select w from vocab) then f else 0 end)::double / sum(case when regexp_full_match(term, '\p{{L}}+') then f else 0 end) end, 6) as ratio_in_lexicon from t group by doc_id"""
+)
+def lexicon_share(s: SparkSession, d: str) -> DataFrame:
+    vocab = _t(s, d, "entity_matches").select(F.explode(F.split(F.lower("name"), " ")).alias("word"))
+    return measures.quality_metrics(_docs(s, d), vocab).where("num_words > 0").select("doc_id", F.round("ratio_in_lexicon", 6).alias("ratio_in_lexicon"))
+
+
+_CC = ["sentences", "words", "letters", "letters_and_digits", "syllables", "polysyllable_words", "fog_complex_words", "long_words"]
 
 
 @query(
-    """with l as (select doc_id, max({'counted_at': counted_at, 'sentences': sentences, 'words': words, 'letters': letters, 'ld': letters_and_digits, 'syl': syllables, 'poly': polysyllable_words, 'fog': fog_complex_words, 'long': long_words}) as x from text_counts
-where doc_id is not null and sentences is not null and words is not null and letters is not null and letters_and_digits is not null and syllables is not null and polysyllable_words is not null and fog_complex_words is not null and long_words is not null group by doc_id),
-f as (select doc_id, x.sentences::double as s, x.words::double as w, x.letters::double as le, x.ld::double as ld, x.syl::double as syl, x.poly::double as poly, x.fog::double as fog, x.long::double as lo from l)
-select doc_id, round(206.835 - 1.015 * w / s - 84.6 * syl / w, 8) as flesch_reading_ease, round(0.39 * w / s + 11.8 * syl / w - 15.59, 8) as flesch_kincaid_grade, round(4.71 * ld / w + 0.5 * w / s - 21.43, 8) as automated_readability_index,
-round(0.0588 * (100 * le / w) - 0.296 * (100 * s / w) - 15.8, 8) as coleman_liau_index, round(1.043 * sqrt(poly * 30 / s) + 3.1291, 8) as smog_index, s >= 30 as smog_valid, round(0.4 * (w / s + 100 * fog / w), 8) as gunning_fog, round(w / s + 100 * lo / w, 8) as lix, round(lo / s, 8) as rix from f where w > 0 and s > 0"""
+    f"""with l as (select doc_id, max({{'counted_at': counted_at, {', '.join(f"'{c}': {c}" for c in [*_CC, 'unfamiliar_words'])}}}) as x from text_counts where doc_id is not null and {' and '.join(f'{c} is not null' for c in _CC)} group by doc_id),
+f as (select doc_id, {', '.join(f'x.{c}::double as {c}' for c in [*_CC, 'unfamiliar_words'])}, x.words > 0 and x.sentences > 0 as ok from l), g as (select *, case when ok then words end as w, case when ok then sentences end as s from f)
+select doc_id, round(206.835 - 1.015 * w / s - 84.6 * syllables / w, 8) as flesch_reading_ease, round(0.39 * w / s + 11.8 * syllables / w - 15.59, 8) as flesch_kincaid_grade, round(4.71 * letters_and_digits / w + 0.5 * w / s - 21.43, 8) as automated_readability_index,
+round(0.0588 * (100 * letters / w) - 0.296 * (100 * s / w) - 15.8, 8) as coleman_liau_index, round(1.043 * sqrt(polysyllable_words * 30 / s) + 3.1291, 8) as smog_index, sentences >= 30 as smog_valid, round(0.4 * (w / s + 100 * fog_complex_words / w), 8) as gunning_fog,
+round(0.1579 * (100 * unfamiliar_words / w) + 0.0496 * w / s + case when 100 * unfamiliar_words / w > 5 then 3.6365 else 0 end, 8) as dale_chall, round(w / s + 100 * long_words / w, 8) as lix, round(long_words / s, 8) as rix from g"""
 )
 def readability_scores(s: SparkSession, d: str) -> DataFrame:
-    return measures.readability(_t(s, d, "text_counts")).where("lix is not null")
+    return measures.readability(_t(s, d, "text_counts"))
+
+
+@query()
+def readability_counts(s: SparkSession, d: str) -> DataFrame:
+    return reading.compute_counts(_docs(s, d))
+
+
+@query()
+def readability_report(s: SparkSession, d: str) -> DataFrame:
+    lexicon_ = _t(s, d, "entity_matches").select(F.explode(F.split(F.lower("name"), " ")).alias("word"))
+    return reading.readability_report(_docs(s, d), lexicon=lexicon_)
+
+
+@query(
+    rf"""with w as (select doc_id, unnest({_RAW}) as t from documents) select doc_id, count(*) as words, sum(len(regexp_extract_all(t, '\p{{L}}')))::bigint as letters, sum(case when len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]')) > 6 then 1 else 0 end)::bigint as long_words
+from w where regexp_matches(t, '[\p{{L}}\p{{N}}]') group by doc_id"""
+)
+def word_counts(s: SparkSession, d: str) -> DataFrame:
+    return reading.compute_counts(_docs(s, d)).where("words > 0").select("doc_id", "words", "letters", "long_words")
+
+
+@query()
+def syllables_of_terms(s: SparkSession, d: str) -> DataFrame:
+    return reading.syllables(index.token_rows(_docs(s, d)).select("term").distinct())
 
 
 # --- chunks
@@ -545,6 +908,54 @@ def packed_paragraphs(s: SparkSession, d: str) -> DataFrame:
     return chunks.packed_paragraphs(_docs(s, d), 256)
 
 
+@query()
+def sentence_chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunks.cut(_docs(s, d), "sentence", 128, 1)
+
+
+@query()
+def paragraph_chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunks.cut(_docs(s, d), "paragraph", 256)
+
+
+@query()
+def section_chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunks.cut(_docs(s, d), "section", 256)
+
+
+@query()
+def level_chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunks.cut(_docs(s, d), "level", 256)
+
+
+@query()
+def semantic_groups(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    v = _t(s, d, "embeddings")
+    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
+    units = v.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("unit_no"), (20 + F.col("vec_id") % 30).cast("int").alias("n_tokens"), vectors.cosine(before, F.col("embedding")).alias("alike"))
+    return chunks.semantic_pack(units, 200, 0.0)
+
+
+@query()
+def document_changes(s: SparkSession, d: str) -> DataFrame:
+    return diff.diff_documents(_versions(s, d), "line")
+
+
+@query()
+def change_summary(s: SparkSession, d: str) -> DataFrame:
+    return diff.summarize_changes(diff.diff_documents(_versions(s, d), "sentence"))
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    """Each document beside the next one of its source."""
+    from pyspark.sql import Window
+
+    after = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
+    return _t(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), after.alias("b")).where("b is not null")
+
+
 # --- spans: entity mentions and older segments
 
 _SP = "sp as (select doc_id, coalesce(entity_type, 'none') as label, start_char::bigint as s, end_char::bigint as e from entity_matches where start_char < end_char)"
@@ -583,9 +994,27 @@ def span_subtract(s: SparkSession, d: str) -> DataFrame:
     return spans.subtract(_segments(s, d), _mentions(s, d))
 
 
+@query()
+def span_resolve(s: SparkSession, d: str) -> DataFrame:
+    x = _mentions(s, d).select("doc_id", F.xxhash64("start", "end", "label").alias("span_id"), "label", "start", "end", (F.col("end") - F.col("start")).cast("double").alias("score"))
+    return spans.resolve_by_score(x.dropDuplicates(["doc_id", "span_id"]))
+
+
 # --- values in text
 
 
+def _values(name: str) -> None:
+    def f(s: SparkSession, d: str) -> DataFrame:
+        return values.extract(_docs(s, d), name)
+
+    f.__name__ = f"values_{name}"
+    query()(f)
+
+
+for _n in ("number", "money", "percent", "date", "time", "duration", "quantity", "contact", "entity", "defined_term"):
+    _values(_n)
+
+
 def _found(name: str, pattern: str, value: Callable | None = None, sql_value: str | None = None) -> None:
     def f(s: SparkSession, d: str) -> DataFrame:
         x = _docs(s, d).select("doc_id", F.explode(extract.find(F.col("text"), pattern)).alias("match"))
@@ -628,6 +1057,25 @@ def concepts(s: SparkSession, d: str) -> DataFrame:
     return lexicon.concepts(counts.join(_edges(s, d).select(F.col("src").alias("term")).distinct(), "term", "left_semi"), _edges(s, d), 2)
 
 
+@query(f"with {_ED} select distinct src as word, true as known from ed")
+def lexicon_words(s: SparkSession, d: str) -> DataFrame:
+    e = _edges(s, d)
+    return lexicon.contains(e, e.select(F.col("src").alias("word")).distinct())
+
+
+@query("select distinct lower(short_form) as word, 'short_for' as relation, lower(long_form) as dst from name_aliases")
+def lexicon_related(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.related(_edges(s, d), _t(s, d, "name_aliases").select(F.lower("short_form").alias("word")), "short_for")
+
+
+# --- the whole corpus
+
+
+@query()
+def analyze(s: SparkSession, d: str) -> DataFrame:
+    return corpus.analyze(_docs(s, d))
+
+
 # --- streams
 
 
