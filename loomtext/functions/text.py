@@ -105,6 +105,11 @@ def tokens_by(text: Column, pattern: str = r"[^\s\p{Z}]+", lowercase: bool = Tru
     return F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), trim_punctuation), lambda x: x != "")
 
 
+def once(value: Column) -> Column:
+    """A value found once for each row: given out by a generator, it is not found anew wherever it is used."""
+    return F.explode(F.array(value))
+
+
 def without(toks: Column, words: list[str]) -> Column:
     """Tokens outside a word list, repetitions kept."""
     return F.filter(toks, lambda t: ~t.isin(*words))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, ngrams, tokens
+from ..functions.text import char_ngrams, ngrams, once, tokens
 from ..graph import connected_components, cut_lineage
 
 PERMS, SEED = 128, 42
@@ -31,21 +31,24 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def shingles(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, shingle): distinct windows of ``n`` tokens."""
     # the tokens are a column of their own, so that they aren't found anew for each window
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
+    toks = docs.select("doc_id", once(tokens(F.col("text"))).alias("toks"))
     return toks.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("toks"), n))).alias("shingle"))
 
 
 def md5_signatures(docs: DataFrame, perms: int = 8, n: int = 5) -> DataFrame:
     """(doc_id, h0 ...): least hash of the shingles under each of ``perms`` hash functions that any engine can recompute
     (the first 60 bits of the md5 of 'k:shingle'); row-local."""
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks")).select("doc_id", F.array_distinct(ngrams(F.col("toks"), n)).alias("s")).where("size(s) > 0")
+    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         md5 = hashlib.md5
         for b in it:
             rows = []
-            for d, s in zip(b["doc_id"], b["s"]):
-                raw = [x.encode() for x in s]
+            for d, t in zip(b["doc_id"], b["toks"]):
+                t = [] if t is None else list(t)
+                raw = {"\t".join(t[i : i + n]).encode() for i in range(len(t) - n + 1)} if len(t) >= n else {x.encode() for x in t[: len(t) == 1]}
+                if not raw:
+                    continue
                 rows.append((d, *(min(md5(b"%d:" % k + x).digest()[:8] for x in raw) for k in range(perms))))
             out = pd.DataFrame(rows, columns=["doc_id", *(f"h{k}" for k in range(perms))])
             for k in range(perms):
@@ -80,7 +83,7 @@ def _sketched(hashed: DataFrame, perms: int, seed: int) -> DataFrame:
 
 def signatures(docs: DataFrame, perms: int = PERMS, n: int = 5, seed: int = SEED) -> DataFrame:
     """(doc_id, sig): signatures of the token shingles; row-local.  Texts shorter than a shingle share one signature."""
-    toks = docs.where("text is not null").select("doc_id", tokens(F.col("text")).alias("toks"))
+    toks = docs.where("text is not null").select("doc_id", once(tokens(F.col("text"))).alias("toks"))
     return _sketched(toks.select("doc_id", F.transform(F.array_distinct(ngrams(F.col("toks"), n)), lambda s: F.xxhash64(s)).alias("h")), perms, seed)
 
 
@@ -144,7 +147,7 @@ class MinHashIndex:
 def _folded(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(membership, distinct): documents by the digest of their shingle set, and one of each digest with its shingles;
     documents without shingles take no part."""
-    t = docs.where("text is not null and doc_id is not null").select("doc_id", tokens(F.col("text")).alias("toks"))
+    t = docs.where("text is not null and doc_id is not null").select("doc_id", once(tokens(F.col("text"))).alias("toks"))
     h = t.select("doc_id", F.array_sort(F.transform(F.array_distinct(ngrams(F.col("toks"), n)), lambda s: F.xxhash64(s))).alias("h"))
     keyed = cut_lineage(h.withColumn("d", F.md5(F.concat_ws(",", F.transform("h", lambda v: v.cast("string")))))).where("size(h) > 0")
     first = keyed.groupBy("d").agg(F.min("doc_id").alias("rep"))
@@ -161,11 +164,11 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, perms: in
     """(membership, pairs): documents by the first one with the same shingles, and pairs (a, b, similarity) of such firsts
     whose shingle sets are alike by ``threshold`` or more.
 
-    The bands are chosen for a threshold a fifth lower, so that a pair at ``threshold`` is rarely missed (1 in 10,000 at
+    The bands are chosen for about half the threshold, so that a pair at ``threshold`` is rarely missed (1 in 10 million at
     0.8 with 128 hashes); each candidate is checked by its exact sets.  In a band each document meets the band's first one
     and those whose sets overlap in the check, a bucket's pairs are listed by the join."""
     member, sets = _folded(docs, n)
-    bands, rows = band_shape(perms, 0.8 * threshold if low is None else low)
+    bands, rows = band_shape(perms, 0.55 * threshold if low is None else low)
     b = band_rows(_sketched(sets.where("size(h) > 0"), perms, SEED), bands, rows)
     met = b.alias("x").join(b.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     cand = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import once, tokens
 from ..graph import cut_lineage
 from .lexicon import expand
 from .lines import paragraphs
@@ -64,8 +64,9 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-        """Tokenises the documents once and keeps the postings (checkpointed)."""
-        toks = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks")).where("size(toks) > 0")
+        """Tokenises the documents once and keeps the postings (checkpointed).  No filter stands on the tokens: it would be
+        moved below them and find them anew; documents without any drop out when the tokens are listed."""
+        toks = docs.select(F.col(id_col).alias("doc_id"), once(tokens(F.col(text_col))).alias("toks"))
         rows = toks.select("doc_id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
         # the length is part of the key, so that no join brings it back; the exchange goes by term, as searches do
         return cls.of(cut_lineage(rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))))
@@ -233,9 +234,8 @@ class Searcher:
 def search_segments(segments: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, segment_no, score, rank): the best segments (doc_id, segment_no, text) within each document,
     by BM25 with the segments of one document as the collection."""
-    t = segments.select("doc_id", "segment_no", tokens(F.col("text")).alias("toks")).where("size(toks) > 0")
-    t = t.withColumn("dl", F.size("toks"))
-    whole = t.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    t = segments.select("doc_id", "segment_no", once(tokens(F.col("text"))).alias("toks")).select("doc_id", "segment_no", "toks", F.size("toks").alias("dl"))
+    whole = t.groupBy("doc_id").agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
     asked = query_terms(queries)
     hit = t.select("doc_id", "segment_no", "dl", F.explode("toks").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     hit = hit.groupBy("doc_id", "segment_no", "dl", "term").agg(F.count("*").alias("tf"))
@@ -286,7 +286,7 @@ def class_tfidf(rows: DataFrame, class_col: str, text_col: str, k: int = 10, sto
     terms times ln(1 + average class size / corpus count), or BM25's form of it; ``reduce_frequent`` takes the root of
     the share; ``min_df`` is the least corpus count."""
     toks = F.filter(tokens(F.col(text_col)), lambda t: (F.length(t) >= 2) & ~t.isin(*(stopwords or [""])))
-    x = rows.select(F.col(class_col).alias("class"), toks.alias("toks"))
+    x = rows.select(F.col(class_col).alias("class"), once(toks).alias("toks"))
     joined = lambda n: lambda i: F.array_join(F.slice("toks", i, n), " ")
     grams = F.flatten(F.array(*(F.when(F.size("toks") >= n, F.transform(F.sequence(F.lit(1), F.size("toks") - n + 1), joined(n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)))) if (low, high) != (1, 1) else F.col("toks")
     t = cut_lineage(x.select("class", F.explode(grams).alias("term")).groupBy("class", "term").agg(F.count("*").alias("f")))

@@ -59,10 +59,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, par_no, first_line, last_line, text): runs of lines that aren't blank; row-local, on the array of lines."""
     x = docs.select("doc_id", line_array(F.col("text")).alias("ls"))
     x = x.select("doc_id", "ls", F.transform("ls", lambda v: F.trim(F.regexp_replace(v, r"\s", " ")) == "").alias("bs"))
-    at = F.expr("sequence(0, size(ls) - 1)")
+    at = F.expr("if(size(ls) > 0, sequence(0, size(ls) - 1), array())")
     first = F.expr("filter(ks, k -> not get(bs, k) and coalesce(get(bs, k - 1), true))")
     last = F.expr("filter(ks, k -> not get(bs, k) and coalesce(get(bs, k + 1), true))")
-    x = x.where("size(ls) > 0").withColumn("ks", at).select("doc_id", "ls", F.posexplode(F.arrays_zip(first.alias("s"), last.alias("e"))).alias("par_no", "p"))
+    x = x.withColumn("ks", at).select("doc_id", "ls", F.posexplode(F.arrays_zip(first.alias("s"), last.alias("e"))).alias("par_no", "p"))
     return x.select(
         "doc_id", F.col("par_no").cast("long").alias("par_no"), F.col("p.s").alias("first_line"), F.col("p.e").alias("last_line"),
         F.expr("array_join(slice(ls, p.s + 1, p.e - p.s + 1), '\n')").alias("text"),

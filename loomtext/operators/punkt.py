@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, once
 from ..graph import cut_lineage
 
 # Weights by balance between precision (1.0) and recall (0.0), in steps of a tenth.
@@ -258,7 +258,7 @@ def typed_tokens(docs: DataFrame) -> DataFrame:
     JVM and row-local."""
     raw = F.regexp_extract_all(fold(F.col("text")), F.lit(r"\S+"), F.lit(0))
     one = lambda t: F.when(~t.rlike(r"\p{L}") & t.rlike(r"^-?[.,]?\d[\d,.\-]*\.?$"), NUMBER).otherwise(t)
-    x = docs.select("doc_id", F.transform(raw, one).alias("ks"), raw.alias("rs"))
+    x = docs.select("doc_id", once(raw).alias("rs")).select("doc_id", "rs", once(F.transform("rs", one)).alias("ks"))
     x = x.select("doc_id", F.posexplode(F.arrays_zip("ks", "rs", F.expr("slice(ks, 2, greatest(size(ks), 1))").alias("ns"))).alias("pos", "x"))
     return x.select("doc_id", "pos", F.col("x.ks").alias("kind"), _bare(F.col("x.ks")).alias("base"), F.col("x.rs").endswith(".").alias("dotted"), F.col("x.ns").alias("next"))
 

@@ -32,7 +32,7 @@ def _t(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "documents").select("doc_id", "text")
+    return readers.spread(_t(s, d, "documents").select("doc_id", "text"))
 
 
 def query(sql: str | None = None) -> Callable:
@@ -234,7 +234,7 @@ w as (select class, term, round(f / ct * ln(1 + av / cf), 6) as weight from f jo
 select class, term, weight, cast(row_number() over (partition by class order by weight desc, term) as integer) as rank from w where weight > 0 qualify rank <= 10"""
 )
 def class_tfidf(s: SparkSession, d: str) -> DataFrame:
-    x = _t(s, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "text")
+    x = readers.spread(_t(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), "text"))
     return index.class_tfidf(x, "lang", "text", 10, STOPWORDS)
 
 
@@ -303,7 +303,7 @@ w as (select class, term, round(sqrt(f / ct) * ln(greatest(1, 1 + (av - cf + 0.5
 select class, term, weight, cast(row_number() over (partition by class order by weight desc, term) as integer) as rank from w where weight > 0 qualify rank <= 10"""
 )
 def class_tfidf_bigrams(s: SparkSession, d: str) -> DataFrame:
-    x = _t(s, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "text")
+    x = readers.spread(_t(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), "text"))
     return index.class_tfidf(x, "lang", "text", 10, STOPWORDS, 1, 2, 3, True, True)
 
 

@@ -34,6 +34,13 @@ def from_records(df: DataFrame, id_field: str = "id", text_field: str = "text",
     )
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows over all cores, by key, where a table comes in fewer than half as many splits as there are cores (few or
+    unsplittable files); a table in enough splits stays as it is and nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = "id long, text string") -> DataFrame:
     """One JSON object a line; blank lines are skipped, broken ones give nulls."""
     return spark.read.schema(schema).json(path)
