@@ -402,13 +402,18 @@ _ta, _tb = "string_split(lower(a), ' ')", "string_split(lower(b), ' ')"
 r6 = lambda f: lambda a, b: F.round(f(a, b), 6)
 _metric_query("levenshtein_pairs", lambda a, b: F.levenshtein(a, b).cast("long"), "levenshtein(a, b)")
 _metric_query("damerau_pairs", lambda a, b: strings.damerau_levenshtein(a, b).cast("long"), "damerau_levenshtein(a, b)")
-_metric_query("osa_pairs", lambda a, b: strings.osa(a, b).cast("long"), None)
+# rows of the distance table as lists: the last two rows, one after the other
+_OSA = "list_reduce(list_concat([list_concat(list_transform(range(0, length(b) + 1), lambda j: 1000), range(0, length(b) + 1))], list_transform(range(1, length(a) + 1), lambda i: [i])), lambda acc, x: list_concat(acc[length(b) + 2:], list_reduce(list_concat([[x[1]]], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda r, j: list_append(r, least(r[-1] + 1, acc[length(b) + 2 + j[1]] + 1, acc[length(b) + 1 + j[1]] + case when substr(a, x[1], 1) = substr(b, j[1], 1) then 0 else 1 end, case when x[1] > 1 and j[1] > 1 and substr(a, x[1], 1) = substr(b, j[1] - 1, 1) and substr(a, x[1] - 1, 1) = substr(b, j[1], 1) then acc[j[1] - 1] + 1 else 1000 end)))))[-1]"
+_LCS = "list_reduce(list_concat([list_transform(range(0, length(b) + 1), lambda j: 0)], list_transform(range(1, length(a) + 1), lambda i: [i])), lambda acc, x: list_reduce(list_concat([[0::bigint]], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda r, j: list_append(r, greatest(r[-1], acc[j[1] + 1], acc[j[1]] + case when substr(a, x[1], 1) = substr(b, j[1], 1) then 1 else 0 end))))[-1]"
+_LCSTR = "list_max(list_transform(range(1, length(a) + 1), lambda i: list_max(list_transform(range(0, length(a) - i + 2), lambda n: case when contains(b, substr(a, i, n)) then n else 0 end))))"
+_metric_query("osa_pairs", lambda a, b: strings.osa(a, b).cast("long"), _OSA)
 _metric_query("hamming_pairs", lambda a, b: strings.hamming(a, b).cast("long"), "case when length(a) = length(b) then hamming(a, b) end")
 _metric_query("jaro_pairs", r6(strings.jaro), "round(jaro_similarity(a, b), 6)")
 _metric_query("jaro_winkler_pairs", r6(strings.jaro_winkler), "round(jaro_winkler_similarity(a, b), 6)")
-_metric_query("lcs_pairs", strings.lcs_length, None)
-_metric_query("common_substring_pairs", strings.common_substring_length, None)
-_metric_query("sorensen_dice_pairs", r6(strings.sorensen_dice), None)
+_metric_query("lcs_pairs", lambda a, b: strings.lcs_length(a, b).cast("long"), _LCS)
+_metric_query("common_substring_pairs", lambda a, b: strings.common_substring_length(a, b).cast("long"), _LCSTR)
+_da, _db = (BAGS.format(f"replace({x}, ' ', '')") for x in "ab")
+_metric_query("sorensen_dice_pairs", r6(strings.sorensen_dice), f"round(case when replace(a, ' ', '') = replace(b, ' ', '') then 1.0 else 2 * {_low(_da, _db)}::double / (length(replace(a, ' ', '')) + length(replace(b, ' ', '')) - 2) end, 6)")
 _metric_query("ngram_jaccard_pairs", r6(strings.METRICS["ngram_jaccard"]), f"round({_low(_ba, _bb)}::double / (len({_ba}) + len({_bb}) - {_low(_ba, _bb)}), 6)")
 _metric_query("ngram_overlap_pairs", r6(strings.METRICS["ngram_overlap"]), f"round({_low(_ba, _bb)}::double / least(len({_ba}), len({_bb})), 6)")
 _metric_query("ngram_cosine_pairs", r6(strings.METRICS["ngram_cosine"]), f"round({_dot(_ba, _bb)}::double / sqrt(({_dot(_ba, _ba)} * {_dot(_bb, _bb)})::double), 6)")
@@ -427,7 +432,13 @@ def least_similar_topk(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select(F.col("p_partkey").alias("id"), score.alias("score")).orderBy("score", "id").limit(20)
 
 
-@query()
+_SX = "regexp_replace(lower(p_name), '[^a-z]', '', 'g')"
+_SXD = f"translate({_SX}, 'aeiouyhwbfpvcgjkqsxzdtlmnr', '00000000111122222222334556')"
+for _k in "0123456":
+    _SXD = f"regexp_replace({_SXD}, '{_k}+', '{_k}', 'g')"
+
+
+@query(f"select p_partkey, case when {_SX} = '' then '0000' else left(upper(left({_SX}, 1)) || replace(substr({_SXD}, 2), '0', '') || '000', 4) end as code from part")
 def soundex_codes(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", strings.soundex("p_name").alias("code"))
 
@@ -437,8 +448,14 @@ def metaphone_codes(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", strings.metaphone("p_name").alias("code"))
 
 
-for _m in ("soundex", "metaphone", "lcs", "longest_common_substring", "token_ngram_jaccard", "token_ngram_cosine", "token_ngram_overlap"):
-    _metric_query(f"{_m}_similarities", r6(strings.metric(_m)), None)
+_na, _nb = (f"case when len({t}) >= 2 then list_transform(range(1, len({t})), lambda i: {t}[i] || chr(9) || {t}[i + 1]) else {t} end" for t in (_ta, _tb))
+_SIMILAR = {
+    "soundex": None, "metaphone": None, "lcs": f"{_LCS}::double / greatest(length(a), length(b))", "longest_common_substring": f"{_LCSTR}::double / greatest(length(a), length(b))",
+    "token_ngram_jaccard": f"{_low(_na, _nb)}::double / (len({_na}) + len({_nb}) - {_low(_na, _nb)})", "token_ngram_overlap": f"{_low(_na, _nb)}::double / least(len({_na}), len({_nb}))",
+    "token_ngram_cosine": f"{_dot(_na, _nb)}::double / sqrt(({_dot(_na, _na)} * {_dot(_nb, _nb)})::double)",
+}
+for _m, _x in _SIMILAR.items():
+    _metric_query(f"{_m}_similarities", r6(strings.metric(_m)), f"round({_x}, 6)" if _x else None)
 
 
 @query()
@@ -579,7 +596,11 @@ def repeated_lines(s: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(_docs(s, d))
 
 
-@query()
+@query(
+    rf"""with sc as ({SQL['heading_scores']}), {LINES}, h as (select sc.doc_id, sc.line_no, case when {next(f"regexp_matches(trim(line), '{p}')" for k, p in lines.ENUMERATOR if k == 'word')} and not ({' or '.join(f"regexp_matches(trim(line), '{p}')" for k, p in lines.ENUMERATOR[:2])}) then 1 when regexp_matches(trim(line), '^[0-9]{{1,3}}') then len(string_split(regexp_extract(trim(line), '^([0-9]{{1,3}}(?:\.[0-9]{{1,3}})*)', 1), '.')) + 1 else 2 end as depth
+from sc join lin on lin.doc_id = sc.doc_id and lin.line_no = sc.line_no where score >= 0.45)
+select doc_id, line_no, depth, (select max(g.line_no) from h g where g.doc_id = h.doc_id and g.line_no < h.line_no and g.depth < h.depth) as parent_line from h"""
+)
 def document_outline(s: SparkSession, d: str) -> DataFrame:
     return lines.outline(_docs(s, d))
 
@@ -903,7 +924,11 @@ def fixed_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunks.fixed(_docs(s, d), 128, 16)
 
 
-@query()
+@query(
+    f"""with recursive u as (select doc_id, par_no, cast(ceil(length(text) / 4.0) as integer) as n from ({SQL['paragraphs_simple']})),
+r as (select doc_id, par_no, n, 0 as chunk_no, n as used from u where par_no = 0 union all select u.doc_id, u.par_no, u.n, case when used + u.n > 256 then chunk_no + 1 else chunk_no end, case when used + u.n > 256 then u.n else used + u.n end from r join u on u.doc_id = r.doc_id and u.par_no = r.par_no + 1)
+select doc_id, chunk_no, cast(min(par_no) as integer) as first_par, cast(max(par_no) as integer) as last_par, cast(sum(n) as integer) as n_tokens from r group by doc_id, chunk_no"""
+)
 def packed_paragraphs(s: SparkSession, d: str) -> DataFrame:
     return chunks.packed_paragraphs(_docs(s, d), 256)
 
