@@ -160,6 +160,16 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": scored + " select doc_id, term from (select *, row_number() over (partition by doc_id order by score desc, term) as r from scored where df > 1) where r = 1",
         "p1_ranked": scored + " select doc_id, term, cast(tf as bigint) as term_freq, df as doc_freq, score from scored",
+        "p1_hit_terms": rf"""
+with {_CUR}, q as (
+  select distinct query_id, term from (select query_id, unnest(list_transform(regexp_split_to_array(lower(query_text), '\s+'), lambda t: regexp_replace(t, '^[[:punct:]\p{{P}}]+|[[:punct:]\p{{P}}]+$', '', 'g'))) as term
+    from queries where query_id is not null and query_text is not null) where term <> ''
+),
+h as (select distinct query_id, doc_id from search_hits where query_id is not null and doc_id is not null),
+s as (select h.query_id, cur.doc_id, cur.term, {_SCORE} as weight from h join q on q.query_id = h.query_id join cur on cur.doc_id = h.doc_id and cur.term = q.term
+  join dfs on dfs.term = cur.term join lens on lens.doc_id = cur.doc_id, whole)
+select query_id, doc_id, term, weight, round(weight / sum(weight) over (partition by query_id, doc_id), 6) as share from s
+""",
         "p3_found": rf"""
 with lim as (select setting_key, max_size from pack_settings),
 par as (
