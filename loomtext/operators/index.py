@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -194,6 +195,28 @@ def weighted_text(title: Column, text: Column, weight: float) -> Column:
     return F.concat_ws("\n\n", *[title] * times, text)
 
 
+class Retriever(Protocol):
+    """Anything that ranks documents for queries: (query_id, query_text) to (query_id, doc_id, score, rank)."""
+
+    def __call__(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+class Reranker(Protocol):
+    """Anything that orders ranked documents anew: (query_id, doc_id, score, rank) to the same."""
+
+    def __call__(self, queries: DataFrame, hits: DataFrame, k: int) -> DataFrame: ...
+
+
+def bm25_retriever(index: Index) -> Retriever:
+    """BM25 over an index."""
+    return lambda queries, k: search_bm25(index, queries, k)
+
+
+def hybrid_retriever(a: Retriever, b: Retriever, wa: float = 1.0, wb: float = 1.0, deeper: int = 3) -> Retriever:
+    """Two retrievers fused by ranks, each asked for ``deeper`` times as many."""
+    return lambda queries, k: fuse(a(queries, deeper * k), b(queries, deeper * k), k, wa, wb)
+
+
 @dataclass
 class Searcher:
     """Ranked search over a collection: tokens, optional expansion by word relations, scores, and the documents' own

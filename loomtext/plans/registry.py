@@ -173,6 +173,23 @@ def casefold(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", strings.casefold("text").alias("text"))
 
 
+@query("select doc_id, unnest(regexp_extract_all(translate(lower(text), 'ς', 'σ'), '[a-z]+[0-9]*')) as term from documents")
+def tokenize_regex(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", F.explode(text.tokens_by(F.col("text"), "[a-z]+[0-9]*")).alias("term"))
+
+
+@query(f"with {TOKENS} select term[:5] as stem, count(*) as n from tok where term not in ({', '.join(repr(w) for w in STOPWORDS)}) group by 1")
+def prefix_stems(s: SparkSession, d: str) -> DataFrame:
+    stems = F.explode(F.transform(text.tokens(F.col("text"), stopwords=STOPWORDS), lambda t: F.substring(t, 1, 5)))
+    return _docs(s, d).select(stems.alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, source, n_chars from documents")
+def json_records(s: SparkSession, d: str) -> DataFrame:
+    j = readers.to_records(_t(s, d, "documents").select("doc_id", "source", "n_chars"))
+    return j.select(F.from_json("value", "doc_id long, source string, n_chars long").alias("x")).select("x.*")
+
+
 # --- index and retrieval
 
 _BM25 = f"""with {POSTINGS}, {ASKED}, scored as (
@@ -615,6 +632,12 @@ def line_spans(s: SparkSession, d: str) -> DataFrame:
     return lines.line_spans(_docs(s, d))
 
 
+@query(f"with {LINES} select doc_id, cast(line_no // 50 as bigint) as page, count(*) as lines, count(*) filter (trim(regexp_replace(line, '\\s', ' ', 'g')) = '') as blank from lin group by all")
+def page_buckets(s: SparkSession, d: str) -> DataFrame:
+    blank = F.count_if(F.trim(F.regexp_replace("line", r"\s", " ")) == "")
+    return lines.lines(_docs(s, d)).groupBy("doc_id", F.floor(F.col("line_no") / 50).alias("page")).agg(F.count("*").alias("lines"), blank.alias("blank"))
+
+
 @query()
 def line_records(s: SparkSession, d: str) -> DataFrame:
     return structure.extract_line_records(_docs(s, d))
@@ -742,6 +765,15 @@ def vector_distances(s: SparkSession, d: str) -> DataFrame:
     return e.join(m, ["query_id", "vec_id"])
 
 
+@query(f"with {_V}, w as (select *, lag(e) over (partition by label order by vec_id) as p from v) select count(*) as pairs, round(avg(case when list_inner_product(p, p) = 0 or list_inner_product(e, e) = 0 then 1 else 1 - list_inner_product(p, e) / sqrt(list_inner_product(p, p) * list_inner_product(e, e)) end), 6) as mean from w where p is not null")
+def mean_neighbour_distance(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
+    pairs = _t(s, d, "embeddings").select(before.alias("a"), F.col("embedding").alias("b")).where("a is not null")
+    return vectors.mean_distance(vectors.distances(pairs, "cosine")).withColumn("mean", F.round("mean", 6))
+
+
 @query(f"with {_V}, k as (select a.vec_id as src, b.vec_id as dst, {_COS} as score from v a join v b on a.vec_id <> b.vec_id qualify row_number() over (partition by a.vec_id order by {_COS} desc, b.vec_id) <= 5) select least(src, dst) as i, greatest(src, dst) as j, max(score) as score from k group by all")
 def knn_edges(s: SparkSession, d: str) -> DataFrame:
     return vectors.graph_edges(vectors.knn_graph(_t(s, d, "embeddings"), 5))
@@ -1088,6 +1120,11 @@ def lexicon_words(s: SparkSession, d: str) -> DataFrame:
     return lexicon.contains(e, e.select(F.col("src").alias("word")).distinct())
 
 
+@query(f"with {_ED} select distinct src as word from ed")
+def lexicon_word_set(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.word_set(_edges(s, d))
+
+
 @query("select distinct lower(short_form) as word, 'short_for' as relation, lower(long_form) as dst from name_aliases")
 def lexicon_related(s: SparkSession, d: str) -> DataFrame:
     return lexicon.related(_edges(s, d), _t(s, d, "name_aliases").select(F.lower("short_form").alias("word")), "short_for")

@@ -334,3 +334,11 @@ def test_stream_keeps_postings(spark, tmp_path):
 def test_analyze(spark):
     r = corpus.analyze(docs(spark, "One ship. Two ships.\n\nThe ship.", None)).collect()[0]
     assert (r["documents"], r["tokens"], r["unique_tokens"], r["lines"], r["paragraphs"]) == (1, 6, 5, 3, 2) and r["top_terms"][0] == "ship:2"
+
+
+def test_hybrid_retriever(spark):
+    d = docs(spark, "the ship leaves", "a boat stays", "the vessel and the ship")
+    i = index.Index.build(d)
+    q = spark.createDataFrame([(1, "ship boat")], "query_id long, query_text string")
+    h = index.hybrid_retriever(index.bm25_retriever(i), lambda queries, k: index.search_tfidf(i, queries, k))
+    assert len(rows(h(q, 2))) == 2 and {r["doc_id"] for r in h(q, 3).collect()} == {0, 1, 2}
