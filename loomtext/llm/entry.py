@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from . import distinctive, language, mixing, names, near_duplicates, packing, quality, reading_level, sentences, splitting
 
 
@@ -49,7 +50,7 @@ def p3_pieces(s: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
-    return quality.text_quality(_t(s, d, "documents")).where("doc_id is not null and text_class <> 'prose'").select("doc_id", "text_class")
+    return quality.text_quality(spread(_t(s, d, "documents").select("doc_id", "text"))).where("doc_id is not null and text_class <> 'prose'").select("doc_id", "text_class")
 
 
 def p4_statistics(s: SparkSession, d: str) -> DataFrame:

@@ -294,3 +294,20 @@ def test_mixing_redistributes_among_siblings():
     leaves = [("law", "en", "a", 100), ("law", "en", "b", 1000), ("web", "en", "c", 1000)]
     plan, total = mixing.budgets(leaves, {"a": (0.4, 1), "b": (0.2, 1), "c": (0.4, 1)}, 600)
     assert plan["law", "en", "a"] == 100 and plan["law", "en", "b"] == 260 and plan["web", "en", "c"] == 240 and total == 600
+
+
+def test_recall_by_similarity():
+    rng = np.random.default_rng(1)
+    for alike in (0.5, 0.55, 0.6):
+        found = 0
+        for k in range(200):
+            n = (120, 600, 1500)[k % 3]
+            h = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+            shared = round(n * alike)
+            own = (n - shared) // 2
+            two = [np.sort(np.concatenate([h[:shared], part])) for part in (h[shared : shared + own], h[shared + own :])]
+            s = np.stack([near_duplicates.sketch(x) for x in two])
+            bands, bits = near_duplicates.bands_of(s), near_duplicates.bits_of(s).view(np.uint8)
+            differ = int(np.unpackbits(bits[0] ^ bits[1]).sum())
+            found += bool((bands[0] == bands[1]).any()) and differ <= 96 + 3.25 * (72 * (1 + 96 / len(two[0]))) ** 0.5 + 1
+        assert found >= 197
