@@ -22,6 +22,8 @@ def analyze(docs: DataFrame, model: Model | None = None, k: int = 10) -> DataFra
     )
     words = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("unique_tokens"))
     sents = sentence_counts(docs, model).agg(F.sum("sentences").alias("sentences"))
-    # four tables of one row each
-    x = text.crossJoin(words).crossJoin(sents).crossJoin(top)
+    # four tables of one row each, side by side
+    x = text.withColumn("k", F.lit(1))
+    for one in (words, sents, top):
+        x = x.join(F.broadcast(one.withColumn("k", F.lit(1))), "k")
     return x.select("documents", "characters", "tokens", "unique_tokens", "sentences", "lines", "paragraphs", F.round(F.col("unique_tokens") / F.col("tokens"), 6).alias("type_token_ratio"), F.transform("t", lambda e: F.concat_ws(":", e["term"], e["n"].cast("string"))).alias("top_terms"))

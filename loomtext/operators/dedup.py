@@ -18,6 +18,8 @@ from ..functions.text import char_ngrams, ngrams, once, tokens
 from ..graph import connected_components, cut_lineage
 
 PERMS, SEED = 128, 42
+#: Documents of a bucket that meet in one task.
+TILE = 2048
 NONE = np.iinfo(np.int64).max
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,13 +167,20 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, perms: in
     whose shingle sets are alike by ``threshold`` or more.
 
     The bands are chosen for about half the threshold, so that a pair at ``threshold`` is rarely missed (1 in 10 million at
-    0.8 with 128 hashes); each candidate is checked by its exact sets.  In a band each document meets the band's first one
-    and those whose sets overlap in the check, a bucket's pairs are listed by the join."""
+    0.8 with 128 hashes); each candidate is checked by its exact sets."""
     member, sets = _folded(docs, n)
     bands, rows = band_shape(perms, 0.55 * threshold if low is None else low)
-    b = band_rows(_sketched(sets.where("size(h) > 0"), perms, SEED), bands, rows)
-    met = b.alias("x").join(b.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    cand = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    sized = sets.select("doc_id", F.size("h").alias("n"))
+    b = cut_lineage(band_rows(_sketched(sets, perms, SEED), bands, rows).join(sized, "doc_id"))
+    # sets alike by the threshold differ in size by no more than it; a bucket's rows are spread over tiles, each pair of
+    # tiles one task, so that a bucket of any size is never in one
+    size = b.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
+    b = b.join(size, ["band", "key"]).withColumn("tiles", F.ceil(F.col("c") / F.lit(TILE)).cast("int")).withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    x = b.withColumn("o", every).select("band", "key", F.col("t").alias("tx"), F.col("o").alias("ty"), F.col("doc_id").alias("xd"), F.col("n").alias("xn"))
+    y = b.withColumn("o", every).select("band", "key", F.col("o").alias("tx"), F.col("t").alias("ty"), F.col("doc_id").alias("yd"), F.col("n").alias("yn"))
+    met = x.join(y, ["band", "key", "tx", "ty"]).where(F.col("xd") < F.col("yd")).where(F.least("xn", "yn") >= threshold * F.greatest("xn", "yn"))
+    cand = met.select(F.col("xd").alias("a"), F.col("yd").alias("b")).distinct()
     x = cand.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
     return member, x.select("a", "b", _jaccard(F.col("ha"), F.col("hb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -189,7 +198,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> Da
     return every.join(x, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def find_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, max_rounds: int = 60) -> DataFrame:
+def find_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """(canonical_id, doc_id, similarity): stars, not chains: in order of ids the first document not yet taken leads, and
     its matches not yet taken join it.
 
@@ -199,9 +208,7 @@ def find_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, max_rou
     copies = member.where("doc_id <> rep").select(F.col("rep").alias("canonical_id"), "doc_id", F.lit(1.0).alias("similarity"))
     left = cut_lineage(pairs)
     out = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         later = left.select(F.col("b").alias("doc_id")).distinct()
         lead = left.select(F.col("a").alias("doc_id")).distinct().join(later, "doc_id", "left_anti")
         star = left.join(lead.withColumnRenamed("doc_id", "a"), "a", "left_semi")
@@ -210,8 +217,6 @@ def find_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, max_rou
         out = star if out is None else out.unionByName(star)
         gone = star.select(F.col("b").alias("v")).unionByName(lead.select(F.col("doc_id").alias("v"))).distinct()
         left = cut_lineage(left.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti"))
-    else:
-        raise RuntimeError("duplicates did not settle")
     if out is None:
         return copies
     led = out.select(F.col("a").alias("canonical_id"), F.col("b").alias("rep"), "similarity")

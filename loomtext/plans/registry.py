@@ -757,12 +757,15 @@ def l2_normalize(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "embeddings").select("vec_id", F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query(f"with {_V} select a.vec_id as query_id, b.vec_id as vec_id, round(sqrt(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i])))), 5) as euclidean, round(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: abs(a.e[i] - b.e[i]))), 5) as manhattan from v a, v b where a.vec_id % 100 = 0 and b.vec_id % 20 = 1")
+@query(f"with {_V}, w as (select *, lag(e) over (partition by label order by vec_id) as p from v) select vec_id, round(sqrt(list_sum(list_transform(range(1, len(e) + 1), lambda i: (p[i] - e[i]) * (p[i] - e[i])))), 5) as euclidean, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: abs(p[i] - e[i]))), 5) as manhattan from w where p is not null")
 def vector_distances(s: SparkSession, d: str) -> DataFrame:
-    v = _t(s, d, "embeddings")
-    p = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")).crossJoin(F.broadcast(v.where("vec_id % 20 = 1").select("vec_id", F.col("embedding").alias("b"))))
-    e, m = (vectors.distances(p, x).select("query_id", "vec_id", F.round("distance", 5).alias(x)) for x in ("euclidean", "manhattan"))
-    return e.join(m, ["query_id", "vec_id"])
+    from pyspark.sql import Window
+
+    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
+    p = _t(s, d, "embeddings").select("vec_id", before.alias("a"), F.col("embedding").alias("b")).where("a is not null")
+    for m in ("euclidean", "manhattan"):
+        p = vectors.distances(p, m).withColumn(m, F.round("distance", 5)).drop("distance", "similarity")
+    return p.select("vec_id", "euclidean", "manhattan")
 
 
 @query(f"with {_V}, w as (select *, lag(e) over (partition by label order by vec_id) as p from v) select count(*) as pairs, round(avg(case when list_inner_product(p, p) = 0 or list_inner_product(e, e) = 0 then 1 else 1 - list_inner_product(p, e) / sqrt(list_inner_product(p, p) * list_inner_product(e, e)) end), 6) as mean from w where p is not null")

@@ -342,3 +342,19 @@ def test_hybrid_retriever(spark):
     q = spark.createDataFrame([(1, "ship boat")], "query_id long, query_text string")
     h = index.hybrid_retriever(index.bm25_retriever(i), lambda queries, k: index.search_tfidf(i, queries, k))
     assert len(rows(h(q, 2))) == 2 and {r["doc_id"] for r in h(q, 3).collect()} == {0, 1, 2}
+
+
+def test_banded_neighbours_recall(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = v.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    near = {(r["query_id"], r["vec_id"]) for r in vectors.top_k(v, q, 5).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in vectors.banded_top_k(v, q, 5).collect()}
+    assert len(near & got) >= 0.9 * len(near)
+
+
+def test_bucket_tiles_lose_nothing(spark, monkeypatch):
+    words = [f"w{k}" for k in range(80)]
+    d = docs(spark, *(" ".join([*words[:76], f"a{k}", f"b{k}"]) for k in range(12)))
+    one = rows(dedup.similar_pairs(d)[1].select("a", "b"))
+    monkeypatch.setattr(dedup, "TILE", 3)
+    assert rows(dedup.similar_pairs(d)[1].select("a", "b")) == one and len(one) == 66
