@@ -85,16 +85,13 @@ def sketch(h: np.ndarray, bins: int = BINS) -> np.ndarray:
     at = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
     first = np.ones(len(h), bool)
     first[1:] = at[1:] != at[:-1]
-    out = np.zeros(bins, np.uint64)
     filled = at[first].astype(np.int64)
-    out[filled] = h[first]
-    if len(filled) < bins:
-        gaps = np.setdiff1d(np.arange(bins), filled, assume_unique=True)
-        nxt = np.searchsorted(filled, gaps)
-        src = filled[nxt % len(filled)]
-        away = (src - gaps) % bins
-        out[gaps] = (out[src] + away.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * _MUL
-    return out
+    bin_ = np.arange(bins)
+    nxt = np.searchsorted(filled, bin_)
+    nxt[nxt == len(filled)] = 0
+    away = (filled[nxt] - bin_) % bins
+    out = h[first][nxt]
+    return np.where(away == 0, out, (out + away.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * _MUL)
 
 
 def bits_of(s: np.ndarray) -> np.ndarray:
@@ -314,7 +311,8 @@ def copies_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # one exchange on the band serves the counting of its block and the join with the count
         entries = keys.select("doc_id", (F.shiftleft(F.col("b").cast("long"), 32) + F.col("k")).alias("band")).repartition("band")
         sizes = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        met = entries.join(sizes, "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+        # the keys of several documents are few: hashed, so that the entries need no sorting
+        met = entries.join(sizes.hint("shuffle_hash"), "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
         met = met.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
         # a block of at most ``tile`` texts is one row; a larger one is a row for each pair of tiles
         spread = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
