@@ -358,3 +358,9 @@ def test_bucket_tiles_lose_nothing(spark, monkeypatch):
     one = rows(dedup.similar_pairs(d)[1].select("a", "b"))
     monkeypatch.setattr(dedup, "TILE", 3)
     assert rows(dedup.similar_pairs(d)[1].select("a", "b")) == one and len(one) == 66
+
+
+def test_long_dates_not_in_the_calendar(spark, tmp_path):
+    docs(spark, "Due September 32, 2030 or April 31, 1998, not February 29, 2020.").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(entry.queries()["long_dates"](spark, str(tmp_path)).select("match", "value"))
+    assert got == [("April 31, 1998", None), ("February 29, 2020", "2020-02-29"), ("September 32, 2030", None)]
