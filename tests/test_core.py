@@ -364,3 +364,21 @@ def test_long_dates_not_in_the_calendar(spark, tmp_path):
     docs(spark, "Due September 32, 2030 or April 31, 1998, not February 29, 2020.").write.parquet(f"{tmp_path}/documents.parquet")
     got = rows(entry.queries()["long_dates"](spark, str(tmp_path)).select("match", "value"))
     assert got == [("April 31, 1998", None), ("February 29, 2020", "2020-02-29"), ("September 32, 2030", None)]
+
+
+def test_versions_in_ranges(spark):
+    many = [(k, None if k % 3 == 0 else "a" if k % 3 == 1 or k < 40 else "b", None if k == 7 else f"text {k}") for k in range(60)]
+    d = spark.createDataFrame(many, "doc_id long, source string, text string")
+    kept = {s: [r for r in many if r[1] == s and r[2]] for s in (None, "a", "b")}
+    want = sorted((x[0], x[2], y[2]) for r in kept.values() for x, y in zip(r, r[1:]))
+    cut = diff.versions(d, "source", size=4)
+    assert rows(cut) == want and rows(diff.versions(d, "source")) == want and rows(diff.versions(d.limit(0), "source", size=4)) == []
+
+
+def test_words_scored_at_once(monkeypatch):
+    a, b = ["the the ship", "***", "", "a b c d", "A, b"], ["the ship the", "ship", "--", "d c b", "a b"]
+    for cells in (1, 1 << 21):
+        monkeypatch.setattr(diff, "CELLS", cells)
+        for least in (0.0, 0.4):
+            got = diff._alike_words([diff.word_items(x) for x in a], [diff.word_items(x) for x in b], least)
+            assert sorted(got) == sorted(diff._alike(a, b, strings.SCALARS["token_jaccard"], least))
