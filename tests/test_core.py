@@ -382,3 +382,16 @@ def test_words_scored_at_once(monkeypatch):
         for least in (0.0, 0.4):
             got = diff._alike_words([diff.word_items(x) for x in a], [diff.word_items(x) for x in b], least)
             assert sorted(got) == sorted(diff._alike(a, b, strings.SCALARS["token_jaccard"], least))
+
+
+def test_text_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SIDE", 5)
+    monkeypatch.setattr(vectors, "ROWS", 3)
+    names = ["oak", "ship", "rate", "lamp", "jar", "wheel", "note", "bolt"]
+    texts = [" ".join(names[(k + i * (1 + k % 3)) % 8] for i in range(6)) + f" only{k % 17}" for k in range(30)]
+    d = docs(spark, *texts, "", None).unionByName(docs(spark, "oak oak ship"))  # a second row of the first doc_id
+    post = index.build_postings(d.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text")))
+    n = post.select("doc_id").distinct().count()
+    want = rows(vectors.sparse_pairs(vectors.term_weights(post, n), 0.6).select("i", "j", F.round("cosine", 5)))
+    assert rows(vectors.text_pairs(d, 0.6).select("i", "j", F.round("cosine", 5))) == want and len(want) > 10
+    assert rows(vectors.text_pairs(d.limit(0), 0.6)) == [] and rows(vectors.text_pairs(docs(spark, "", None), 0.6)) == []
