@@ -395,3 +395,16 @@ def test_text_pairs(spark, monkeypatch):
     want = rows(vectors.sparse_pairs(vectors.term_weights(post, n), 0.6).select("i", "j", F.round("cosine", 5)))
     assert rows(vectors.text_pairs(d, 0.6).select("i", "j", F.round("cosine", 5))) == want and len(want) > 10
     assert rows(vectors.text_pairs(d.limit(0), 0.6)) == [] and rows(vectors.text_pairs(docs(spark, "", None), 0.6)) == []
+
+
+def test_search_sentences_as_segments(spark, monkeypatch):
+    monkeypatch.setattr(index, "AT_ONCE", 2)
+    d = docs(spark, "A ship came. A boat left. The ship, the boat. ...\n\nThe boat came back. A ship came.", "No match here.", "", None, "The ship! Ship ahoy.")
+    q = spark.createDataFrame([(5, "boat ship ship"), (1, "ship"), (2, None), (3, "zzz"), (None, "back boat")], "query_id long, query_text string")
+    cut = punkt.sentences(d).select("doc_id", F.col("sentence_no").alias("segment_no"), "start", "end", "text")
+    want = index.search_segments(cut, q, 2).join(cut.select("doc_id", "segment_no", "start", "end"), ["doc_id", "segment_no"])
+    got = index.search_sentences(d, q, 2)
+    by = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert by(got) == by(want.select(got.columns)) and len(by(got)) == 10
+    assert by(index.search_sentences(d, q.limit(0), 2)) == [] and by(index.search_sentences(d.limit(0), q, 2)) == []
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
