@@ -408,3 +408,14 @@ def test_search_sentences_as_segments(spark, monkeypatch):
     assert by(got) == by(want.select(got.columns)) and len(by(got)) == 10
     assert by(index.search_sentences(d, q.limit(0), 2)) == [] and by(index.search_sentences(d.limit(0), q, 2)) == []
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hybrid_search_as_fused_lists(spark, monkeypatch):
+    monkeypatch.setattr(index, "AT_ONCE", 4)
+    words = ["oak", "ship", "rate", "lamp", "jar"]
+    d = docs(spark, *(" ".join(words[(k * i) % 5] for i in range(1, 3 + k % 6)) for k in range(40)), "", None, "none of them").unionByName(docs(spark, "oak lamp"))
+    q = spark.createDataFrame([(5, "oak ship ship"), (1, "rate"), (2, None), (3, "zzz"), (4, "jar lamp oak")], "query_id long, query_text string")
+    i = index.Index.build(d.where("text is not null").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text")))
+    want = rows(index.fuse(index.search_bm25(i, q, 9), index.search_tfidf(i, q, 9), 3))
+    assert rows(index.hybrid_search(d, q, 3)) == want and len(want) == 9
+    assert rows(index.hybrid_search(d.limit(0), q)) == [] and rows(index.hybrid_search(d, q.limit(0))) == []
