@@ -419,3 +419,9 @@ def test_hybrid_search_as_fused_lists(spark, monkeypatch):
     want = rows(index.fuse(index.search_bm25(i, q, 9), index.search_tfidf(i, q, 9), 3))
     assert rows(index.hybrid_search(d, q, 3)) == want and len(want) == 9
     assert rows(index.hybrid_search(d.limit(0), q)) == [] and rows(index.hybrid_search(d, q.limit(0))) == []
+
+
+def test_rounded_as_in_sql(spark):
+    x = [0.72525, 0.78875, 0.80895, 0.62345, 0.6, 1.0, 0.600049, 0.60005]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(vectors.rounded(F.col("x"), 4)).collect()]
+    assert got == [duckdb.sql(f"select round({v}::double, 4)").fetchall()[0][0] for v in x]
